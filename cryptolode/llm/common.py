@@ -59,3 +59,15 @@ def join_unique(rows: DataFrame, unique: DataFrame, key: str, count: str, total:
     rest = unique.where((F.col(count) <= 1) | (F.col(count) * HOT_SHARE < F.lit(total)))
     hot_keys = hot.select(key)
     return rows.join(hot, key).unionByName(rows.join(hot_keys, key, "left_anti").join(rest, key))
+
+
+def select_rows(docs: DataFrame, picks: DataFrame, digest: Column) -> DataFrame:
+    """The rows of docs whose doc_id and digest are among picks (doc_id, digest, copies), with all columns; of rows that
+    repeat both, one stays where copies is above 1, and all where it is 1. Id and digest are the key, so no key is hot."""
+    ident, dig, copies, own = new_names(docs, "id", "digest", "copies", "own")
+    wanted = picks.select(F.col("doc_id").alias(ident), F.col("digest").alias(dig), F.col("copies").alias(copies))
+    rows = docs.withColumn(own, digest)
+    joined = rows.join(wanted, (F.col(own) == F.col(dig)) & rows["doc_id"].cast("long").eqNullSafe(F.col(ident)))
+    once = joined.where(F.col(copies) == 1).select(*docs.columns)
+    again = joined.where(F.col(copies) > 1).dropDuplicates([dig, ident]).select(*docs.columns)
+    return once.unionByName(again)

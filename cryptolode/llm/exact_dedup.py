@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_unique, materialize, new_names, shared_dir
+from .common import join_unique, materialize, select_rows, shared_dir
 
 
 def normalised(text: str) -> Column:
@@ -95,13 +95,5 @@ def dedup_report(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame
 def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     found = (index or index_for(docs.sparkSession)).add(docs)
-    dig, ident, copies = new_names(docs, "digest", "keep_id", "copies")
-    stay = found.where(F.col("fresh") & F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    stay = stay.select(F.col("digest").alias(dig), F.col("keep_id").alias(ident), F.col("copies").alias(copies))
-    rows = docs.withColumn(f"{dig}_", digest("text"))
-    # digest and id together are the key, so no key is hot; ids may be null
-    same = (F.col(f"{dig}_") == F.col(dig)) & F.col("doc_id").cast("long").eqNullSafe(F.col(ident))
-    joined = rows.join(stay, same)
-    once = joined.where(F.col(copies) == 1).select(*docs.columns)
-    again = joined.where(F.col(copies) > 1).dropDuplicates([dig]).select(*docs.columns)
-    return once.unionByName(again)
+    stay = found.where(F.col("fresh") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "digest", "copies")
+    return select_rows(docs, stay, digest("text"))

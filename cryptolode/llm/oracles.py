@@ -36,3 +36,24 @@ SELECT conv_id,
        CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+ORACLES["op7_substring_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM d WHERE len(w) >= 35),
+h AS (
+  SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS h FROM s),
+r AS (
+  SELECT doc_id, i FROM h QUALIFY count(*) OVER (PARTITION BY h) > 1),
+covered AS (
+  SELECT DISTINCT doc_id, i + unnest(range(0, 35)) AS i FROM r),
+kept AS (
+  SELECT w.doc_id, count(*) FILTER (covered.i IS NOT NULL) AS n_removed,
+         string_agg(w.word, ' ' ORDER BY w.i) FILTER (covered.i IS NULL) AS text
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d) w
+  LEFT JOIN covered ON covered.doc_id = w.doc_id AND covered.i = w.i
+  GROUP BY w.doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""

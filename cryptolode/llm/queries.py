@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, packing, quality, toxicity
+from . import chat, exact_dedup, minhash_join, mixing, packing, quality, substring, toxicity
 from .common import held_out, table
 from .oracles import ORACLES
 
@@ -38,6 +38,15 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.join(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), lambda c: ~held_out(c, 4, 2))
@@ -53,5 +62,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_quality, op3_exact_dedup, op4_mixing, op9_toxicity, op10_chat)
+    f.__name__: f for f in (op1_best_fit_packing, op2_quality, op3_exact_dedup, op4_mixing, op7_substring_dedup, op8_jaccard_join, op9_toxicity, op10_chat)
 }
