@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, minhash_join, mixing, packing, quality, substring, toxicity
+from . import chat, exact_dedup, langid, minhash_join, mixing, packing, quality, substring, topk, toxicity
 from .common import held_out, table
 from .oracles import ORACLES
 
@@ -38,6 +38,16 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, lambda c: ~held_out(c, 5, 0))
+    return langid.identify(docs, model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -62,5 +72,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_quality, op3_exact_dedup, op4_mixing, op7_substring_dedup, op8_jaccard_join, op9_toxicity, op10_chat)
+    f.__name__: f for f in (op1_best_fit_packing, op2_quality, op3_exact_dedup, op4_mixing, op5_topk, op6_langid, op7_substring_dedup, op8_jaccard_join, op9_toxicity, op10_chat)
 }
