@@ -1,10 +1,491 @@
-"""The registered queries and their SQL."""
+"""The registered queries: operators applied to the driver's tables, whole."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import risk, scalars
+from ..operators import agility, detect, fuse, gate, graph, lifecycle, plan, sbom, suppress
+from ..schema import threshold_rank
+from ..sinks import reports
+from ..sources import files, manifests, notebook, tls
+from . import bindings as b
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+RULE_PAIRS = [(r, p) for r, p, _ in b.DOCUMENT_RULES]
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def six(c) -> F.Column:
+    """Rounded to six places, as both engines do it."""
+    return F.round(c * 1e6) / 1e6
+
+
+# --- detection over documents
+
+
+@query
+def severity_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detect.detect_literal(b.documents(spark, sf_dir), RULE_PAIRS)
+    severity = scalars.mapped(F.col("rule_id"), {r: s for r, _, s in b.DOCUMENT_RULES})
+    return found.groupBy("language", "rule_id", severity.alias("severity")).agg(F.count("*").alias("n_matches"), F.countDistinct("path").alias("n_files"))
+
+
+@query
+def match_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [r for r in RULE_PAIRS if r[0] not in ("DOC_JUNK", "DOC_EN")]
+    found = detect.detect_literal(b.documents(spark, sf_dir), rules)
+    return found.select("path", "line_number", "rule_id", "match_ordinal", "column")
+
+
+@query
+def snippet_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [r for r in RULE_PAIRS if r[0] in ("DOC_TOKEN", "DOC_LICENSE")]
+    found = detect.detect_literal(b.documents(spark, sf_dir), rules)
+    return found.select("path", "line_number", "rule_id", "match_ordinal", F.array_join("snippet_context", "\n").alias("context"))
+
+
+@query
+def inline_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = files.lines(b.documents(spark, sf_dir)).select("path", "line_number", "line")
+    found = suppress.directives(lines, marker="%%%").where("suppressed is not null")
+    return found.groupBy("path").agg(F.count("*").alias("n_lines"), F.count_if(F.array_contains("suppressed", "*")).alias("n_all"))
+
+
+@query
+def suppressed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = b.documents(spark, sf_dir)
+    found = detect.detect_literal(docs, RULE_PAIRS).withColumnRenamed("path", "file_path")
+    kept = suppress.unsuppressed(found, files.lines(docs).select("path", "line_number", "line"), marker="%%%")
+    return kept.groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+IGNORED = "src1/\n# a comment\n!src1/3/\n/src2/4/\n**/doc_7*\n!**/doc_77.txt\nsrc5/*/doc_?[0].txt\n"
+
+
+@query
+def path_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    patterns = suppress.parse_ignore(IGNORED)
+    return b.documents(spark, sf_dir).select("path", suppress.is_excluded(F.col("path"), patterns).alias("excluded"))
+
+
+@query
+def include_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = b.documents(spark, sf_dir)
+    wanted = b.table(spark, sf_dir, "labels").join(b.table(spark, sf_dir, "documents"), "doc_id").select(F.concat("source", F.lit("/"), F.col("doc_id") % 10, F.lit("/doc_"), "doc_id", F.lit(".txt")).alias("path"))
+    return lifecycle.include_only(docs, wanted).groupBy("language").agg(F.count("*").alias("n"))
+
+
+@query
+def rule_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.col("path")
+    return b.documents(spark, sf_dir).select("path", detect.glob_accepts(path, ["doc_1*.txt", "src3/*/doc_?.txt"]).alias("accepted"), files.language(path).alias("routed"))
+
+
+@query
+def language_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["a.PY", "b.kts", "Dockerfile", "x.dockerfile", "web.nginx.conf", "site.conf", "key.PEM", "noext", "c.unknown", ".env.local", "sshd_config", "m.tfvars"]
+    path = F.concat(F.lit("p"), F.col("p_partkey"), F.lit("/"), b.pick(names, F.col("p_partkey")))
+    routed = b.table(spark, sf_dir, "part").select(path.alias("path")).withColumn("language", files.language(F.col("path")))
+    return routed.groupBy("language", files.is_source(F.col("language")).alias("is_source")).agg(F.count("*").alias("files"))
+
+
+@query
+def sentinel_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = b.documents(spark, sf_dir)
+    found = detect.detect_literal(docs, [RULE_PAIRS[4]]).select(F.col("path").alias("file_path"))
+    table = [("en", "article", r"\b(the|an)\b"), ("en", "junction", r"\band\b"), ("fr", "article", r"\b(les|une)\b"), ("de", "article", r"\b(der|die|das)\b")]
+    return detect.sentinel(docs, found, table, excluded=r"licensed").select("path", "line_number", "column", "library")
+
+
+@query
+def notebook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as notebooks: a string cell, a note, and an array cell."""
+    docs = b.documents(spark, sf_dir).where("text <> ''")
+    quoted = F.to_json(F.struct(F.col("text").alias("t")))
+    body = F.regexp_extract(quoted, r'(?s)^\{"t":(.*)\}$', 1)
+    text = F.concat(F.lit('{"cells":[{"cell_type":"code","source":'), body, F.lit('},{"cell_type":"markdown","source":"x"},{"cell_type":"code","source":["a = 1\\n","b = 2"]}]}'))
+    cells = notebook.cell_lines(docs.select("path", text.alias("text")))
+    return cells.groupBy("path", "cell").agg(F.count("*").alias("n_lines"), F.min("line_number").alias("first_line"), F.max("line_number").cast("long").alias("last_line")).withColumn("first_line", F.col("first_line").cast("long"))
+
+
+# --- the algebra of findings
+
+
+@query
+def threshold_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.at_least(b.findings(spark, sf_dir), "medium").groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
+
+
+@query
+def exit_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.exit_code(b.findings(spark, sf_dir), "high")
+
+
+@query
+def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = b.findings(spark, sf_dir)
+    parts = [lifecycle.facet(own, c).select(F.lit(c).alias("facet"), F.col(c).alias("value"), "n") for c in ("severity", "algorithm")]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def top_n_other(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.top_and_other(b.findings(spark, sf_dir), "algorithm", 8)
+
+
+@query
+def explorer_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = lifecycle.adapted(lifecycle.explore(b.findings(spark, sf_dir), ["high", "critical", "odd"], path_part="/F1"))
+    return own.groupBy("severity", "algorithm").agg(F.count("*").alias("n"))
+
+
+@query
+def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.severity_counts(b.findings(spark, sf_dir))
+
+
+@query
+def supersede_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = b.findings(spark, sf_dir)
+    kept = detect.supersede(own.where("channel <> 'ast'"), own.where("channel = 'ast'"))
+    return kept.groupBy("layer_ordinal", "rule_id").agg(F.count("*").alias("n"))
+
+
+@query
+def promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fuse.promote(b.findings(spark, sf_dir))
+    return made.select("file_path", "rule_id", "algorithm", "quantum_safety", "line_number", "column", six(F.col("confidence")).alias("confidence"))
+
+
+@query
+def class_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = b.findings(spark, sf_dir)
+    return own.groupBy("algorithm").agg(F.count("*").alias("n")).withColumn("class", scalars.class_key(F.col("algorithm"))).withColumn("folded", scalars.normal_algorithm(F.col("algorithm")))
+
+
+def _clusters(df: DataFrame, *by: str) -> DataFrame:
+    return df.select(*by, "algorithm_class", F.array_join("channels", "+").alias("channels"), F.col("corroboration").cast("long").alias("corroboration"), six(F.col("confidence")).alias("confidence"), "severity", "n_findings")
+
+
+@query
+def fuse_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clusters(fuse.clusters(b.findings(spark, sf_dir)))
+
+
+@query
+def fuse_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clusters(fuse.clusters(b.findings(spark, sf_dir), by=("file_path",)), "file_path")
+
+
+@query
+def fuse_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _clusters(fuse.passthrough(b.findings(spark, sf_dir)))
+    return own.groupBy("algorithm_class", "channels", "severity").agg(F.count("*").alias("n"), six(F.max("confidence")).alias("top"))
+
+
+@query
+def agility_libraries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agility.libraries(b.findings(spark, sf_dir), ["module"])
+
+
+@query
+def agility_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agility.concentration(b.findings(spark, sf_dir), ["module"])
+
+
+@query
+def agility_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agility.diversity(b.findings(spark, sf_dir), ["module"])
+
+
+@query
+def agility_hardcoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agility.hardcoded(b.findings(spark, sf_dir), ["module"])
+
+
+@query
+def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    card = agility.scorecard(b.findings(spark, sf_dir), ["module"])
+    return card.select("module", F.array_join("libraries", ",").alias("libraries"), "library_score", "concentration_score", "diversity_score", "hardcoded_score", "total_score", "grade")
+
+
+@query
+def risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = b.findings(spark, sf_dir).select("algorithm", "key_size", "quantum_safety", "usage_type").distinct()
+    score = risk.service_score(*(F.col(c) for c in own.columns))
+    return own.withColumn("score", score).withColumn("level", risk.risk_level(F.col("score")))
+
+
+@query
+def worst_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = b.findings(spark, sf_dir)
+    score = risk.service_score(*(F.col(c) for c in ("algorithm", "key_size", "quantum_safety", "usage_type")))
+    return own.groupBy("module").agg(F.coalesce(F.max(score), F.lit(0)).alias("worst"))
+
+
+@query
+def risk_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as findings in contexts of all kinds."""
+    k, o = F.col("o_custkey"), F.col("o_orderkey")
+    controls = F.array_compact(F.array(F.when(o % 2 == 0, F.lit("HSM")), F.when(o % 3 == 0, F.lit("vault")), F.when(o % 5 == 0, F.lit("key_rotation")), F.when(o % 7 == 0, F.lit("hsm"))))
+    tags = F.array_compact(F.array(F.when(k % 4 == 0, F.lit("PCI-DSS")), F.lit("internal")))
+    score = risk.risk_score_v1(
+        b.pick(["MD5", "SHA1", "RSA", "AES", "AES-ECB", "TLS", "other"], o), F.when(o % 3 == 0, F.lit(1024)), b.pick(b.SAFETY_CYCLE, k), b.pick(["key_exchange", "signing", "hashing", "tls_config", "none"], k),
+        b.pick(["public", "partner", "internal", "dev", "odd"], o), b.pick(["regulated", "confidential", "internal", "public"], k), b.pick(["production", "staging", "dev", "test"], o),
+        b.pick(["critical", "high", "medium", "low"], k), b.pick(["active", "inactive", "unknown"], o), tags, controls, o % 50 == 0,
+    )
+    own = b.table(spark, sf_dir, "orders").select(score.alias("score"))
+    return own.groupBy("score", risk.risk_level(F.col("score")).alias("level")).agg(F.count("*").alias("n"))
+
+
+@query
+def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.baseline(b.findings(spark, sf_dir))
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    own = b.findings(spark, sf_dir)
+    return own.where("position % 20 < 10"), own.where("position % 20 >= 10")
+
+
+@query
+def baseline_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = _halves(spark, sf_dir)
+    return lifecycle.beyond_baseline(new, lifecycle.baseline(old)).groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+@query
+def baseline_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = _halves(spark, sf_dir)
+    return lifecycle.accepted_count(new, lifecycle.baseline(old))
+
+
+@query
+def enrich_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as overlay entries, of which the last of a rule counts."""
+    k = F.col("p_partkey")
+    overlay = b.table(spark, sf_dir, "part").where("p_partkey % 12 < 9").select(
+        b.pick([r[0] for r in b.RULES], k).alias("rule_id"), F.when(k % 2 == 0, F.concat(F.lit("use "), k % 5)).otherwise("").alias("recommendation"), F.concat(F.lit("to "), k % 3).alias("migration_target"),
+        F.lit("").alias("vertical_context"), F.array(F.concat(F.lit("ref"), k)).alias("references"), F.array(F.lit(327)).alias("cwe"), k.alias("ordinal"),
+    )
+    own = b.findings(spark, sf_dir).withColumns({"recommendation": F.when(F.col("position") % 3 == 0, F.lit("own")).otherwise(""), "migration_target": F.lit(""), "vertical_context": F.lit(None).cast("string"), "references": F.array().cast("array<string>"), "cwe": F.lit(None).cast("array<int>")})
+    done = lifecycle.enrich(own, overlay)
+    return done.groupBy("rule_id", "recommendation", "migration_target", F.array_join("references", ",").alias("refs"), "enriched").agg(F.count("*").alias("n"))
+
+
+@query
+def blame_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as blame: one author for each line of a file."""
+    o = F.col("o_orderkey")
+    blame = b.table(spark, sf_dir, "orders").groupBy(F.concat(F.lit("src/m"), o % 97, F.lit("/f"), F.col("o_custkey") % 53, F.lit(".py")).alias("path"), (o % 7 * 10).cast("int").alias("line")).agg(F.concat(F.lit("a"), F.max("o_custkey")).alias("author"), F.max("o_orderstatus").alias("commit"))
+    return lifecycle.with_blame(b.findings(spark, sf_dir), blame).groupBy("git_blame_commit").agg(F.count("*").alias("n"), F.countDistinct("git_blame_author").alias("authors"))
+
+
+# --- graphs
+
+
+@query
+def direct_importers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.direct_importers(graph.clean(b.edges(spark, sf_dir)))
+
+
+@query
+def transitive_importers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.transitive_importers(b.edges(spark, sf_dir)).groupBy("node").agg(F.count("*").alias("transitive"), F.max("importer").alias("last"))
+
+
+@query
+def same_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.same_directory(b.nodes(b.edges(spark, sf_dir)))
+
+
+@query
+def impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = b.edges(spark, sf_dir)
+    reach = graph.impact(b.nodes(own), own)
+    return reach.select("node", "direct", "transitive", "siblings", "blast_radius", "band", F.array_join("affected_files", ",").alias("affected"))
+
+
+@query
+def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = b.edges(spark, sf_dir)
+    return graph.counts(b.nodes(own), own)
+
+
+# --- the plan
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: clusters, scorecard and reach joined to the findings of the structural channel.
+
+    Modules stand for files here: a module's findings have the reach of one file of the graph.
+    """
+    own = b.findings(spark, sf_dir)
+    clusters = fuse.clusters(own, by=("module",))
+    joined = fuse.with_cluster(own.where("channel = 'ast'"), clusters, by=("module",))
+    links = b.edges(spark, sf_dir)
+    reach = graph.impact(b.nodes(links), links).where("node like 's/%'").select(F.regexp_replace("node", "^s/r", "m").alias("module"), "blast_radius", "band")
+    cards = agility.scorecard(own, ["module"]).select("module", F.col("total_score").alias("agility"))
+    ready = joined.join(reach, "module", "left").join(cards, "module")
+    return plan.score_items(ready, F.col("agility"))
+
+
+@query
+def work_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = plan.ranked(_items(spark, sf_dir))
+    return ranked.select("finding_id", "rank", "score", "priority_band", "fused_confidence", F.col("corroboration").cast("long").alias("corroboration"), "blast_radius", F.array_join("channels", "+").alias("channels"))
+
+
+@query
+def plan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.summary(_items(spark, sf_dir))
+
+
+@query
+def plan_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = plan.phases(plan.ranked(_items(spark, sf_dir)))
+    return found.select("phase", "name", "n", "effort_days", F.array_join("ranks", ",").alias("ranks"))
+
+
+# --- changes, scans, gates, dependencies, endpoints
+
+
+def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    o = b.table(spark, sf_dir, "orders")
+    path = F.concat(F.lit("o/"), "o_orderkey", F.lit(".go")).alias("path")
+    old = o.where("o_orderkey % 3 <> 0").select(path, F.sha2("o_orderstatus", 256).alias("digest"))
+    new = o.where("o_orderkey % 5 <> 0").select(path, F.sha2(F.when(F.col("o_orderkey") % 7 == 0, F.lit("changed")).otherwise(F.col("o_orderstatus")), 256).alias("digest"))
+    return old, new
+
+
+@query
+def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.snapshot_diff(*_snapshots(spark, sf_dir))
+
+
+@query
+def importer_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changes = b.table(spark, sf_dir, "supplier").select(F.concat(F.lit("lib/s"), "s_suppkey", F.lit(".py")).alias("path"), b.pick(["new", "modified", "removed"], F.col("s_suppkey")).alias("state"))
+    imported = b.table(spark, sf_dir, "part").select(F.concat(F.lit("app/p"), "p_partkey", F.lit(".py")).alias("path"), F.concat(F.lit("lib/s"), F.col("p_partkey") % 300).alias("module"))
+    return lifecycle.expand_importers(changes, imported)
+
+
+@query
+def latest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = b.table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus")
+    return lifecycle.latest(o, "o_custkey", "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
+@query
+def score_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = b.table(spark, sf_dir, "orders")
+    mark = F.concat(F.lit("f"), F.col("o_orderkey") % 1000).alias("fingerprint")
+    old = o.where("o_orderkey % 1000 < 700").select(mark, (F.col("o_custkey") % 40).alias("score"))
+    new = o.where("o_orderkey % 1000 >= 300").select(mark, (F.col("o_custkey") % 45).alias("score"))
+    return lifecycle.score_events(old, new)
+
+
+def _truth(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders as instances, forbidden ranges and excluded files."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    own = b.table(spark, sf_dir, "orders").withColumn("file", F.concat(F.lit("SRC/m"), c % 97, F.lit("/f"), o % 53, F.lit(".py")))
+    none = F.array().cast("array<string>")
+    instances = own.select(
+        F.concat(F.lit("i"), o).alias("id"), "file", F.when(o % 9 != 0, (o % 7 * 10 + 2).cast("int")).alias("line"), F.array(b.pick(b.LABELS[:10], o), b.pick(["des-ede", "MD5", "DESede"], c)).alias("algorithm"),
+        F.when(c % 2 == 0, F.array(F.lit("high"), F.lit("critical"))).otherwise(none).alias("severity"), F.when(c % 3 == 0, F.array(F.lit("vulnerable"), F.lit("hybrid"))).otherwise(none).alias("quantum_safety"),
+        F.when(c % 5 == 0, F.lit("ast")).otherwise("floor").alias("tier"), b.pick(["python", "go", "cobol"], o).alias("language"), F.when(o % 4 == 0, F.lit("PY_")).alias("rule_id_prefix"),
+    )
+    forbidden = own.where("o_orderkey % 10 = 1").select(
+        "file", F.when(o % 3 != 0, (o % 5 * 10).cast("int")).alias("line"), F.when(o % 3 == 1, (o % 5 * 10 + 20).cast("int")).alias("line_end"), F.concat(F.lit("r"), o).alias("reason"),
+        F.when(c % 2 == 0, F.array(F.lit("vulnerable"))).otherwise(none).alias("allow_safety"), F.when(c % 4 == 0, F.lit("medium")).alias("allow_severity"),
+    )
+    excluded = own.where("o_orderkey % 100 = 7").select("file").distinct()
+    return instances, forbidden, excluded
+
+
+@query
+def gate_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    instances, _, _ = _truth(spark, sf_dir)
+    return gate.recall(instances, b.findings(spark, sf_dir), ["python", "go"]).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query
+def gate_forbidden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, forbidden, _ = _truth(spark, sf_dir)
+    return gate.violations(b.findings(spark, sf_dir), forbidden).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query
+def gate_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = gate.unexplained(b.findings(spark, sf_dir), *_truth(spark, sf_dir))
+    return left.groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+@query
+def sbom_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sbom.fan_out(b.dependencies(spark, sf_dir), sbom.knowledge(spark))
+    return found.groupBy("rule_id", "algorithm", "quantum_safety", "severity").agg(F.count("*").alias("n"), F.min("file_path").alias("first"))
+
+
+@query
+def manifest_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as requirement files, one a brand."""
+    k = F.col("p_partkey")
+    line = F.when(k % 5 == 0, F.concat(F.lit("# note "), k)).when(k % 5 == 1, F.concat(F.lit("Pkg"), k, F.lit("[x,y] >= "), "p_size", F.lit(" ; python_version > '3'"))).when(k % 5 == 2, F.concat(F.lit("pkg"), k)).when(k % 5 == 3, F.concat(F.lit("  pkg"), k, F.lit("=="), "p_size", F.lit("  # why"))).otherwise(F.concat(F.lit("-r other"), k))
+    own = b.table(spark, sf_dir, "part").groupBy(F.concat("p_brand", F.lit("/requirements.txt")).alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+    return manifests.dependencies(own).select("manifest", "package", "version", "line")
+
+
+@query
+def manifest_go_mod(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as module files, one a brand: a block, with every third line commented out."""
+    k = F.col("p_partkey")
+    line = F.when(k % 3 == 0, F.concat(F.lit("\t// mod/"), k)).otherwise(F.concat(F.lit("\tmod/"), k, F.lit(" v"), "p_size", F.when(k % 2 == 0, F.lit(" // indirect")).otherwise("")))
+    own = b.table(spark, sf_dir, "part").groupBy(F.concat("p_brand", F.lit("/go.mod")).alias("path")).agg(F.concat(F.lit("module m\nrequire (\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, line.alias("line")))), lambda x: x["line"]), "\n"), F.lit("\n)\nrequire last/one v9\nmod/none v1\n")).alias("text"))
+    return manifests.dependencies(own).select("manifest", "package", "version", "line")
+
+
+@query
+def tls_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tls.findings(b.observations(spark, sf_dir), F.to_timestamp(F.lit(b.AS_OF)))
+    return found.select("file_path", "rule_id", "algorithm", "severity", "quantum_safety", "category", "snippet")
+
+
+@query
+def token_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as model calls."""
+    models = ["gpt-4o-mini-2024", "GPT-4o", "claude-opus-x", "other"]
+    k = F.col("event_id")
+    return b.table(spark, sf_dir, "events").select("event_id", scalars.token_cost(b.pick(models, k), (k % 5000).cast("int"), (k % 777).cast("int")).cast("double").alias("cost"))
+
+
+@query
+def report_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules as a report describes them, by the last finding of each."""
+    own = b.findings(spark, sf_dir).withColumns({"message": F.concat(F.lit("found "), "algorithm"), "cwe": F.array(F.lit(327))})
+    rules = reports.sarif_rules(own)
+    return rules.select("rule_id", F.col("rule.shortDescription.text").alias("text"), F.col("rule.defaultConfiguration.level").alias("level"), F.col("rule.properties.security-severity").alias("security_severity"), F.array_join("rule.properties.tags", " ").alias("tags"))
+
+
+@query
+def report_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = b.findings(spark, sf_dir).withColumn("message", F.lit("m"))
+    rows = reports.sarif_results(own)
+    each = rows.select("ruleId", "level", F.element_at("locations", 1)["physicalLocation"]["region"]["startLine"].alias("line"))
+    return each.groupBy("ruleId", "level").agg(F.count("*").alias("n"), F.max("line").alias("last_line"))
+
+
+@query
+def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = lifecycle.readiness(b.findings(spark, sf_dir), ["module"])
+    return own.select("module", "n", "ready", six(F.col("readiness")).alias("readiness"), threshold_rank(F.lit("high")).alias("rank"))
