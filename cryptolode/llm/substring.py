@@ -122,7 +122,9 @@ class Chunk:
 
 def runs(slices: np.ndarray) -> list[tuple[int, int, int]]:
     """(slice, begin, end) of the runs of ascending slices."""
-    edge = np.flatnonzero(np.diff(slices, prepend=slices[:1] - _U(1))) if len(slices) else np.zeros(0, int)
+    if not len(slices):
+        return []
+    edge = np.flatnonzero(np.diff(slices, prepend=slices[:1] - _U(1)))
     return [(int(slices[a]), int(a), int(b)) for a, b in zip(edge, [*edge[1:], len(slices)], strict=True)]
 
 
