@@ -83,7 +83,8 @@ def confidence_or_half(confidence: Column) -> Column:
 def noisy_or(confidence: Column, cap: float = 0.99) -> Column:
     """Aggregate: the chance that one of independent signals is true; of none, 0."""
     p = F.least(confidence_or_half(confidence), F.lit(1.0))
-    return F.coalesce(F.least(F.lit(cap), 1 - F.product(1 - p)), F.lit(0.0))
+    none = F.product(1 - p)
+    return F.when(none.isNull(), F.lit(0.0)).otherwise(F.least(F.lit(cap), 1 - none))
 
 
 def fingerprint(rule_id: Column, path: Column, snippet: Column, line: Column) -> Column:

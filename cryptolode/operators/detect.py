@@ -36,12 +36,12 @@ def match_columns(line: Column, pattern: str) -> Column:
     return F.when(line.rlike(java) & ~F.contains(line, F.lit(MARK)), F.element_at(starts, 1)).otherwise(none)
 
 
-def detect_literal(files: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+def detect_literal(files: DataFrame, rules: list[tuple[str, str]], keep: tuple[str, ...] = ()) -> DataFrame:
     """files (path, language, text) against a few rules (id, pattern), all in one pass without a shuffle.
 
-    Lines without any match are dropped before positions are counted.
+    Lines without any match are dropped before positions are counted. Columns of files named in keep are carried along.
     """
-    by_line = lines(files.select("path", "language", "text"))
+    by_line = lines(files.select("path", "language", "text", *keep))
     some = None
     for _, pattern in rules:
         hit = F.col("line").rlike(to_java(pattern))
@@ -55,8 +55,8 @@ def detect_literal(files: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
         return F.transform(match_columns(F.col("line"), pattern), row)
 
     found = F.flatten(F.array(*[rows(n, name, pattern) for n, (name, pattern) in enumerate(rules)]))
-    each = hits.select("path", "language", "line_number", "line", "lines", F.explode(found).alias("m"))
-    return each.select("path", "language", "m.rule_ordinal", "m.rule_id", "line_number", "m.column", "m.match_ordinal", F.col("line").alias("snippet"), context(F.col("lines"), F.col("line_number")).alias("snippet_context"))
+    each = hits.select(*keep, "path", "language", "line_number", "line", "lines", F.explode(found).alias("m"))
+    return each.select(*keep, "path", "language", "m.rule_ordinal", "m.rule_id", "line_number", "m.column", "m.match_ordinal", F.col("line").alias("snippet"), context(F.col("lines"), F.col("line_number")).alias("snippet_context"))
 
 
 def detect_pack(files: DataFrame, rules: DataFrame) -> DataFrame:

@@ -97,7 +97,7 @@ def promote(findings: DataFrame) -> DataFrame:
     counted = F.col("confidence") > 0
     groups = again.groupBy("file_path", "key").agg(
         F.sort_array(F.collect_set(F.when(counted, F.col("rule_id")))).alias("rules"),
-        F.coalesce(F.least(F.lit(PROMOTION_CAP), 1 - F.product(F.when(counted, 1 - F.least(F.col("confidence"), F.lit(1.0))))), F.lit(0.0)).alias("confidence"),
+        F.least(F.lit(PROMOTION_CAP), 1 - F.product(F.when(counted, 1 - F.least(F.col("confidence"), F.lit(1.0))))).alias("confidence"),
         F.max("best").alias("best"), F.min("first").alias("first"),
     ).where(F.size("rules") >= 2)
     text = F.format_string("%s implemented by hand: %d signals agree in this file (%s), confidence %.2f.", "best.algorithm", F.size("rules"), F.array_join("rules", ", "), "confidence")

@@ -6,7 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FINDING_SCHEMA = T._parse_datatype_string(
+_TYPES = {
+    "string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(),
+    "array<string>": T.ArrayType(T.StringType()), "array<int>": T.ArrayType(T.IntegerType()),
+}
+
+
+def _schema(fields: str) -> T.StructType:
+    """A schema from `name type, ...`, without a session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (f.split() for f in fields.split(", "))])
+
+
+FINDING_SCHEMA = _schema(
     "finding_id string, scan_job_id string, rule_id string, language string, algorithm string, usage_type string, category string, "
     "message string, quantum_safety string, severity string, key_size int, file_path string, line_number int, column int, snippet string, "
     "snippet_context array<string>, confidence double, recommendation string, migration_target string, vertical_context string, "
@@ -15,7 +26,7 @@ FINDING_SCHEMA = T._parse_datatype_string(
 #: Order columns that a finding carries beside its fields: rule-major within a file, then line, then match.
 ORDER_COLUMNS = ("rule_ordinal", "line_number", "match_ordinal")
 
-RULE_SCHEMA = T._parse_datatype_string(
+RULE_SCHEMA = _schema(
     "rule_ordinal int, rule_id string, language string, category string, layer string, severity string, algorithm string, usage_type string, "
     "quantum_safe boolean, quantum_safety string, key_size int, detector_type string, pattern string, query string, flags string, message string, "
     "recommendation string, references array<string>, cwe array<int>, confidence double, file_globs array<string>, "

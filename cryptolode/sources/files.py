@@ -90,12 +90,13 @@ def is_source(lang: Column) -> Column:
 
 
 def read_tree(spark: SparkSession, root: str, only: list[str] | None = None) -> DataFrame:
-    """path (below root), size, content of regular files up to MOST_BYTES. With `only`, those paths alone are opened."""
+    """path (below root), size, content of regular files up to MOST_BYTES. With `only`, those paths alone are opened.
+    The reader passes over empty files, in which nothing can be found."""
     reader = spark.read.format("binaryFile")
     found = reader.load([f"{root}/{p}" for p in only]) if only is not None else reader.option("recursiveFileLookup", "true").load(root)
     base = F.regexp_extract(F.lit(root), r"^(?:[a-z]+:/*)?(.*?)/*$", 1)
     at = F.instr(F.col("path"), base)
-    path = F.ltrim(F.expr("substring(path, 1)")) if root == "" else F.regexp_replace(F.substring(F.col("path"), at + F.length(base), F.length("path")), "^/+", "")
+    path = F.regexp_replace(F.substring(F.col("path"), at + F.length(base), F.length("path")), "^/+", "")
     return found.where(F.col("length") <= MOST_BYTES).select(path.alias("path"), F.col("length").alias("size"), "content")
 
 

@@ -8,12 +8,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
+from pyspark.sql.window import WindowSpec
 
 from ..functions.scalars import strip
 from .files import lines
 
 DEPENDENCY_COLUMNS = ["ecosystem", "package", "version", "manifest", "line"]
-SO_FAR = W.partitionBy("path").orderBy("line_number").rowsBetween(W.unboundedPreceding, 0)
+
+
+def so_far() -> WindowSpec:
+    """A line and those above it in its file."""
+    return W.partitionBy("path").orderBy("line_number").rowsBetween(W.unboundedPreceding, 0)
 
 
 def is_manifest(path: Column) -> Column:
@@ -44,7 +49,7 @@ def requirements(files: DataFrame) -> DataFrame:
 def toml_section(files: DataFrame, headers: list[str]) -> DataFrame:
     """`name = version` lines of the sections with these headers."""
     own = lines(files).withColumn("t", strip(F.col("line"))).where(~F.col("t").rlike("^(#|$)"))
-    own = own.withColumn("section", F.last(F.when(F.startswith(F.col("t"), F.lit("[")), F.col("t")), ignorenulls=True).over(SO_FAR))
+    own = own.withColumn("section", F.last(F.when(F.startswith(F.col("t"), F.lit("[")), F.col("t")), ignorenulls=True).over(so_far()))
     own = own.where(F.col("section").isin(*headers) & ~F.startswith(F.col("t"), F.lit("[")) & F.contains(F.col("t"), F.lit("=")))
     name = F.regexp_replace(strip(F.regexp_extract("t", r"^([^=]*)=", 1)), r"""^["']+|["']+$""", "")
     return rows(own.withColumn("name", name).where("name <> 'python'"), "python", F.col("name"), unquoted(F.regexp_extract("t", r"^[^=]*=(.*)$", 1)))
@@ -58,11 +63,11 @@ def project_array(files: DataFrame) -> DataFrame:
     """Requirements of `dependencies = [...]` in `[project]`, on one line or many."""
     own = lines(files).withColumn("t", strip(F.col("line"))).where(~F.col("t").rlike("^(#|$)"))
     header = F.startswith(F.col("t"), F.lit("["))
-    own = own.withColumn("section", F.last(F.when(header, F.col("t")), ignorenulls=True).over(SO_FAR)).where((F.col("section") == "[project]") & ~header)
+    own = own.withColumn("section", F.last(F.when(header, F.col("t")), ignorenulls=True).over(so_far())).where((F.col("section") == "[project]") & ~header)
     begins = F.col("t").rlike("^dependencies.*=")
     closed = begins & F.col("t").rlike(r"\[.*\]")
     state = F.when(closed, F.lit("out")).when(begins, F.lit("in")).when(F.startswith(F.col("t"), F.lit("]")), F.lit("out"))
-    own = own.withColumn("begins", begins).withColumn("state", F.last(state, ignorenulls=True).over(SO_FAR))
+    own = own.withColumn("begins", begins).withColumn("state", F.last(state, ignorenulls=True).over(so_far()))
     inline = F.regexp_replace(F.regexp_extract("t", r"\[(.*)$", 1), r"\][^\]]*$", "")
     first = own.where("begins").withColumn("item", F.explode(F.split(inline, ",")))
     more = own.where("not begins and state = 'in'").withColumn("item", F.regexp_replace("t", ",$", ""))
@@ -87,7 +92,7 @@ def package_json(files: DataFrame) -> DataFrame:
 def go_mod(files: DataFrame) -> DataFrame:
     own = lines(files).withColumn("t", strip(F.col("line"))).where(~F.col("t").rlike("^(//|$)"))
     opens = F.startswith(F.col("t"), F.lit("require ("))
-    own = own.withColumn("state", F.last(F.when(opens, F.lit("in")).when(F.col("t") == ")", F.lit("out")), ignorenulls=True).over(SO_FAR)).where(~opens & (F.col("t") != ")"))
+    own = own.withColumn("state", F.last(F.when(opens, F.lit("in")).when(F.col("t") == ")", F.lit("out")), ignorenulls=True).over(so_far())).where(~opens & (F.col("t") != ")"))
     own = own.withColumn("body", F.when(F.col("state") == "in", F.col("t")).when(F.startswith(F.col("t"), F.lit("require ")), F.regexp_replace("t", "^require ", "")))
     parts = F.split(strip(F.regexp_replace("body", "//.*$", "")), r"\s+")
     own = own.where("body is not null").withColumn("parts", parts).where(F.size("parts") >= 2)

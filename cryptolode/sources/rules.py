@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,8 +56,6 @@ def languages(rules: DataFrame) -> DataFrame:
 
 def self_test(rules: DataFrame) -> DataFrame:
     """Examples that a rule gets wrong: rule_id, example, expected."""
-    import pandas as pd
-
     examples = F.array_union(F.transform("examples_match", lambda x: F.struct(x.alias("example"), F.lit(True).alias("expected"))), F.transform("examples_no_match", lambda x: F.struct(x.alias("example"), F.lit(False).alias("expected"))))
     each = rules.where("detector_type = 'regex'").select("rule_id", "pattern", "flags", F.explode(examples).alias("e")).select("rule_id", "pattern", "flags", "e.*")
 

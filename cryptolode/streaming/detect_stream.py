@@ -20,20 +20,11 @@ def arriving_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def detect_once(files: DataFrame, rules: list[tuple[str, str]], delay: str = "1 hour") -> DataFrame:
     """Findings of arriving files, each fingerprint once within the delay; state is bounded by the watermark."""
-    own = files.withWatermark("arrived", delay)
-    found = detect_literal(own.select("path", "language", "text"), rules) if "arrived" not in own.columns else _with_time(own, rules)
+    found = detect_literal(files.withWatermark("arrived", delay), rules, keep=("arrived",))
     marked = found.withColumn("fingerprint", fingerprint(F.col("rule_id"), F.col("path"), F.col("snippet"), F.col("line_number")))
     return marked.dropDuplicatesWithinWatermark(["fingerprint"])
 
 
-def _with_time(files: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    # the path carries the time through the detector, which knows no further columns
-    tagged = files.select(F.to_json(F.struct("path", "arrived")).alias("path"), "language", "text")
-    found = detect_literal(tagged, rules)
-    parsed = found.withColumn("tag", F.from_json("path", "path string, arrived timestamp"))
-    return parsed.withColumns({"path": F.col("tag.path"), "arrived": F.col("tag.arrived")}).drop("tag")
-
-
 def write(findings: DataFrame, folder: str, checkpoint: str) -> DataStreamWriter:
     """A writer of Parquet files with exactly-once output."""
     return findings.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append")
