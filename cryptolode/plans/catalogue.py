@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import risk, scalars
-from ..operators import agility, detect, fuse, gate, graph, lifecycle, plan, sbom, suppress
-from ..schema import threshold_rank
+from ..operators import agility, detect, fuse, gate, graph, lifecycle, plan, sbom, structure, suppress
+from ..schema import RULE_SCHEMA, threshold_rank
 from ..sinks import reports
-from ..sources import files, manifests, notebook, tls
+from ..sources import files, manifests, notebook, tls, x509
 from . import bindings as b
 from .oracles import ORACLES
 
@@ -461,6 +461,30 @@ def tls_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("file_path", "rule_id", "algorithm", "severity", "quantum_safety", "category", "snippet")
 
 
+@query
+def structural_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as source files that call, mention and quote the same names."""
+    k = F.col("p_partkey")
+    body = F.concat(F.lit("x = lib.md5("), k, F.lit(")\n"), F.when(k % 4 == 0, F.concat(b.pick(["#", "//", "//"], k), F.lit(" lib.md5(1)\n"))).otherwise(F.lit("y = lib.md5(lib.md5(2))\n")), F.lit('z = "lib.md5(3)"\n'))
+    sources = b.table(spark, sf_dir, "part").select(F.concat(F.lit("p"), k).alias("path"), b.pick(["python", "go", "java"], k).alias("language"), body.alias("text"))
+    names = ("rule_ordinal", "rule_id", "language", "detector_type", "query")
+    pack = [(n, f"MD5_{x}", x, "ast", "call:lib.md5") for n, x in enumerate(("python", "go", "java"))]
+    rules = spark.createDataFrame([tuple(dict(zip(names, r, strict=True)).get(f.name) for f in RULE_SCHEMA) for r in pack], RULE_SCHEMA)
+    found = structure.detect_structure(sources, rules)
+    return found.groupBy("rule_id", "line_number", "match_ordinal", "column").agg(F.count("*").alias("n"))
+
+
+@query
+def x509_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as files of keys whose kind of block says what they are."""
+    k = F.col("s_suppkey")
+    kinds = ["RSA PRIVATE KEY", "EC PRIVATE KEY", "DSA PRIVATE KEY", "ENCRYPTED PRIVATE KEY", "OPENSSH PRIVATE KEY", "CERTIFICATE"]
+    kind = b.pick(kinds, k)
+    text = F.concat(F.repeat(F.lit("note\n"), (k % 3).cast("int")), F.lit("-----BEGIN "), kind, F.lit("-----\nAAAA\n-----END "), kind, F.lit("-----\n"))
+    keys = b.table(spark, sf_dir, "supplier").select(F.concat(F.lit("k"), k).alias("path"), text.cast("binary").alias("content"))
+    return x509.findings(keys).select("file_path", "rule_id", "algorithm", "line_number", "severity")
+
+
 @query
 def token_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as model calls."""

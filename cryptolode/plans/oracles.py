@@ -417,3 +417,12 @@ ORACLES["report_results"] = f"WITH {F} SELECT rule_id AS \"ruleId\", {LEVELS} AS
 ORACLES["readiness"] = f"""
 WITH {F}, r AS (SELECT module, count(*) AS n, count(*) FILTER (quantum_safety IN ('hybrid', 'quantum_safe', 'unknown')) AS ready FROM f GROUP BY module)
 SELECT module, n, ready, round(ready / n * 1e6) / 1e6 AS readiness, 3 AS rank FROM r"""
+
+ORACLES["structural_match"] = """
+WITH p AS (SELECT concat('MD5_', ['python', 'go', 'java'][p_partkey % 3 + 1]) AS rule_id, p_partkey % 4 = 0 AS noted FROM part)
+SELECT rule_id, 1 AS line_number, 0 AS match_ordinal, 5 AS "column", count(*) AS n FROM p GROUP BY rule_id
+UNION ALL SELECT rule_id, 2, 0, 5, count(*) FROM p WHERE NOT noted GROUP BY rule_id
+UNION ALL SELECT rule_id, 2, 1, 13, count(*) FROM p WHERE NOT noted GROUP BY rule_id"""
+ORACLES["x509_scan"] = """
+WITH k AS (SELECT concat('k', s_suppkey) AS file_path, ['RSA', 'ECDSA', 'DSA', '', 'SSH', ''][s_suppkey % 6 + 1] AS algorithm, CAST(s_suppkey % 3 + 1 AS INTEGER) AS line_number FROM supplier)
+SELECT file_path, concat('X509_PRIVATE_KEY_', algorithm) AS rule_id, algorithm, line_number, 'critical' AS severity FROM k WHERE algorithm <> ''"""
