@@ -22,7 +22,8 @@ FEATURES: dict[str, Callable[[str, tuple[int, ...], int], np.ndarray]] = {"char"
 
 @dataclasses.dataclass(frozen=True)
 class Settings:
-    """kinds: n-gram orders by kind of n-gram. bits: log2 of the number of weights. per_class: the sample's bound."""
+    """kinds: n-gram orders by kind of n-gram. bits: log2 of the number of weights. per_class: the sample's bound.
+    least_count: n-grams in fewer texts of the sample have no weight."""
 
     kinds: tuple[tuple[str, tuple[int, ...]], ...]
     bits: int = 18
@@ -30,6 +31,8 @@ class Settings:
     smoothing: float = 1.0
     cost: float = 0.01
     epochs: int = 8
+    least_count: int = 1
+    folds: int = 3
     seed: int = 5
 
 
@@ -53,7 +56,9 @@ def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, s: Settings) -> np.n
     for index, label in zip(rows, y, strict=True):
         counts[int(label > 0), index] += 1
     share = counts / counts.sum(axis=1, keepdims=True)
-    return np.log(share[1] / share[0]).astype(np.float32)
+    ratios = np.log(share[1] / share[0]).astype(np.float32)
+    ratios[counts.sum(axis=0) < s.least_count + 2 * s.smoothing] = 0
+    return ratios
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, s: Settings) -> tuple[np.ndarray, float]:
@@ -98,8 +103,8 @@ def platt(margins: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float
 
 
 def fit(texts: list[str | None], labels: list[int], weights: list[float], s: Settings) -> np.ndarray:
-    """The model as one float array: the weights, then bias, slope and intercept. Every fourth row calibrates; then the
-    final weights come from all rows."""
+    """The model as one float array: the weights, then bias, slope and intercept. The curve is fitted to the margins that
+    each fold's rows get from a model of the others; the final weights come from all rows."""
     find = Indicators(s)
     rows = [find(t).astype(np.int32) for t in texts]
     y = np.where(np.array(labels) > 0, 1.0, -1.0)
@@ -107,9 +112,9 @@ def fit(texts: list[str | None], labels: list[int], weights: list[float], s: Set
     if len(rows) < 8 or len(set(y)) < 2:  # nothing to tell apart: the share of label 1 for any text
         share = (weight[y > 0].sum() + 0.5) / (weight.sum() + 1.0) if len(rows) else 0.5
         return np.concatenate([np.zeros(1 << s.bits), [0.0, 1.0, np.log(share / (1 - share))]])
-    aside = np.arange(len(rows)) % 4 == 3
     margins = np.zeros(len(rows))
-    for part in (aside, ~aside) if len(rows) < 2000 else (aside,):
+    for fold in range(s.folds):
+        part = np.arange(len(rows)) % s.folds == fold
         own = [r for r, out in zip(rows, part, strict=True) if not out]
         if len(set(y[~part])) < 2:
             continue

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import new_names
 from .nbsvm import Settings, fit_on_spark, score
 
-SETTINGS = Settings(kinds=(("char", (3, 4, 5)),), per_class=4000, cost=0.03)
+SETTINGS = Settings(kinds=(("char", (4, 5, 6)),), bits=20, per_class=4000, cost=0.03, least_count=4)
 THRESHOLD = 0.3
 
 
