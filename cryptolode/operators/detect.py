@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
 import re
 from collections.abc import Iterator
 
@@ -16,8 +15,6 @@ from ..sources.files import context, lines
 MATCH_SCHEMA = "path string, language string, rule_ordinal int, rule_id string, line_number int, column int, match_ordinal int, snippet string, snippet_context array<string>"
 #: Stands before each match while positions are counted; lines that hold it have no positions.
 MARK = "\u0001"
-#: A rule set this small is matched inside the JVM.
-FEW_RULES = 12
 
 
 def match_columns(line: Column, pattern: str) -> Column:
@@ -87,7 +84,7 @@ def detect_pack(files: DataFrame, rules: DataFrame) -> DataFrame:
 
 def accepts(glob: str, path: str) -> bool:
     """Whether a glob accepts a file's name or its whole path; stars don't cross slashes."""
-    return any(re.match(glob_to_regex(glob), x) for x in (path.rsplit("/", 1)[-1], path)) or fnmatch.fnmatchcase(path, glob) and "/" not in path
+    return any(re.match(glob_to_regex(glob), x) for x in (path.rsplit("/", 1)[-1], path))
 
 
 def glob_accepts(path: Column, globs: list[str]) -> Column:

@@ -141,10 +141,8 @@ def same_directory(nodes: DataFrame) -> DataFrame:
 
 
 def impact(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
-    """node, direct, transitive, siblings, blast_radius, band and the first affected files, of the seeds or all nodes.
-
-    Transitive importers are those beyond the direct ones' own count: all that are reached, by any number of imports.
-    """
+    """node, direct, transitive (all that are reached, the direct ones too), siblings, blast_radius, band and the first
+    affected files, of the seeds or all nodes."""
     wanted = (seeds if seeds is not None else nodes).select("node").distinct()
     reached = transitive_importers(edges, wanted)
     counts = reached.groupBy("node").agg(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.scalars import fingerprint
-from ..schema import threshold_rank
+from ..schema import is_risk, threshold_rank
 
 OVERLAY_TEXTS = ("recommendation", "migration_target", "vertical_context")
 OVERLAY_LISTS = ("references", "cwe")
@@ -146,8 +146,6 @@ def score_events(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def readiness(findings: DataFrame, by: list[str]) -> DataFrame:
     """Share of findings that aren't at risk, by group (an extension)."""
-    from ..schema import is_risk
-
     return findings.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(~is_risk(F.col("quantum_safety"))).alias("ready")).withColumn("readiness", F.col("ready") / F.col("n"))
 
 

@@ -174,10 +174,9 @@ def scan(files: DataFrame) -> DataFrame:
 def findings(files: DataFrame) -> DataFrame:
     """The rows as findings: all of these algorithms fall to quantum computers."""
     weak = F.lower("detail").rlike("md2|md5|sha1")
-    severity = F.when(F.startswith(F.col("rule_id"), F.lit("X509_PRIVATE")), F.lit("critical")).otherwise(F.lit("high"))
     cwe = F.when(F.startswith(F.col("rule_id"), F.lit("X509_PRIVATE")), F.array(F.lit(327), F.lit(798))).otherwise(F.array(F.lit(327)))
     message = F.concat("algorithm", F.when(F.col("key_size").isNotNull(), F.concat(F.lit("-"), "key_size")).otherwise(""), F.lit(", which is quantum-vulnerable"), F.when(weak, F.lit("; its digest is weak today")).otherwise(""))
     return scan(files).select(
-        "rule_id", F.lit("x509").alias("language"), "algorithm", "key_size", "usage_type", F.lit("vulnerable").alias("quantum_safety"), severity.alias("severity"), F.lit("x509").alias("category"),
-        F.col("path").alias("file_path"), "line_number", F.lit(1).alias("column"), F.lit(1.0).alias("confidence"), message.alias("message"), cwe.alias("cwe"), "detail",
+        "rule_id", F.lit("x509").alias("language"), "algorithm", "key_size", "usage_type", F.lit("vulnerable").alias("quantum_safety"), F.lit("critical").alias("severity"), F.lit("certificate").alias("category"),
+        F.col("path").alias("file_path"), "line_number", F.lit(1).alias("column"), F.lit(0.99).alias("confidence"), message.alias("message"), cwe.alias("cwe"), "detail",
     )
