@@ -8,6 +8,8 @@ import numpy as np
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 5
+#: Bytes that are hashed at once (or a single longer word).
+PORTION = 1 << 20
 _powers = np.ones(1, _U)
 _inverses = np.ones(1, _U)
 _BYTES = np.random.default_rng(20240501).integers(1, 2**64, 256, dtype=_U)
@@ -53,7 +55,14 @@ class Words:
         self.starts, self.ends = edge[::2], edge[1::2]
         bounds = np.cumsum([0] + [len(c) + 1 for c in coded])
         self.first = np.searchsorted(self.starts, bounds)
-        self.hashes = spans_hash(_BYTES[self.data], self.starts, self.ends)
+        self.hashes = np.empty(len(self.starts), _U)
+        begin = 0
+        while begin < len(self.starts):  # in portions, since hashing takes much memory for each byte
+            low = self.starts[begin]
+            end = max(begin + 1, int(np.searchsorted(self.ends, low + PORTION, "right")))
+            part = slice(begin, end)
+            self.hashes[part] = spans_hash(_BYTES[self.data[low : self.ends[end - 1]]], self.starts[part] - low, self.ends[part] - low)
+            begin = end
 
     def windows(self, k: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of k words inside a text, and the word where each starts."""
