@@ -29,9 +29,29 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Folders that this program has written beside its results.
+_scratch: list[str] = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    _scratch.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete what operators have stored on the way, when their results are stored; the number of folders."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in map(spark.sparkContext._jvm.org.apache.hadoop.fs.Path, _scratch):
+        path.getFileSystem(conf).delete(path, True)
+    n = len(_scratch)
+    _scratch.clear()
+    return n
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors, and is computed once."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -23,10 +23,14 @@ from pyspark.sql.window import Window as W
 from .common import new_names
 from .hashing import batches_of
 
-LETTER = re.compile(r"[^\W\d_]")
+ASCII_LETTER = re.compile("[A-Za-z]")
 UNDETERMINED = "und"
 
 
+def has_letter(text: str) -> bool:
+    return bool(ASCII_LETTER.search(text)) or any(map(str.isalpha, text))
+
+
 @dataclasses.dataclass(frozen=True)
 class Settings:
     """hidden: units of each direction. length: bytes of a segment. per_lang: rows of a language in the sample, at most;
@@ -230,7 +234,7 @@ def identify(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]], ke
         for batch in batches:
             texts = batch.column(len(keep)).to_pylist()
             lang, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-            some = ((i, t) for i, t in enumerate(texts) if t and langs and LETTER.search(t))
+            some = ((i, t) for i, t in enumerate(texts) if t and langs and has_letter(t))
             for part in batches_of(some, lambda r: len(r[1]), 2_000_000):
                 chances = predict(net, [t.encode("utf-8", "surrogatepass") for _, t in part], s)
                 for (i, _), k, p in zip(part, chances.argmax(axis=0), chances.max(axis=0), strict=True):

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from .common import materialize, scratch_path
 from .hashing import Words
 
 WINDOW = 35
@@ -252,7 +252,7 @@ def store_chunks(docs: DataFrame, chunks: int, buckets: int) -> DataFrame:
     # dealt by position, so that no repeated row fills a chunk
     chunk = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), chunk.alias("chunk"))
-    rows.repartition(buckets, "chunk").write.format("parquet").bucketBy(buckets, "chunk").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+    rows.repartition(buckets, "chunk").write.format("parquet").bucketBy(buckets, "chunk").option("path", scratch_path(spark, "chunks")).option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
 
 

@@ -7,7 +7,7 @@ node's queries. Queries are first searched in blocks near them; then pairs of bl
 their centres and radii, and the rest are searched. Only k rows of a query leave a task.
 
 Components are floor(256 * x), so scores are integers and exact: in double precision where that holds all of them, in
-unbounded integers elsewhere; a score beyond 64 bits is given as the nearest long.
+unbounded integers elsewhere; a component or a score beyond 64 bits is taken as the nearest long.
 
 Defined results: vectors that are null or empty or hold a null or non-finite component take no part, nor do rows without
 a vec_id; only vectors of one length are compared; a row with the query's own vec_id is no candidate; query rows that

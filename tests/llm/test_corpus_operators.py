@@ -526,3 +526,19 @@ def test_words():
     words = Words(["a bb\tccc", "", None, "é  x y"])
     assert np.diff(words.first).tolist() == [3, 0, 0, 2]
     assert len(Words(["x " * 5]).windows(6)[0]) == 0 and len(words.windows(3)[0]) == 1
+
+
+def test_scratch_is_dropped(spark):
+    from pathlib import Path
+
+    from cryptolode.llm import common
+
+    common.drop_scratch(spark)
+    stored = common.materialize(spark.range(3), "numbers")
+    (folder,) = {f.rsplit("/", 1)[0].removeprefix("file:") for f in stored.inputFiles()}
+    assert stored.count() == 3 and Path(folder.replace("//", "/")).is_dir()
+    assert common.drop_scratch(spark) == 1 and not Path(folder.replace("//", "/")).exists()
+
+
+def test_letters():
+    assert langid.has_letter("1é") and langid.has_letter("a") and not langid.has_letter("1²_ -")
