@@ -63,6 +63,8 @@ class DigestIndex:
         keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest("text").alias("digest"))
         members = materialize(keys.groupBy("digest", "doc_id").agg(F.count("*").alias("copies")), "digests")
         groups = members.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+        # stored, or else the optimiser moves the anti-join below this aggregation, where a text with many copies is hot
+        groups = materialize(groups, "text-groups")
         fresh = materialize(self.new_groups(groups), "fresh")
         self.append(fresh)
         total = members.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
