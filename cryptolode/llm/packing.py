@@ -27,8 +27,8 @@ from pyspark.sql.window import Window as W
 from .common import materialize
 
 CAPACITY, END_ID = 1024, 2
-#: Pieces of one length are ranked in groups of about this many.
-RANK_GROUP = 200_000
+#: Pieces of one length are ranked in groups of about this many, so a length in a third of all pieces is no hot key.
+RANK_GROUP = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -40,11 +40,9 @@ def byte_symbols() -> dict[str, int]:
 
 
 @functools.cache
-def encoder(path: str):
-    """A fast encoder of a byte-level BPE vocabulary file of the tokenizers library, giving that library's ids.
-
-    The vocabulary's ids are its merge ranks, which is what tiktoken needs; added tokens are found in texts, as there.
-    """
+def vocabulary(path: str):
+    """A fast encoder of a byte-level BPE vocabulary file of the tokenizers library, which gives that library's ids, and
+    the bytes of each id. The vocabulary's ids are its merge ranks, which is what tiktoken needs."""
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
@@ -54,6 +52,14 @@ def encoder(path: str):
     # fixed value: the split pattern that the library's byte-level pre-tokenizer uses
     pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     own = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+    sizes = np.zeros(own.n_vocab, np.int64)
+    sizes[list(ranks.values())] = list(map(len, ranks))
+    return own, sizes
+
+
+def encoder(path: str):
+    """Texts to ids; added tokens are found in texts, as the library does."""
+    own, _ = vocabulary(path)
     return lambda text: own.encode_to_numpy(text, allowed_special="all")
 
 
@@ -168,9 +174,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces (doc_id, piece, length, ... ; stored, since it is read twice) with sequence_id and offset."""
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     runs = places(best_two_fit(histogram, capacity))
-    total = sum(histogram.values())
-    salts = max(1, total // RANK_GROUP)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    salts = F.array(*[F.lit(1 + histogram.get(n, 0) // RANK_GROUP) for n in range(1, capacity + 1)])
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.element_at(salts, F.col("length").cast("int"))))
     per = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     ahead = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     base = per.select("length", "salt", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
