@@ -16,7 +16,6 @@ rows without a conv_id are one conversation; an empty table gives no conversatio
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -26,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .packing import vocabulary
+
 OPEN, CLOSE = "<turn>", "</turn>"
 SEGMENT = 4_000_000
 FORMATTED = "conv_id long, segment int, formatted string, ids array<int>, token_starts array<int>, token_ends array<int>, loss_mask array<boolean>, turn_starts array<int>, turn_ends array<int>"
@@ -82,29 +83,35 @@ def masked(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -
     return mask
 
 
-@functools.cache
-def tokenizer(path: str):
-    from tokenizers import Tokenizer
+def encode(path: str, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and the characters where each begins and ends, in one encoding; added tokens' names are ordinary text.
 
-    return Tokenizer.from_file(path)
+    A token's bytes are known, so spans of bytes follow from a running sum; a token that has part of a character's bytes
+    has that character.
+    """
+    own, sizes = vocabulary(path)
+    ids = own.encode_to_numpy(text, disallowed_special=())
+    if not len(ids):
+        return ids, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    data = np.frombuffer(text.encode(), np.uint8)
+    character = np.cumsum((data & 0xC0) != 0x80) - 1
+    ends = np.cumsum(sizes[ids])
+    return ids, character[ends - sizes[ids]], character[ends - 1] + 1
 
 
 def format_conversations(rows: DataFrame, tokenizer_path: str, loss_role: str = "assistant") -> DataFrame:
     """rows (conv_id, turn, role, text) rendered and encoded, a row per conversation and segment, in order."""
 
     def formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tokenizer(tokenizer_path)
-        coder.encode_special_tokens = True
         waiting: list[tuple] = []
         size = 0
 
         def finish(conv_id, segment: int, turns: list[tuple[str, str]]) -> None:
             nonlocal size
             text, spans = render(turns)
-            encoded = coder.encode(text, add_special_tokens=False)
-            offsets = np.array(encoded.offsets, dtype=np.int32).reshape(-1, 2)
-            mask = masked(offsets[:, 0], offsets[:, 1], [s for s, (role, _) in zip(spans, turns, strict=True) if role == loss_role])
-            waiting.append((conv_id, segment, text, encoded.ids, offsets[:, 0], offsets[:, 1], mask, [s[0] for s in spans], [s[1] for s in spans]))
+            ids, starts, ends = encode(tokenizer_path, text)
+            mask = masked(starts, ends, [s for s, (role, _) in zip(spans, turns, strict=True) if role == loss_role])
+            waiting.append((conv_id, segment, text, ids.astype("int32"), starts.astype("int32"), ends.astype("int32"), mask, [s[0] for s in spans], [s[1] for s in spans]))
             size += len(text)
 
         def flush() -> pa.RecordBatch:

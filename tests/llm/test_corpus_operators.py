@@ -507,13 +507,21 @@ def test_chat_round_trip(spark, monkeypatch):
     assert chat.read_back(chat.format_conversations(df.limit(0), tokenizer_path())).count() == 0
 
 
-def test_segments_encode_like_the_whole(spark):
-    coder = chat.tokenizer(tokenizer_path())
-    coder.encode_special_tokens = True
+def test_encoding_with_offsets_is_the_librarys():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path())
+    library.encode_special_tokens = True
+    for text in ("", "hello world\n\n  x", "日本語é 🙂 <|endoftext|> ''s", "<turn>user\n a\t\n</turn>\n" * 3):
+        ids, starts, ends = chat.encode(tokenizer_path(), text)
+        wanted = library.encode(text, add_special_tokens=False)
+        assert ids.tolist() == wanted.ids and list(zip(starts.tolist(), ends.tolist(), strict=True)) == wanted.offsets
+
+
+def test_segments_encode_like_the_whole():
     turns = [("user", "hello \n\n"), ("assistant", " x\t"), ("user", "")]
-    whole, _ = chat.render(turns)
     parts = [chat.render([t])[0] for t in turns]
-    assert coder.encode(whole).ids == [i for p in parts for i in coder.encode(p).ids]
+    assert chat.encode(tokenizer_path(), chat.render(turns)[0])[0].tolist() == [i for p in parts for i in chat.encode(tokenizer_path(), p)[0].tolist()]
 
 
 def test_masks_by_binary_search():
