@@ -69,7 +69,7 @@ def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % modulus == remainder
 
 
-def join_unique(rows: DataFrame, unique: DataFrame, key: str, count: str, total: int) -> DataFrame:
+def join_unique(rows: DataFrame, unique: DataFrame, key: str | list[str], count: str, total: int) -> DataFrame:
     """Inner join of rows with a table that has each key once and the key's number of rows in column `count`.
 
     Keys with at least total / HOT_SHARE rows are joined by broadcast (there are at most HOT_SHARE of them, so the

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WORD, materialize, new_names
+from .common import WORD, join_unique, materialize, new_names
 
 #: Rows of a block, about; a source has no more than MOST_BLOCKS, so that its table of blocks stays small.
 BLOCK_ROWS, MOST_BLOCKS = 256, 65536
@@ -198,8 +198,11 @@ class Mix:
         part = (F.col("edge_rest") > 0).cast("long")
         return self.sources.select("rank", (F.col("times") * F.col("n_blocks") + F.col("edge") + part).alias("blocks"))
 
-    def shards(self) -> DataFrame:
-        """The mixed rows, with all columns of docs, shuffled within their shards; one shard is in one partition."""
+    def shards(self, draw: str | None = None) -> DataFrame:
+        """The mixed rows, with all columns of docs, shuffled within their shards; one shard is in one partition.
+
+        draw: the name of a further column for what is dealt: rank, u and doc_id of its document, the copy and the shard.
+        """
         docs = self.docs
         u, block, copies, copy, shard, place, took = new_names(docs, "u", "block", "copies", "copy", "shard", "place", "took")
         ends = shard_quotas(self.quotas(), self.levels, self.seed)
@@ -220,15 +223,41 @@ class Mix:
         part = part.join(edge, same).withColumn(copies, own["times"] + (F.col(f"{took}_nth") <= F.col(took)).cast("long"))
         out = plain.unionByName(part.select(*plain.columns)).where(F.col(copies) > 0)
         out = out.withColumn(copy, F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1)))
-        draw = F.col(copy) * own["n_blocks"] + F.col(block)
-        out = out.withColumn(shard, F.least(F.size(F.filter(own["ends"], lambda e: e <= draw)), F.lit((1 << self.levels) - 1)))
+        nth = F.col(copy) * own["n_blocks"] + F.col(block)
+        out = out.withColumn(shard, F.least(F.size(F.filter(own["ends"], lambda e: e <= nth)), F.lit((1 << self.levels) - 1)))
         out = out.withColumn(place, uniform(F.lit(self.seed + 1), F.col(shard), F.col(u), F.col(copy)))
-        return out.repartition(1 << self.levels, shard).sortWithinPartitions(shard, place).select(*docs.columns)
+        dealt = F.struct(
+            own["rank"].alias("rank"), F.col(u).alias("u"), docs["doc_id"].cast("long").alias("doc_id"), F.col(copy).alias("copy"), F.col(shard).alias("shard")
+        )
+        extra = [dealt.alias(draw)] if draw else []
+        out = out.repartition(1 << self.levels, shard).sortWithinPartitions(shard, place)
+        return out.select(*docs.columns, *extra)
+
+    def counted(self, dealt: DataFrame) -> DataFrame:
+        """dealt: rank, u and doc_id of every row of a mix. A row per row of docs, as `chosen` has, with its copies
+        counted from dealt; rows that repeat one another share what was dealt of them."""
+        key = ["rank", "u", "id", "no_id"]
+        ident = (F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.col("doc_id").isNull().alias("no_id"))
+        times = dealt.select("rank", "u", *ident).groupBy(*key).agg(F.count("*").alias("dealt"))
+        rows = self._with_plan(self.slim, self.sources).select("doc_id", "source", "size", "source_size", "target", "rank", "u", *ident)
+        each = rows.groupBy(*key).agg(F.count("*").alias("twins")).join(times, key, "left").fillna(0, ["dealt"])
+        each = materialize(each, "mix-dealt")
+        found = materialize(join_unique(rows, each, key, "twins", self.slim.count()), "mix-counted")
+        share = F.floor(F.col("dealt") / F.col("twins")).cast("long")
+        even = found.where("dealt % twins = 0").withColumn("copies", share)
+        # only rows of a block taken in part share unevenly
+        nth = F.row_number().over(W.partitionBy(*key).orderBy(F.lit(0)))
+        uneven = found.where("dealt % twins <> 0").withColumn("copies", share + (nth <= F.col("dealt") % F.col("twins")).cast("long"))
+        return even.unionByName(uneven).select("doc_id", "source", "size", "source_size", "target", "copies")
 
 
 def mix_report(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, taken."""
-    rows = Mix(docs, seed=seed).chosen()
+    """One row per row of docs: doc_id, size, source_size, target, taken. The mix is made and stored with all columns of
+    docs, and taken is counted from its rows."""
+    plan = Mix(docs, seed=seed)
+    (draw,) = new_names(docs, "draw")
+    mixed = materialize(plan.shards(draw), "mixed")
+    rows = plan.counted(mixed.select(f"{draw}.*"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

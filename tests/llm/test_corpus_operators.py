@@ -221,6 +221,32 @@ def test_mix_rows_agree_with_the_report(docs):
     assert got == +wanted
 
 
+def test_the_report_counts_the_rows_of_a_stored_mix(docs, monkeypatch):
+    stored, store = {}, mixing.materialize
+    monkeypatch.setattr(mixing, "materialize", lambda df, name: stored.setdefault(name, store(df, name)))
+    trees, tree = [], mixing.shard_quotas
+    monkeypatch.setattr(mixing, "shard_quotas", lambda *a: trees.append(a) or tree(*a))
+    rows = mixing.mix_report(docs).collect()
+    assert len(trees) == 1 and "mixed" in stored
+    mixed = stored["mixed"].select(*docs.columns, F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).alias("size")).collect()
+    got, wanted = collections.Counter(), collections.Counter(r.doc_id for r in mixed if r.size)
+    for r in rows:
+        if r.size:
+            got[r.doc_id] += r.taken // r.size
+    assert +got == wanted and sum(wanted.values()) > 0
+    # what isn't dealt isn't reported
+    monkeypatch.setattr(mixing, "materialize", lambda df, name: store(df.limit(0) if name == "mixed" else df, name))
+    none = mixing.mix_report(docs).collect()
+    assert len(none) == len(corpus()) and sum(r.taken for r in none) == 0
+
+
+def test_the_report_shares_what_is_dealt_among_equal_rows(spark):
+    rows = spark.createDataFrame([(1, "a b", "s")] * 5 + [(None, "c", None)] * 3 + [(2, "d", "t")], "doc_id long, text string, source string")
+    plan = mixing.Mix(rows)
+    by_row = lambda df: collections.Counter(map(tuple, df.select("doc_id", "source", "size", "copies").collect()))
+    assert by_row(plan.counted(plan.shards("draw").select("draw.*"))) == by_row(plan.chosen())
+
+
 def test_mixing_comes_near_targets_with_many_documents(spark):
     rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") * 7919 % 60).cast("int")).alias("text"), F.when(F.col("id") % 3 < 2, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 5)).alias("source"))
     totals = mixing.mix_report(rows).join(rows.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
