@@ -372,6 +372,22 @@ def test_recall_estimate():
     assert minhash_join.recall({}, 3) > minhash_join.RECALL
 
 
+def test_a_hot_group_does_not_stop_the_forest(spark):
+    rng = np.random.default_rng(12)
+    trees, depth = minhash_join.TREES, minhash_join.DEPTH
+    first = rng.integers(0, 2**16, trees * depth)
+    second = first.copy()
+    # alike in 4 of 5 values, but no tree's prefix of 4 agrees, and one tree's prefix of 3
+    second[[3, *range(depth, trees * depth, depth)]] ^= 1
+    hot = rng.integers(0, 2**16, trees * depth)
+    rows = []
+    for nid, values in enumerate([first, second] + [hot] * 60):
+        low = (values & 15).astype(np.uint8)
+        rows.append((nid, bytearray(values.astype(">u2").tobytes()), bytearray((low[::2] << 4 | low[1::2]).tobytes())))
+    links = {tuple(r) for r in minhash_join.forest_links(spark.createDataFrame(rows, "nid long, signature binary, nibbles binary")).collect()}
+    assert (0, 1) in links and {b for a, b in links if a == 2} == set(range(3, 62))
+
+
 # --- top-k search
 
 
