@@ -13,24 +13,28 @@ from ..functions.regex_dialect import glob_to_regex, to_java
 from ..sources.files import context, lines
 
 MATCH_SCHEMA = "path string, language string, rule_ordinal int, rule_id string, line_number int, column int, match_ordinal int, snippet string, snippet_context array<string>"
-#: Stands before each match while positions are counted; lines that hold it have no positions.
-MARK = "\u0001"
 
 
 def match_columns(line: Column, pattern: str) -> Column:
     """The byte columns (from 1) of all non-overlapping matches of a literal RE2 pattern; empty matches don't count."""
     java = to_java(pattern)
-    marked = F.split(F.regexp_replace(line, f"({java})", MARK + "$1"), MARK)
+    # the line is what lies between the matches and the matches in turn, so no character is set apart as a mark
+    hits, between = F.regexp_extract_all(line, F.lit(java), F.lit(0)), F.split(line, java)
 
     def step(state: Column, piece: Column) -> Column:
-        at = state["at"] + F.octet_length(piece)
-        return F.struct(at.alias("at"), F.array_append(state["starts"], at).alias("starts"))
+        at = state["at"] + F.octet_length(piece["between"])
+        return F.struct((at + F.octet_length(piece["hit"])).alias("at"), F.array_append(state["starts"], at).alias("starts"))
 
     none = F.array().cast("array<int>")
     start = F.struct(F.lit(1).alias("at"), none.alias("starts"))
+
+    def count(x: Column) -> Column:
+        pieces = F.zip_with(x["between"], x["hits"], lambda a, h: F.struct(a.alias("between"), h.alias("hit")))
+        return F.aggregate(F.slice(pieces, F.lit(1), F.size(x["hits"])), start, step, lambda s: s["starts"])
+
     # bound to a variable, so that the pieces are made once a line
-    starts = F.transform(F.array(marked), lambda p: F.aggregate(F.slice(p, F.lit(1), F.size(p) - 1), start, step, lambda x: x["starts"]))
-    return F.when(line.rlike(java) & ~F.contains(line, F.lit(MARK)), F.element_at(starts, 1)).otherwise(none)
+    starts = F.transform(F.array(F.struct(between.alias("between"), hits.alias("hits"))), count)
+    return F.when(line.rlike(java), F.element_at(starts, 1)).otherwise(none)
 
 
 def detect_literal(files: DataFrame, rules: list[tuple[str, str]], keep: tuple[str, ...] = ()) -> DataFrame:

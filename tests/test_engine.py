@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 from datetime import datetime
 
 import pytest
@@ -89,6 +90,17 @@ def test_detection_in_both_ways(spark, tmp_path):
     assert [(r.path, r.line_number, r.column, r.library) for r in quiet.collect()] == [("app/gap.py", 2, 1, "cryptography")]
 
 
+def test_a_line_with_a_control_character_keeps_its_matches(spark):
+    text = "é\x01md5(a)\x01\x01 md5(b) \x02\x01md5(c)\x01\nmd5(d)"
+    files = spark.createDataFrame([("a.py", "python", text)], "path string, language string, text string")
+    pattern = r"\bmd5\("
+    want = [(n, len(line[: m.start()].encode()) + 1, k, line) for n, line in enumerate(text.split("\n"), 1) for k, m in enumerate(re.finditer(pattern, line))]
+    got = detect.detect_literal(files, [("MD5", pattern)]).select("line_number", "column", "match_ordinal", "snippet").collect()
+    assert len(want) == 4 and sorted(map(tuple, got)) == want
+    found = detect.detect_literal(files, [("MD5", pattern)]).select(F.col("path").alias("file_path"))
+    assert detect.sentinel(files, found, [("python", "md5", "md5")]).isEmpty()
+
+
 def test_directives(spark):
     text = ["x # crypto-ignore", "y", "z # crypto-ignore: A, B", "w // crypto-ignore:C", "v", "u crypto-ignore:", "t crypto-ignore: ", "s crypto-ignore: A because"]
     lines = spark.createDataFrame([("f", i, x) for i, x in enumerate(text, 1)], "path string, line_number int, line string")
