@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 5
-#: Bytes that are hashed at once (or a single longer word).
-PORTION = 1 << 20
-_powers = np.ones(1, _U)
-_inverses = np.ones(1, _U)
-_BYTES = np.random.default_rng(20240501).integers(1, 2**64, 256, dtype=_U)
+#: Longer words are hashed one by one.
+LONG_WORD = 64
+_ODD = (_U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93))
+_SEED = (_U(0x243F6A8885A308D3), _U(0x13198A2E03707344))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -22,30 +21,40 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd base, and of its inverse, modulo 2**64."""
-    global _powers, _inverses
-    if len(_powers) < n:
-        out = []
-        for b in (_BASE, pow(_BASE, -1, 2**64)):
-            steps = np.full(max(n, 2 * len(_powers)), b, _U)
-            steps[0] = 1
-            out.append(np.multiply.accumulate(steps))
-        _powers, _inverses = out
-    return _powers[:n], _inverses[:n]
-
-
-def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each values[start:end], equal for equal contents wherever they are."""
-    up, down = powers(len(values) + 1)
-    sums = np.zeros(len(values) + 1, _U)
-    np.cumsum(values * up[:-1], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
+def chain(left: np.ndarray, right: np.ndarray, which: int) -> np.ndarray:
+    """The hash of what hashes to left followed by what hashes to right. Mixing after each step leaves no algebra by which
+    structured inputs (repetitions, complements) cancel out."""
+    return mix64(left * _ODD[which] + right)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word data[start:end], equal for equal bytes wherever they are.
+
+    Words are read in lanes of eight bytes; those of more than LONG_WORD bytes are hashed by BLAKE2b.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    sizes = (ends - starts).astype(np.int64)
+    both = tuple(mix64(sizes.astype(_U) + seed) for seed in _SEED)
+    at, left, rows = starts, sizes, np.flatnonzero(sizes <= LONG_WORD)
+    at, left = at[rows], left[rows]
+    while len(rows):
+        lane = lanes[at]
+        short = left < 8
+        lane[short] &= (_U(1) << (left[short].astype(_U) << _U(3))) - _U(1)
+        for which in (0, 1):
+            both[which][rows] = chain(both[which][rows], lane, which)
+        more = left > 8
+        at, left, rows = at[more] + 8, left[more] - 8, rows[more]
+    for i in np.flatnonzero(sizes > LONG_WORD):
+        own = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=16).digest()
+        both[0][i], both[1][i] = int.from_bytes(own[:8], "little"), int.from_bytes(own[8:], "little")
+    return both
 
 
 class Words:
-    """The words of a batch of texts: bytes `data`, where words start and end there, their hashes, and each text's
-    range [first[i], first[i + 1]) of words. Words are runs of anything but the six ASCII white-space characters."""
+    """The words of a batch of texts: bytes `data`, where words start and end there, two independent hashes of each, and
+    each text's range [first[i], first[i + 1]) of words. Words are runs of anything but the six ASCII white-space characters."""
 
     def __init__(self, texts: list[str | None]) -> None:
         coded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
@@ -55,24 +64,37 @@ class Words:
         self.starts, self.ends = edge[::2], edge[1::2]
         bounds = np.cumsum([0] + [len(c) + 1 for c in coded])
         self.first = np.searchsorted(self.starts, bounds)
-        self.hashes = np.empty(len(self.starts), _U)
-        begin = 0
-        while begin < len(self.starts):  # in portions, since hashing takes much memory for each byte
-            low = self.starts[begin]
-            end = max(begin + 1, int(np.searchsorted(self.ends, low + PORTION, "right")))
-            part = slice(begin, end)
-            self.hashes[part] = spans_hash(_BYTES[self.data[low : self.ends[end - 1]]], self.starts[part] - low, self.ends[part] - low)
-            begin = end
-
-    def windows(self, k: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all runs of k words inside a text, and the word where each starts."""
-        n = len(self.hashes)
+        self.hashes = word_hashes(self.data, self.starts, self.ends)
+
+    def windows(self, k: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all runs of k words inside a text, from the words' first or second hashes, and the word where each
+        starts. Runs of 1, 2, 4 ... words are hashed from halves, and a run of k words from those that k is the sum of."""
+        n = len(self.starts)
         ok = np.ones(max(0, n - k + 1), dtype=bool)
         for end in self.first[1:-1]:
             ok[max(0, end - k + 1) : end] = False
         at = np.flatnonzero(ok)
-        values = mix64(self.hashes ^ _U(salt)) if salt else self.hashes
-        return spans_hash(values, at, at + k), at
+        values, size, place, power = None, k, 0, self.hashes[which]
+        bit = 1
+        while True:
+            if size & bit:
+                own = power[at + place]
+                values = own if values is None else chain(values, own, which)
+                place += bit
+            if bit * 2 > size:
+                break
+            power = chain(power[:-bit], power[bit:], which) if len(power) > bit else power[:0]
+            bit *= 2
+            if not len(at):
+                break
+        return (values if values is not None else np.zeros(0, _U)), at
+
+    def whole(self, i: int) -> np.ndarray:
+        """The hash of all words of a (short) text, in an array of one."""
+        value = np.zeros(1, _U)
+        for h in self.hashes[0][self.first[i] : self.first[i + 1]]:
+            value = chain(value, np.array([h], _U), 0)
+        return value
 
 
 def batches_of(rows: Iterator, size, most: int) -> Iterator[list]:
@@ -105,5 +127,5 @@ def char_ngrams(text: str, orders: tuple[int, ...], bits: int) -> np.ndarray:
 def word_ngrams(text: str, orders: tuple[int, ...], bits: int) -> np.ndarray:
     """Hashed runs of words of the lower-cased text."""
     words = Words([text.lower()])
-    out = [(words.windows(n)[0] ^ _U(n)) * _U(0x9E3779B97F4A7C15) >> _U(64 - bits) for n in orders if len(words.hashes) >= n]
+    out = [(words.windows(n)[0] ^ _U(n)) * _U(0x9E3779B97F4A7C15) >> _U(64 - bits) for n in orders if len(words.starts) >= n]
     return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)

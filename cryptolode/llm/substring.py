@@ -7,12 +7,14 @@ a shuffle. Three passes follow; texts never move again, only compressed sketches
    slices: a chunk sends the cells it has counted in a slice (sorted, as compressed differences), the slice's task adds
    up the sketches of all chunks, and sends back one bit a cell: whether its merged count is 2 or more.
 2. A window whose cells say 2 in both rows is estimated to be repeated. A sketch never underestimates, so no repeated
-   window is lost. Only those windows are sent, as 96-bit digests, and grouped exactly, again in slices that reply with a
+   window is lost. Only those windows are sent, as 128-bit digests, and grouped exactly, again in slices that reply with a
    bit for each digest.
 3. Each chunk removes the words that repeated windows cover.
 
 A chunk sends a window once however often it has it, so a passage in a third of all texts burdens no task. Windows are
-told apart by digests of 96 bits: two different ones of a corpus of 10**13 repeated windows agree with a chance of 1e-3.
+told apart by two hashes of 64 bits, each of them built from a hash of words of its own that mixes after every step, so
+words and windows of any structure count as different unless all 128 bits agree: of 10**13 different windows, two do with
+a chance of 1e-13. Messages are at most as many as windows, and fewer the larger chunks and slices are.
 
 Defined results: null and empty texts have no words; texts with fewer words than a window keep all; a repeated row is a
 document of its own, so its windows are repeated; an empty table gives an empty result; further columns are ignored.
@@ -41,8 +43,9 @@ CELLS_PER_WINDOW = 8
 ROWS = 2
 MESSAGE = "key int, chunk int, n int, many binary, body binary"
 REPLY = "chunk int, stage int, key int, bits binary"
+#: Buckets of the table of chunks, at most (Spark takes no more than 100,000); a bucket may hold several chunks.
+MOST_BUCKETS = 50_000
 _U = np.uint64
-_SALTS = (0x51ED270B7A3C5D19, 0x2545F4914F6CDD1D)
 
 
 def pack_numbers(x: np.ndarray) -> bytes:
@@ -87,8 +90,8 @@ class Chunk:
     def __init__(self, texts: list[str | None], slices: int, window: int) -> None:
         self.slices, self.window = slices, window
         self.words = Words(texts)
-        self.first, self.at = self.words.windows(window, _SALTS[0])
-        self.second, _ = self.words.windows(window, _SALTS[1])
+        self.first, self.at = self.words.windows(window, 0)
+        self.second, _ = self.words.windows(window, 1)
 
     def cells(self, row: int) -> Grouped:
         """slice << 32 | cell of each window."""
@@ -106,7 +109,7 @@ class Chunk:
         return out
 
     def digests(self, chosen: np.ndarray) -> Grouped:
-        return Grouped(self.first[chosen], self.second[chosen] >> _U(32))
+        return Grouped(self.first[chosen], self.second[chosen])
 
     def slice_of(self, first: np.ndarray) -> np.ndarray:
         return ((first >> _U(32)) * _U(self.slices)) >> _U(32)
@@ -188,7 +191,7 @@ def candidates(window: int, slices: int):
         out = []
         for s, a, b in runs(chunk.slice_of(first)):
             body = pack_numbers(first[a:b])
-            body = len(body).to_bytes(4, "little") + body + second[a:b].astype("<u4").tobytes()
+            body = len(body).to_bytes(4, "little") + body + second[a:b].astype("<u8").tobytes()
             out.append((s, table.column("chunk")[0].as_py(), b - a, np.packbits(digests.counts[a:b] > 1).tobytes(), body))
         return table_of(out, MESSAGE)
 
@@ -202,7 +205,7 @@ def group_digests(table: pa.Table) -> pa.Table:
     for _, _, n, flags, body in rows:
         size = int.from_bytes(body[:4], "little")
         firsts.append(unpack_numbers(body[4 : 4 + size], np.uint64))
-        seconds.append(np.frombuffer(body[4 + size :], "<u4"))
+        seconds.append(np.frombuffer(body[4 + size :], "<u8"))
         many.append(bits_of(flags, n))
     groups = Grouped(np.concatenate(firsts), np.concatenate(seconds))
     again = groups.counts > 1
@@ -261,7 +264,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     text, the kept words joined by single spaces."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     chunks, slices = max(1, math.ceil(chars / CHUNK_CHARS)), max(1, math.ceil(chars / 6 / SLICE_WINDOWS))
-    buckets = max(chunks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = min(MOST_BUCKETS, max(chunks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     stored = store_chunks(docs, chunks, buckets)
     by_chunk = stored.groupBy("chunk")
     first = by_chunk.applyInArrow(sketch(window, slices), MESSAGE).groupBy("key").applyInArrow(merge_sketches, REPLY)
