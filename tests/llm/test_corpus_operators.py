@@ -88,12 +88,24 @@ def test_index_outlives_its_object(spark, tmp_path):
     again = exact_dedup.DigestIndex(spark, path, 4)
     assert {(r.doc_id, r.keep_id, r.kept) for r in exact_dedup.dedup_report(second, again).collect()} == {(9, 2, False), (10, 11, False), (11, 11, True)}
     assert again.rows().count() == 3
-    plan = again.new_groups(exact_dedup_groups(spark))._jdf.queryExecution().toString()
-    assert "SortMergeJoin" in plan
+    again.drop()
 
 
-def exact_dedup_groups(spark):
-    return spark.createDataFrame([(b"1", 1, 1)], "digest binary, keep_id long, group_size long")
+def test_a_batch_that_is_added_again_keeps_the_same_rows(spark, tmp_path):
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), 2)
+    docs = spark.createDataFrame([(1, "A"), (2, "b"), (3, "a"), (4, "c")], "doc_id long, text string")
+    once = sorted(map(tuple, exact_dedup.dedup_report(docs, index, "monday").collect()))
+    assert sorted(map(tuple, exact_dedup.dedup_report(docs, index, "monday").collect())) == once
+    assert index.rows().count() == 3
+    assert {r.kept for r in exact_dedup.dedup_report(docs, index, "tuesday").collect()} == {False}
+
+
+def test_later_batches_meet_a_filled_index(docs, monkeypatch):
+    met, add = [], exact_dedup.DigestIndex.add
+    monkeypatch.setattr(exact_dedup.DigestIndex, "add", lambda self, groups, batch: met.append((groups.count(), self.rows().count(), add(self, groups, batch))) or met[-1][2])
+    exact_dedup.dedup_report(docs).collect()
+    (first, before, new), (second, filled, newer) = met
+    assert before == 0 and new.count() == first == filled and newer.count() < second
 
 
 # --- packing
@@ -240,6 +252,18 @@ def test_the_report_counts_the_rows_of_a_stored_mix(docs, monkeypatch):
     assert len(none) == len(corpus()) and sum(r.taken for r in none) == 0
 
 
+@pytest.mark.parametrize(("fan", "most"), [(2, 1), (3, 10**6)])
+def test_edges_are_found_by_descending(spark, monkeypatch, fan, most):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") * 7919 % 60).cast("int")).alias("text"), F.when(F.col("id") % 3 < 2, "hot").otherwise("rare").alias("source"))
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 16)
+    wanted = collections.Counter(map(tuple, mixing.Mix(rows).chosen().collect()))
+    monkeypatch.setattr(mixing, "FAN", fan)
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", most)
+    plan = mixing.Mix(rows, levels=5)
+    assert collections.Counter(map(tuple, plan.chosen().collect())) == wanted
+    assert collections.Counter(map(tuple, plan.counted(plan.shards("draw").select("draw.*")).collect())) == wanted
+
+
 def test_the_report_shares_what_is_dealt_among_equal_rows(spark):
     rows = spark.createDataFrame([(1, "a b", "s")] * 5 + [(None, "c", None)] * 3 + [(2, "d", "t")], "doc_id long, text string, source string")
     plan = mixing.Mix(rows)
@@ -255,7 +279,9 @@ def test_mixing_comes_near_targets_with_many_documents(spark):
 
 def test_splitting_tree_keeps_quotas_and_is_hypergeometric(spark):
     quotas = spark.createDataFrame([(0, 1000), (1, 300), (2, 1), (3, 0)], "rank int, blocks long")
-    ends = {r["rank"]: r["ends"] for r in mixing.shard_quotas(quotas, 3, 5).collect()}
+    rows = sorted((r["rank"], r.shard, r.begin, r.end) for r in mixing.shard_quotas(quotas, 3, 5).collect())
+    ends = {k: [r[3] for r in rows if r[0] == k] for k in range(4)}
+    assert all(r[2] == (rows[i - 1][3] if r[1] else 0) for i, r in enumerate(rows))
     assert {k: v[-1] for k, v in ends.items()} == {0: 1000, 1: 300, 2: 1, 3: 0}
     totals = [sum(v[i] - (v[i - 1] if i else 0) for v in ends.values()) for i in range(8)]
     assert max(totals) - min(totals) <= 1
@@ -366,10 +392,18 @@ def test_long_runs_become_one_group(spark, monkeypatch):
     assert sorted(map(tuple, minhash_join.join(spark.createDataFrame(rows, DOCS)).collect()), key=str) == sorted(wanted, key=str)
 
 
-def test_recall_estimate():
-    assert minhash_join.recall({20: 100}, 5) == pytest.approx(1)
-    assert minhash_join.recall({16: 100}, 5) == pytest.approx(1 - (1 - 0.8**5) ** 16)
-    assert minhash_join.recall({}, 3) > minhash_join.RECALL
+def test_recall_decides_the_depth():
+    depth = minhash_join.stop_depth()
+    assert minhash_join.recall(depth) >= minhash_join.RECALL > minhash_join.recall(depth + 1)
+
+
+def test_contracted_links_keep_components():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 400, 300), rng.integers(0, 400, 300)
+    first, others = minhash_join.contract(a, b)
+    root = {int(x): int(r) for r, x in zip(first, others, strict=True)}
+    assert all(root.get(int(x), int(x)) == root.get(int(y), int(y)) for x, y in zip(a, b, strict=True))
+    assert all(r < x for x, r in root.items()) and not set(root) & set(root.values())
 
 
 def test_a_hot_group_does_not_stop_the_forest(spark):
@@ -384,10 +418,28 @@ def test_a_hot_group_does_not_stop_the_forest(spark):
     for nid, values in enumerate([first, second] + [hot] * 60):
         low = (values & 15).astype(np.uint8)
         rows.append((nid, bytearray(values.astype(">u2").tobytes()), bytearray((low[::2] << 4 | low[1::2]).tobytes())))
-    links = {tuple(r) for r in minhash_join.forest_links(spark.createDataFrame(rows, "nid long, signature binary, nibbles binary")).collect()}
+    nodes = spark.createDataFrame(rows, "nid long, signature binary, nibbles binary").repartition(3)
+    links = {tuple(r) for r in minhash_join.forest_links(nodes).collect()}
     assert (0, 1) in links and {b for a, b in links if a == 2} == set(range(3, 62))
 
 
+def thue_morse():
+    """Two words of 1024 letters that agree under any polynomial modulo a power of two."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomials_confuse(spark):
+    one, other = thue_morse()
+    rest = " ".join(f"r{i}" for i in range(34))
+    docs = spark.createDataFrame([(1, f"{rest} {one}"), (2, f"{rest} {other}"), (3, f"a b c d {one}"), (4, f"a b c d {other}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring.remove_repeats(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+    short = docs.where("doc_id > 2")
+    assert {(r.doc_id, r.class_id, r.n_links) for r in minhash_join.join(short).collect()} == {(3, 3, 0), (4, 4, 0)}
+
+
 # --- top-k search
 
 
