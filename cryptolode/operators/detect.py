@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -9,14 +10,31 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.regex_dialect import glob_to_regex, to_java
+from ..functions.regex_dialect import glob_to_regex, required_literal, to_java, to_python
 from ..sources.files import context, lines
 
 MATCH_SCHEMA = "path string, language string, rule_ordinal int, rule_id string, line_number int, column int, match_ordinal int, snippet string, snippet_context array<string>"
 
 
+def only_where(line: Column, pattern: str, value: Column, otherwise: Column) -> Column:
+    """value where the line may match: where it holds the text that all matches hold, which is looked for first."""
+    literal = required_literal(pattern)
+    return F.when(F.contains(line, F.lit(literal)), value).otherwise(otherwise) if literal else value
+
+
+def matches_line(line: Column, pattern: str) -> Column:
+    return only_where(line, pattern, line.rlike(to_java(pattern)), F.lit(False))
+
+
+def match_count(line: Column, pattern: str) -> Column:
+    return only_where(line, pattern, F.regexp_count(line, F.lit(to_java(pattern))), F.lit(0))
+
+
 def match_columns(line: Column, pattern: str) -> Column:
-    """The byte columns (from 1) of all non-overlapping matches of a literal RE2 pattern; empty matches don't count."""
+    """The byte columns (from 1) of all non-overlapping matches of a literal RE2 pattern, which must not match the empty text
+    (`detect_pack` takes those patterns too, and counts empty matches)."""
+    if to_python(pattern).match(""):
+        raise ValueError(f"matches the empty text: {pattern}")
     java = to_java(pattern)
     # the line is what lies between the matches and the matches in turn, so no character is set apart as a mark
     hits, between = F.regexp_extract_all(line, F.lit(java), F.lit(0)), F.split(line, java)
@@ -34,7 +52,7 @@ def match_columns(line: Column, pattern: str) -> Column:
 
     # bound to a variable, so that the pieces are made once a line
     starts = F.transform(F.array(F.struct(between.alias("between"), hits.alias("hits"))), count)
-    return F.when(line.rlike(java), F.element_at(starts, 1)).otherwise(none)
+    return F.when(matches_line(line, pattern), F.element_at(starts, 1)).otherwise(none)
 
 
 def detect_literal(files: DataFrame, rules: list[tuple[str, str]], keep: tuple[str, ...] = ()) -> DataFrame:
@@ -43,11 +61,7 @@ def detect_literal(files: DataFrame, rules: list[tuple[str, str]], keep: tuple[s
     Lines without any match are dropped before positions are counted. Columns of files named in keep are carried along.
     """
     by_line = lines(files.select("path", "language", "text", *keep))
-    some = None
-    for _, pattern in rules:
-        hit = F.col("line").rlike(to_java(pattern))
-        some = hit if some is None else some | hit
-    hits = by_line.where(some)
+    hits = by_line.where(functools.reduce(Column.__or__, [matches_line(F.col("line"), pattern) for _, pattern in rules]))
 
     def rows(n: int, name: str, pattern: str) -> Column:
         def row(column: Column, nth: Column) -> Column:
@@ -60,9 +74,20 @@ def detect_literal(files: DataFrame, rules: list[tuple[str, str]], keep: tuple[s
     return each.select(*keep, "path", "language", "m.rule_ordinal", "m.rule_id", "line_number", "m.column", "m.match_ordinal", F.col("line").alias("snippet"), context(F.col("lines"), F.col("line_number")).alias("snippet_context"))
 
 
+def count_literal(files: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """As `detect_literal`, but only how many matches a line has: path, language, rule_ordinal, rule_id, line_number,
+    snippet, before (the line before it, if any) and n_matches. Each rule looks at each line once."""
+    by_line = lines(files.select("path", "language", "text"))
+    counts = F.array(*[match_count(F.col("line"), pattern) for _, pattern in rules])
+    before = F.when(F.col("line_number") > 1, F.element_at("lines", F.greatest(F.col("line_number") - 1, F.lit(1)))).alias("before")
+    each = by_line.select("path", "language", "line_number", F.col("line").alias("snippet"), before, F.posexplode(counts).alias("rule_ordinal", "n_matches")).where("n_matches > 0")
+    return each.withColumn("rule_id", F.element_at(F.array(*[F.lit(name) for name, _ in rules]), F.col("rule_ordinal") + 1))
+
+
 def detect_pack(files: DataFrame, rules: DataFrame) -> DataFrame:
     """files (path, language, text) against a rule pack: each file once, against the regex rules of its language and of
-    `any` whose globs accept it. The pack travels with the function; patterns are compiled once a worker."""
+    `any` whose globs accept it. The pack, a program's configuration, travels with the function; patterns are compiled once a
+    worker. A rule looks only at lines that hold the text that all its matches hold, if there is one."""
     pack = [(r.rule_ordinal, r.rule_id, r.language, r.pattern, r.flags, list(r.file_globs or [])) for r in rules.where("detector_type = 'regex'").orderBy("rule_ordinal").collect()]
 
     def matches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -71,15 +96,15 @@ def detect_pack(files: DataFrame, rules: DataFrame) -> DataFrame:
             out = []
             for path, language, text in zip(batch["path"], batch["language"], batch["text"], strict=True):
                 if language not in ready:
-                    ready[language] = [(n, i, re.compile(p, re.ASCII | (re.I if "i" in f else 0)), g) for n, i, lang, p, f, g in pack if lang in (language, "any")]
+                    ready[language] = [(n, i, to_python(p, f), "" if "i" in f else required_literal(p), g) for n, i, lang, p, f, g in pack if lang in (language, "any")]
                 text_lines = [x.removesuffix("\r") for x in (text or "").split("\n")]
                 if text_lines[-1] == "":
                     text_lines.pop()
-                for ordinal, rule, pattern, globs in ready[language]:
-                    if globs and not any(accepts(g, path) for g in globs):
+                for ordinal, rule, pattern, literal, globs in ready[language]:
+                    if literal not in (text or "") or globs and not any(accepts(g, path) for g in globs):
                         continue
                     for n, line in enumerate(text_lines, 1):
-                        for k, m in enumerate(pattern.finditer(line)):
+                        for k, m in enumerate(pattern.finditer(line) if literal in line else ()):
                             out.append((path, language, ordinal, rule, n, len(line[: m.start()].encode()) + 1, k, line, text_lines[max(0, n - 4) : n + 3]))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in MATCH_SCHEMA.split(", ")])
 
@@ -105,7 +130,7 @@ def to_findings(matches: DataFrame, rules: DataFrame, scan_job_id: str = "") ->
     kept = rules.select(
         "rule_ordinal", "category", "severity", "algorithm", "usage_type", "quantum_safety", "key_size", "message", "recommendation", "references", "cwe", "confidence"
     )
-    return matches.join(F.broadcast(kept), "rule_ordinal").withColumnRenamed("path", "file_path").withColumn("scan_job_id", F.lit(scan_job_id))
+    return matches.join(kept, "rule_ordinal").withColumnRenamed("path", "file_path").withColumn("scan_job_id", F.lit(scan_job_id))
 
 
 def supersede(pattern_findings: DataFrame, structural_findings: DataFrame) -> DataFrame:
@@ -140,7 +165,7 @@ def sentinel(files: DataFrame, findings: DataFrame, table: list[tuple[str, str,
     (language, library, pattern), that imports a library. One row a file: path, line_number, column, library, snippet."""
     table = IMPORTS if table is None else table
     quiet = files.join(findings.select(F.col("file_path").alias("path")).distinct(), "path", "left_anti")
-    by_line = lines(quiet.select("path", "language", "text")).where(~F.col("line").rlike(to_java(excluded)))
+    by_line = lines(quiet.select("path", "language", "text")).where(F.col("language").isin(*{lang for lang, _, _ in table}) & ~F.col("line").rlike(to_java(excluded)))
     entries = []
     for lang, library, pattern in table:
         java = to_java(pattern)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -34,6 +35,7 @@ def imports(files: DataFrame) -> DataFrame:
     """What files (node, text) import: node, kind (go, py, pyrel, js), spec, and up (folders above) of relative ones."""
     each = lines(files.select("node", "text")).select("node", "line_number", "line")
     ext = F.regexp_extract("node", r"\.([a-z]+)$", 1)
+    # fixed values: what imports look like in each language
     # Go: single lines, and lines of a block; a block runs from `import (` to `)`
     trimmed = strip(F.col("line"))
     mark = F.when(F.startswith(trimmed, F.lit("import (")), F.lit("open")).when(trimmed == ")", F.lit("close"))
@@ -75,12 +77,19 @@ def resolve(nodes: DataFrame, found: DataFrame) -> DataFrame:
     go = found.where((F.col("kind") == "go") & F.col("spec").rlike("[./]")).select(F.col("node").alias("importer"), F.lower(F.element_at(F.split("spec", "/"), -1)).alias("key"))
     folders = nodes.where("node like '%.go'").select(F.col("node").alias("importee"), F.explode(F.array_distinct(F.slice(F.split("node", "/"), F.lit(1), F.size(F.split("node", "/")) - 1))).alias("key"))
     edges = go.join(folders, "key").select("importer", "importee")
-    # Python: any node that ends with the module's path, wherever the ending begins; so endings of one length are keys
+    # Python: any node that ends with the module's path, wherever the ending begins. Both sides meet by the file's name (and
+    # its folder's, for a package), and the ending is compared there; a module's name without a folder may end a longer name
     path = F.lower(F.replace(F.col("spec"), F.lit("."), F.lit("/")))
-    py = found.where("kind = 'py'").select(F.col("node").alias("importer"), F.explode(F.array(F.concat(path, F.lit(".py")), F.concat(path, F.lit("/__init__.py")))).alias("key")).distinct()
-    sizes = py.select(F.length("key").alias("size")).distinct()
-    tails = nodes.where("node like '%.py'").join(sizes, F.length("node") >= F.col("size")).select(F.col("node").alias("importee"), F.expr("right(node, size)").alias("key"))
-    edges = edges.unionByName(py.join(tails, "key").select("importer", "importee"))
+    py = found.where("kind = 'py'").select(F.col("node").alias("importer"), F.explode(F.array(F.concat(path, F.lit(".py")), F.concat(path, F.lit("/__init__.py")))).alias("ending")).distinct()
+    last = lambda c: F.regexp_extract(c, r"([^/]+(?:/__init__\.py)?)$", 1)
+    modules = nodes.where("node like '%.py'").select(F.col("node").alias("importee"), F.explode(F.array(last(F.col("node")), F.regexp_extract("node", "[^/]*$", 0))).alias("key")).distinct()
+    deep = py.where(F.contains("ending", F.lit("/"))).withColumn("key", last(F.col("ending")))
+    near_ends = deep.join(modules, "key").where(F.endswith("importee", F.col("ending"))).select("importer", "importee")
+    # an ending of one name: all endings of each file's name are keys, as many as the name has letters
+    letters = F.sequence(F.lit(1), F.length("key"))
+    tails = modules.where(~F.contains("key", F.lit("/"))).select("importee", F.explode(F.transform(letters, lambda i: F.substring(F.col("key"), i, F.length("key")))).alias("ending"))
+    short = py.where(~F.contains("ending", F.lit("/"))).join(tails, "ending").select("importer", "importee")
+    edges = edges.unionByName(near_ends).unionByName(short)
     # relative ones: exact paths
     folder = climb(directory(F.col("node")), F.col("up"))
     joined = F.regexp_replace(F.concat(folder, F.lit("/"), F.when(F.col("kind") == "js", F.lower("spec")).otherwise(path)), r"^\./", "")
@@ -102,11 +111,15 @@ def direct_importers(edges: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder that the cluster shares, and read back; cached where there is no such folder."""
+    """df written to the folder that the cluster shares (spark.checkpoint.dir, of the session or its context), and read
+    back. On one machine a temporary folder will do; on a cluster without a shared folder this is an error."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        return df.persist()
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -145,11 +158,12 @@ def impact(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None) -
     affected files, of the seeds or all nodes."""
     wanted = (seeds if seeds is not None else nodes).select("node").distinct()
     reached = transitive_importers(edges, wanted)
-    counts = reached.groupBy("node").agg(
-        F.count_if(F.col("hop") == 1).alias("direct"), F.count("*").alias("transitive"),
-        F.slice(F.array_sort(F.collect_set("importer")), 1, AFFECTED_LISTED).alias("affected_files"),
-    )
-    out = wanted.join(counts, "node", "left").join(same_directory(nodes), "node", "left")
+    counts = reached.groupBy("node").agg(F.count_if(F.col("hop") == 1).alias("direct"), F.count("*").alias("transitive"))
+    # a node's importers are distinct; all but the first are cut before they meet, by a window that keeps a few of each task
+    nth = F.row_number().over(W.partitionBy("node").orderBy("importer"))
+    first = reached.select("node", "importer").withColumn("nth", nth).where(F.col("nth") <= AFFECTED_LISTED)
+    listed = first.groupBy("node").agg(F.array_sort(F.collect_list("importer")).alias("affected_files"))
+    out = wanted.join(counts, "node", "left").join(listed, "node", "left").join(same_directory(nodes), "node", "left")
     zero = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("direct", "transitive", "siblings")}
     out = out.withColumns(zero).withColumn("affected_files", F.coalesce("affected_files", F.array().cast("array<string>")))
     radius = blast_radius(F.col("transitive"), F.col("direct"), F.col("siblings"))
@@ -163,6 +177,12 @@ def build(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, resolve(nodes, imports(own))
 
 
+def ranked(reach: DataFrame, first: int | None = None) -> DataFrame:
+    """Rows of `impact` by falling blast radius, then node; the first so many, if given."""
+    out = reach.orderBy(F.col("blast_radius").desc(), "node")
+    return out if first is None else out.limit(first)
+
+
 def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n, e = nodes.agg(F.count("*").alias("n_nodes")), clean(edges).agg(F.count("*").alias("n_edges"))
     return n.crossJoin(e)  # one row each

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.risk import priority_band, priority_score
 from ..functions.scalars import finding_key, round2, strip
+from .graph import stored
 
 RANKS_LISTED, MOST_DAYS = 20, 60
 
@@ -66,20 +67,17 @@ def score_items(findings: DataFrame, agility: Column, grade: Column | None = Non
 def ranked(items: DataFrame) -> DataFrame:
     """Items with their rank among all.
 
-    The order is global, but no task sees all rows: items are numbered within groups of one score, reach and beginning
-    of the path, and only the groups' counts are added up in order.
+    The order is global, but no task sees all rows: they are stored once, dealt into ranges of the whole order (whose
+    bounds Spark samples) and numbered within each partition, and the partitions' counts, one row each, are added up.
     """
-    order = [F.col("score").desc(), F.col("blast_radius").desc(), "file_path", "line_number", "rule_id", "finding_id"]
-    coarse = F.struct((-F.col("score")).alias("a"), (-F.col("blast_radius")).alias("b"))
-    groups = items.withColumn("_group", coarse)
-    # few distinct (score, radius) pairs precede a pair; within one, the first letters of paths split it further
-    part = F.substring("file_path", 1, 24)
-    sizes = groups.groupBy("_group", part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = W.orderBy("_group", "_part").rowsBetween(W.unboundedPreceding, -1)
-    base = sizes.select(F.col("_group").alias("_g"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    joined = groups.withColumn("_part", part).join(base, (F.col("_group") == F.col("_g")) & (F.col("_part") == F.col("_p")))
-    own = W.partitionBy("_group", "_part").orderBy(*order)
-    return joined.withColumn("rank", F.col("_base") + F.row_number().over(own)).drop("_group", "_part", "_g", "_p", "_base")
+    order = [F.col("score").desc(), F.col("blast_radius").desc(), F.col("file_path"), F.col("line_number"), F.col("rule_id"), F.col("finding_id")]
+    # stored before, or else sampling the bounds would compute the items a second time
+    dealt = stored(stored(items, "items").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    base = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    nth = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return dealt.join(base, "_part").withColumn("rank", F.col("_base") + nth).drop("_part", "_base")
 
 
 def summary(items: DataFrame) -> DataFrame:

@@ -54,10 +54,11 @@ def is_excluded(path: Column, patterns: list[tuple[str, bool, bool]]) -> Column:
 
 def directive(line: Column, marker: str = MARKER) -> Column:
     """A line's directive: null if it has none, an array of rule ids, or an array with `*` for all rules."""
+    # fixed value: what a directive looks like
     rx = rf"{re.escape(marker)}(?:\s*:\s*([A-Za-z0-9_\-,\s]+))?"
     named = F.regexp_extract(line, to_java(rx), 1)
     ids = F.filter(F.transform(F.split(named, ","), strip), lambda x: x != "")
-    return F.when(line.rlike(to_java(rx)), F.when(named == "", F.array(F.lit("*"))).otherwise(ids))
+    return F.when(F.contains(line, F.lit(marker)), F.when(named == "", F.array(F.lit("*"))).otherwise(ids))
 
 
 def directives(lines: DataFrame, marker: str = MARKER) -> DataFrame:
@@ -67,6 +68,20 @@ def directives(lines: DataFrame, marker: str = MARKER) -> DataFrame:
     return lines.withColumn("own", own).withColumn("suppressed", F.coalesce("own", F.lag("own").over(before))).drop("own")
 
 
+def covered(line: Column, before: Column, rule_id: Column, marker: str = MARKER) -> Column:
+    """Whether a directive of a finding's line, or else of the line before it, covers the finding's rule."""
+    ids = F.coalesce(directive(line, marker), directive(before, marker))
+    return F.coalesce(F.array_contains(ids, "*") | F.array_contains(ids, rule_id), F.lit(False))
+
+
+def unsuppressed_matches(matches: DataFrame, marker: str = MARKER) -> DataFrame:
+    """Matches (line_number, rule_id, snippet, snippet_context) that no directive covers: the line before a match is in its
+    context, so no text is read again."""
+    at = F.least(F.col("line_number"), F.lit(4)) - 1
+    before = F.when(at > 0, F.element_at("snippet_context", F.greatest(at, F.lit(1))))
+    return matches.where(~covered(F.col("snippet"), before, F.col("rule_id"), marker))
+
+
 def unsuppressed(findings: DataFrame, lines: DataFrame, marker: str = MARKER) -> DataFrame:
     """Findings (file_path, line_number, rule_id) that no directive of their file's lines covers.
 

@@ -178,3 +178,76 @@ def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick(ECOSYSTEMS, k).alias("ecosystem"), pick(PACKAGES, k).alias("package"), F.concat(F.lit("=="), "p_size").alias("version"),
         F.concat(F.lit("svc"), k % 50, F.lit("/requirements.txt")).alias("manifest"), (k % 100).cast("int").alias("line"),
     )
+
+
+#: A self-signed certificate with a key on P-256, made for these queries.
+CERTIFICATE = """-----BEGIN CERTIFICATE-----
+MIIBejCCAR+gAwIBAgIUXr/TWol4R69RuIheuwNESV3U+QowCgYIKoZIzj0EAwIw
+EjEQMA4GA1UEAwwHZXhhbXBsZTAeFw0yNjExMjgwOTMyNDZaFw0zNjExMjUwOTMy
+NDZaMBIxEDAOBgNVBAMMB2V4YW1wbGUwWTATBgcqhkjOPQIBBggqhkjOPQMBBwNC
+AARqTzjcrwshYLrTZ+1O5EAAfw5M5+UlMdvx+pJ8Ltr3Nxf9nFGEC17q+gu1Y6zH
+Ij3GbLP1TX0mpiokcV45HN0No1MwUTAdBgNVHQ4EFgQUcgeImsux3aT4LBEPN1GE
+QI/oQUQwHwYDVR0jBBgwFoAUcgeImsux3aT4LBEPN1GEQI/oQUQwDwYDVR0TAQH/
+BAUwAwEB/zAKBggqhkjOPQQDAgNJADBGAiEAhu+hSu7VzzuWfTEJS7AAcdMeEhYp
+MVIpQ8g26Z7fyJICIQDVQaWI59bHXYVZ064uQBtxANiRpgqhRXSlmEDxm7vzMw==
+-----END CERTIFICATE-----
+"""
+#: Source files: name, and text; {k} is a row's key. With each its findings: rule, line, the text at whose place it is, which
+#: occurrence on the line, and the scan's layer (0 structure, 1 pattern, 2 promoted, 3 sentinel).
+SOURCES: list[tuple[str, str, list[tuple[str, int, str, int, int]]]] = [
+    ("calls.py", 'import hashlib\n# hashlib.md5(b"no")\ns = "hashlib.md5(b\'no\')"\ndef f{k}(x):\n    return [hashlib.md5(bytes([i])) for i in x]\n',
+     [("PY_MD5_CALL", 2, "hashlib", 1, 1), ("PY_MD5_CALL", 3, "hashlib", 1, 1), ("PY_MD5_CALL", 5, "hashlib", 1, 1), ("PY_MD5_STRUCTURE", 5, "hashlib", 1, 0)]),
+    ("quiet.py", 'import hashlib\n# crypto-ignore: PY_MD5_CALL\na = hashlib.md5(b"{k}")\nb = hashlib.sha1(b"")  # crypto-ignore\n', [("PY_MD5_STRUCTURE", 3, "hashlib", 1, 0)]),
+    ("curve.go", 'package main\nimport "crypto/elliptic"\nvar v{k} = elliptic.P256()\n', [("CRYPTO_API_UNMAPPED", 2, '"crypto', 1, 3)]),
+    ("hash.go", 'package main\nimport "crypto/md5"\n// md5.New()\nvar s = "md5.New()"\nfunc f{k}() { h := wrap(md5.New()); _ = h }\n', [("GO_MD5_STRUCTURE", 5, "md5", 1, 0)]),
+    ("hash.js", 'const c = require("crypto");\n/* createHash("md5") */ const h = c.createHash("MD5"); // {k}\nconst e = new EC("p256"); // new EC(1)\n',
+     [("JS_CREATE_HASH_MD5", 2, "createHash", 1, 1), ("JS_CREATE_HASH_MD5", 2, "createHash", 2, 1), ("JS_ELLIPTIC_STRUCTURE", 3, "new", 1, 0)]),
+    ("hand.py", "K = 0x6a09e667\ndef s{k}(w): return rotr(w, 7) ^ rotr(w, 18)\n",
+     [("ANY_SHA256_CONSTANTS", 1, "0x", 1, 1), ("ANY_SHA256_SIGMA", 2, "rotr", 1, 1), ("HANDROLLED_SHA256_PROMOTED", 1, "0x", 1, 2)]),
+    ("book.ipynb", '{{"cells":[{{"cell_type":"markdown","source":"# {k}"}},{{"cell_type":"code","source":["import hashlib\\n","h = hashlib.md5()"]}}]}}', [("PY_MD5_STRUCTURE", 2, "", 5, 0)]),
+    ("own.pem", CERTIFICATE, [("X509_CERT_PUBKEY_ECDSA", 1, "", 1, 0), ("X509_CERT_SIG_ECDSA", 1, "", 1, 0)]),
+    ("vendor/calls.py", 'hashlib.md5(b"{k}")\n', []),
+    ("data.py", "hashlib.md5(\0{k})\n", []),
+    ("dh.ts", 'const a: Map<string, number> = new Map();\nconst d{k} = `crypto.createDiffieHellman(1)`;\nexport const e = f(crypto.createDiffieHellman(2048));\n', [("TS_DH_STRUCTURE", 3, "crypto", 1, 0)]),
+    ("Keys.java", 'class K{k} {{\n  // KeyPairGenerator.getInstance("RSA")\n  List<Map<String, Key>> m = List.of(KeyPairGenerator.getInstance("RSA"));\n}}\n', [("JAVA_KEYGEN_STRUCTURE", 3, "KeyPair", 1, 0)]),
+    ("Digest.kt", 'fun f{k}(): List<Byte> {{ /* MessageDigest.getInstance("MD5") */ return MessageDigest.getInstance("MD5").digest().toList() }}\n', None),
+    ("hash.swift", "let s = \"Insecure.MD5.hash(data)\"\nlet d{k} = wrap(Insecure.MD5.hash(data: x))\n", None),
+    ("md.c", '#include <openssl/md5.h>\n/* MD5_Init(\n MD5_Init(&a) */\nint f{k}(void) {{ return MD5_Init(&c); }}\n', None),
+    ("key.cpp", 'template <typename T> int g(T t);\nauto r = g<RSA*>(nullptr); // {k}\nint x = RSA_generate_key_ex(r, 2048, e, 0);\nconst char* s = "RSA_generate_key_ex(r)";\n', None),
+    ("key.rs", 'use rsa::RsaPrivateKey;\n// RsaPrivateKey::new(\nfn f{k}() -> Option<RsaPrivateKey> {{\n    RsaPrivateKey::new(&mut rng, 2048).ok()\n}}\n', None),
+    ("Cipher.scala", 'val m: Map[String, Int] = Map() // {k}\nval c = List(1).map(_ => Cipher.getInstance("DES"))\n', None),
+    ("Rsa.cs", '/// new RSACryptoServiceProvider()\nvar s{k} = "new RSACryptoServiceProvider()";\nusing (var r = new RSACryptoServiceProvider(2048)) {{ }}\n', None),
+    ("des.rb", "# OpenSSL::Cipher::DES.new\nx{k} = OpenSSL::Cipher::DES.new(:CBC)\n", None),
+    ("md.php", "<?php\n// md5($a)\n$s = 'md5(1)';\n$h{k} = trim(md5($a));\n", None),
+    ("md.jl", "# md5(x)\nh = bytes2hex(md5(x)) # {k}\n", None),
+]
+#: The one finding of the files of None: its rule, line, the text at whose place it is, and which occurrence on the line.
+SINGLE = {
+    "Digest.kt": ("KT_DIGEST_STRUCTURE", 1, "MessageDigest", 2, 0), "hash.swift": ("SWIFT_INSECURE_STRUCTURE", 2, "Insecure", 1, 0), "md.c": ("C_MD5_STRUCTURE", 4, "MD5_Init", 1, 0),
+    "key.cpp": ("CPP_RSA_STRUCTURE", 3, "RSA_", 1, 0), "key.rs": ("RUST_RSA_STRUCTURE", 4, "Rsa", 1, 0), "Cipher.scala": ("SCALA_CIPHER_STRUCTURE", 2, "Cipher", 1, 0), "Rsa.cs": ("CS_RSA_STRUCTURE", 3, "new", 1, 0),
+    "des.rb": ("RB_DES_STRUCTURE", 2, "OpenSSL", 1, 0), "md.php": ("PHP_MD5_STRUCTURE", 4, "md5", 1, 0), "md.jl": ("JL_MD5_STRUCTURE", 2, "md5", 1, 0),
+}
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as source files (path, size, content), one of SOURCES each, in turn."""
+    k = F.col("p_partkey")
+    text = F.replace(pick([t.replace("{{", "{").replace("}}", "}") for _, t, _ in SOURCES], k), F.lit("{k}"), k.cast("string"))
+    path = F.concat(F.lit("p"), k, F.lit("/"), pick([n for n, _, _ in SOURCES], k))
+    path = F.when(F.contains(path, F.lit("vendor/")), F.concat(F.lit("vendor/"), path)).otherwise(path)
+    found = table(spark, sf_dir, "part").select(path.alias("path"), text.cast("binary").alias("content"))
+    return found.select("path", F.length("content").cast("long").alias("size"), "content")
+
+
+def source_places() -> list[tuple[int, str, str, int, int, int, int]]:
+    """Number and name of a source, and a finding's rule, line, column (without the key's letters, if they stand before it),
+    layer, and whether they do."""
+    out = []
+    for n, (name, text, found) in enumerate(SOURCES):
+        for rule, line, at, nth, layer in found if found is not None else [SINGLE[name]]:
+            own, place = text.split("\n")[line - 1].replace("{{", "{").replace("}}", "}") if at else "", -1
+            for _ in range(nth if at else 0):
+                place = own.index(at, place + 1)
+            keyed = int("{k}" in own[: max(place, 0)])
+            out.append((n, name, rule, line, place + 1 - 3 * keyed if at else nth, layer, keyed))
+    return out

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import risk, scalars
-from ..operators import agility, detect, fuse, gate, graph, lifecycle, plan, sbom, structure, suppress
+from ..operators import agility, detect, fuse, gate, graph, lifecycle, plan, sbom, scan, structure, suppress
 from ..schema import RULE_SCHEMA, threshold_rank
 from ..sinks import reports
-from ..sources import files, manifests, notebook, tls, x509
+from ..sources import files, manifests, notebook, rules, tls, x509
 from . import bindings as b
 from .oracles import ORACLES
 
@@ -35,9 +35,10 @@ def six(c) -> F.Column:
 
 @query
 def severity_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detect.detect_literal(b.documents(spark, sf_dir), RULE_PAIRS)
+    found = detect.count_literal(b.documents(spark, sf_dir), RULE_PAIRS)
     severity = scalars.mapped(F.col("rule_id"), {r: s for r, _, s in b.DOCUMENT_RULES})
-    return found.groupBy("language", "rule_id", severity.alias("severity")).agg(F.count("*").alias("n_matches"), F.countDistinct("path").alias("n_files"))
+    by_file = found.groupBy("path", "language", "rule_id").agg(F.sum("n_matches").alias("n"))
+    return by_file.groupBy("language", "rule_id", severity.alias("severity")).agg(F.sum("n").alias("n_matches"), F.count("*").alias("n_files"))
 
 
 @query
@@ -63,10 +64,34 @@ def inline_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def suppressed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detect.count_literal(b.documents(spark, sf_dir), RULE_PAIRS)
+    kept = found.where(~suppress.covered(F.col("snippet"), F.col("before"), F.col("rule_id"), marker="%%%"))
+    return kept.groupBy("rule_id").agg(F.sum("n_matches").alias("n"))
+
+
+@query
+def suppression_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a join with the lines that have directives, for findings that don't know their lines' texts."""
     docs = b.documents(spark, sf_dir)
-    found = detect.detect_literal(docs, RULE_PAIRS).withColumnRenamed("path", "file_path")
+    found = detect.count_literal(docs, RULE_PAIRS[:2]).select(F.col("path").alias("file_path"), "line_number", "rule_id", "n_matches")
     kept = suppress.unsuppressed(found, files.lines(docs).select("path", "line_number", "line"), marker="%%%")
-    return kept.groupBy("rule_id").agg(F.count("*").alias("n"))
+    return kept.groupBy("rule_id").agg(F.sum("n_matches").alias("n"))
+
+
+@query
+def pack_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule pack over whole files: a rule for all languages, one for English texts, one with a glob."""
+    own = {"DOC_EN": ("en", []), "DOC_LICENSE": ("any", ["doc_1*.txt", "src3/*/doc_?.txt"])}
+    fields = [f.name for f in RULE_SCHEMA.fields]
+    rows = []
+    for n, (name, pattern, severity) in enumerate(b.DOCUMENT_RULES):
+        lang, globs = own.get(name, ("any", []))
+        row = {"rule_ordinal": n, "rule_id": name, "language": lang, "severity": severity, "detector_type": "regex", "pattern": pattern, "flags": "", "file_globs": globs}
+        rows.append(tuple(row.get(f) for f in fields))
+    pack = spark.createDataFrame(rows, RULE_SCHEMA)
+    found = detect.to_findings(detect.detect_pack(b.documents(spark, sf_dir), pack), pack)
+    place = F.col("line_number").cast("long") * F.col("column") + F.col("match_ordinal")
+    return found.groupBy("file_path", "rule_id", "severity").agg(F.count("*").alias("n"), F.sum(place).alias("places"))
 
 
 IGNORED = "src1/\n# a comment\n!src1/3/\n/src2/4/\n**/doc_7*\n!**/doc_77.txt\nsrc5/*/doc_?[0].txt\n"
@@ -102,7 +127,7 @@ def language_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def sentinel_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = b.documents(spark, sf_dir)
-    found = detect.detect_literal(docs, [RULE_PAIRS[4]]).select(F.col("path").alias("file_path"))
+    found = detect.count_literal(docs, [RULE_PAIRS[4]]).select(F.col("path").alias("file_path"))
     table = [("en", "article", r"\b(the|an)\b"), ("en", "junction", r"\band\b"), ("fr", "article", r"\b(les|une)\b"), ("de", "article", r"\b(der|die|das)\b")]
     return detect.sentinel(docs, found, table, excluded=r"licensed").select("path", "line_number", "column", "library")
 
@@ -118,6 +143,13 @@ def notebook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.groupBy("path", "cell").agg(F.count("*").alias("n_lines"), F.min("line_number").alias("first_line"), F.max("line_number").cast("long").alias("last_line")).withColumn("first_line", F.col("first_line").cast("long"))
 
 
+@query
+def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole scan over source files of many languages, notebooks and certificates."""
+    found = scan.scan(b.source_files(spark, sf_dir), rules.load_rules(spark), ignore="vendor/\n")
+    return found.select("file_path", "rule_id", "line_number", "column", "layer_ordinal")
+
+
 # --- the algebra of findings
 
 
@@ -334,7 +366,8 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     clusters = fuse.clusters(own, by=("module",))
     joined = fuse.with_cluster(own.where("channel = 'ast'"), clusters, by=("module",))
     links = b.edges(spark, sf_dir)
-    reach = graph.impact(b.nodes(links), links).where("node like 's/%'").select(F.regexp_replace("node", "^s/r", "m").alias("module"), "blast_radius", "band")
+    modules = b.nodes(links).where("node like 's/%'")
+    reach = graph.impact(b.nodes(links), links, modules).select(F.regexp_replace("node", "^s/r", "m").alias("module"), "blast_radius", "band")
     cards = agility.scorecard(own, ["module"]).select("module", F.col("total_score").alias("agility"))
     ready = joined.join(reach, "module", "left").join(cards, "module")
     return plan.score_items(ready, F.col("agility"))

@@ -67,6 +67,20 @@ SELECT rule_id, CAST(sum(len(regexp_extract_all(line, pattern))) AS BIGINT) AS n
 FROM l JOIN rules ON regexp_matches(line, pattern) JOIN force USING (path, line_number)
 WHERE d IS NULL OR NOT (list_contains(d, '*') OR list_contains(d, rule_id)) GROUP BY rule_id"""
 
+ORACLES["suppression_join"] = f"""
+WITH {D}, {rules(ALL_RULES[:2])}, {DIRECTIVES}
+SELECT rule_id, CAST(sum(len(regexp_extract_all(line, pattern))) AS BIGINT) AS n
+FROM l JOIN rules ON regexp_matches(line, pattern) JOIN force USING (path, line_number)
+WHERE d IS NULL OR NOT (list_contains(d, '*') OR list_contains(d, rule_id)) GROUP BY rule_id"""
+
+ORACLES["pack_matches"] = rf"""
+WITH {D}, {rules(ALL_RULES)}, {MATCHES}
+SELECT path AS file_path, rule_id, severity, count(*) AS n, CAST(sum(line_number * col + match_ordinal) AS BIGINT) AS places
+FROM m
+WHERE (rule_id <> 'DOC_EN' OR language = 'en')
+  AND (rule_id <> 'DOC_LICENSE' OR regexp_matches(path, '/doc_1[^/]*\.txt$') OR regexp_matches(path, '^src3/[^/]*/doc_[^/]\.txt$'))
+GROUP BY ALL"""
+
 
 def excluded(target: str, parent: str) -> str:
     """The last of the query's patterns that matches, over a path and (for folder patterns) what stands for its folder."""
@@ -116,6 +130,12 @@ SELECT path, CAST(0 AS INTEGER) AS cell, n AS n_lines, CAST(1 AS BIGINT) AS firs
 UNION ALL
 SELECT path, 2, 2, n + 2, n + 3 FROM x"""
 
+ORACLES["scan_files"] = f"""
+WITH w(n, name, rule_id, line_number, "column", layer_ordinal, keyed) AS (VALUES {", ".join(repr(x) for x in b.source_places())})
+SELECT concat('p', p_partkey, '/', name) AS file_path, rule_id, line_number,
+       CAST("column" + keyed * length(CAST(p_partkey AS VARCHAR)) AS INTEGER) AS "column", layer_ordinal
+FROM part JOIN w ON p_partkey % {len(b.SOURCES)} = n"""
+
 RANK = "CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 WHEN 'critical' THEN 4 ELSE 0 END"
 ORACLES["threshold_filter"] = f"WITH {F} SELECT rule_id, severity, count(*) AS n FROM f WHERE {RANK} >= 2 GROUP BY ALL"
 ORACLES["exit_gate"] = f"WITH {F} SELECT CAST(coalesce(max({RANK}), -1) >= 3 AS INTEGER) AS exit_code FROM f"

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.regex_dialect import to_java, to_python
 from ..functions.scalars import quantum_safety, rule_confidence
 from ..schema import RULE_SCHEMA, SEVERITIES
 
@@ -28,7 +28,7 @@ def parse_rules(text: str, source: str = "") -> list[dict]:
         if missing or not wanted or not detector.get(wanted) or rule["severity"] not in SEVERITIES:
             raise ValueError(f"{source}: rule {rule.get('id')!r} lacks {missing or wanted or 'a known detector'}, or its severity is unknown")
         if wanted == "pattern":
-            re.compile(detector["pattern"], re.ASCII)
+            to_java(detector["pattern"]), to_python(detector["pattern"], detector.get("flags", ""))
     return rules
 
 
@@ -61,7 +61,7 @@ def self_test(rules: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def found(pattern: pd.Series, flags: pd.Series, example: pd.Series) -> pd.Series:
-        return pd.Series([bool(re.search(p, x, re.ASCII | (re.I if "i" in f else 0))) for p, f, x in zip(pattern, flags, example, strict=True)])
+        return pd.Series([bool(to_python(p, f).search(x)) for p, f, x in zip(pattern, flags, example, strict=True)])
 
     return each.where(found("pattern", "flags", "example") != F.col("expected")).select("rule_id", "example", "expected")
 

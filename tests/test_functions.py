@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cryptolode.functions import risk, scalars
-from cryptolode.functions.regex_dialect import glob_to_regex, ignore_to_regex, to_java
+from cryptolode.functions.regex_dialect import glob_to_regex, ignore_to_regex, required_literal, to_java, to_python
 from cryptolode.schema import complete, fusion_rank, gate_rank, is_risk, threshold_rank
 
 
@@ -81,7 +81,8 @@ def test_completed_findings_have_stable_ids(spark):
     assert first.finding_id == again.finding_id != "" and first.message == "" and first.key_size is None
 
 
-@pytest.mark.parametrize("pattern", [r"\brsa", r"rsa\b", r"a.b", r"rsa$", r"\Bsa", r"[\b[x]rsa|rsa", r"(?i)RSA\b", r"[^]]rsa"])
+@pytest.mark.parametrize("pattern", [r"\brsa", r"rsa\b", r"a.b", r"rsa$", r"\Bsa", r"[\b[x]rsa|rsa", r"(?i)RSA\b", r"[^]]rsa",
+                                     r"[[:alpha:]]+5", r"[^[:space:]]5", r"md5\z", r"\s5", r"\b(?:md|rsa)\b", r"\b[0-9]{1,}\b", r"(?:\b|x)5", r"\b\W5", r"\bx?5\b", r"(?P<n>md)5"])
 def test_dialect_agrees_with_re2(spark, pattern):
     lines = ["érsa", "rsaé", "a\u0085b", "rsa\r", "xrsa", "rsa", " rsa ", "RSA", "éRSAé", "[rsa", "a b", "日rsa日"]
     try:
@@ -89,7 +90,7 @@ def test_dialect_agrees_with_re2(spark, pattern):
     except duckdb.Error:
         pytest.skip("RE2 refuses it")
     java = table(spark, lines, lambda c: c.rlike(to_java(pattern)))
-    python = [bool(re.search(pattern, x, re.ASCII)) for x in lines] if "[\\b[" not in pattern else re2
+    python = [bool(to_python(pattern).search(x)) for x in lines] if "[\\b[" not in pattern else re2
     assert java == re2
     assert python == re2 or pattern.endswith("$")
 
@@ -100,6 +101,11 @@ def test_dialect_refuses(pattern):
         to_java(pattern)
 
 
+@pytest.mark.parametrize(("pattern", "literal"), [(r"licensed under", "licensed under"), (r'\b(?:token|key) = "[^"]*"', ' = "'), (r"ab?c", "a"), (r"a|b", ""), (r"(?i)abc", ""), (r"x+yz", "xyz"), (r"ab+c", "ab"), (r"a\.b", "a.b"), (r"(ab)", "")])
+def test_text_that_all_matches_hold(pattern, literal):
+    assert required_literal(pattern) == literal
+
+
 def test_globs():
     assert re.match(glob_to_regex("*.conf"), "a.conf") and not re.match(glob_to_regex("*.conf"), "x/a.conf") and re.match(glob_to_regex("a[bc]?.x"), "abz.x")
     assert re.search(ignore_to_regex("build", False), "a/build/x") and not re.search(ignore_to_regex("build", True), "a/build/x") and re.search(ignore_to_regex("[x]", False), "[x]")
