@@ -6,12 +6,12 @@ token spans by binary search: a token is under the mask if it shares a character
 A turn is `<turn>role`, a line end, the text, a line end, `</turn>` and a line end. In roles and texts a backslash is
 doubled and the two control strings get a backslash before them, so no text can forge a mark and everything reads back.
 
-Rows are dealt by conversation and sorted by turn, so a task streams over them; a conversation longer than SEGMENT
-characters is rendered in segments that end with a turn. The vocabulary's pre-tokenizer always breaks there (a line end
+Rows are dealt by conversation and sorted by turn, so a task streams over them, however long a conversation is: beyond
+SEGMENT characters it is given out in several rows, each of whole turns, so that no row outgrows memory. The vocabulary's pre-tokenizer always breaks there (a line end
 before `<`), so the segments' ids are the ids of the whole.
 
 Defined results: null role or text is empty; rows of one turn number go by role, then text; a null turn comes first;
-rows without a conv_id are one conversation; an empty table gives no conversation; further columns are ignored.
+rows without a conv_id are one conversation; a repeated row is a turn of its own; a very long text is one turn; an empty table gives no conversation; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -166,8 +166,11 @@ def loss_text(formatted: str, starts: list[int], ends: list[int], mask: list[boo
 READ_BACK = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """What the formatted conversations hold, parsed from the output: a row per conversation."""
+def read_back(formatted: DataFrame, in_order: bool = True) -> DataFrame:
+    """What the formatted conversations hold, parsed from the output: a row per conversation. in_order: each conversation's
+    segments follow one another, as format_conversations gives them; a table read from storage may have lost that order."""
+    if not in_order:
+        formatted = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "segment")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: list | None = None
@@ -185,6 +188,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
                     if now:
                         done.append(now)
                     now = [row["conv_id"], 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                elif not now or now[0] != row["conv_id"]:
+                    raise ValueError("segments are out of order: pass in_order=False")
                 for role, text in parse(row["formatted"]):
                     now[1] += 1
                     now[2].update(f"{role}\n{text}\n".encode())

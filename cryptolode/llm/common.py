@@ -20,17 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where that is unset, a temporary one will do on one
+    machine; on a cluster it is an error, since executors elsewhere couldn't read what one of them writes."""
     conf = spark.sparkContext.getConf()
     folder = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-#: Folders that this program has written beside its results.
+#: Folders that this program has written beside its results, and tables of the catalog that name some of them.
 _scratch: list[str] = []
+_tables: list[str] = []
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -39,8 +43,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return _scratch[-1]
 
 
+def scratch_table(name: str) -> str:
+    """A new name for a table of the catalog."""
+    _tables.append(f"{name}_{uuid.uuid4().hex}")
+    return _tables[-1]
+
+
 def drop_scratch(spark: SparkSession) -> int:
-    """Delete what operators have stored on the way, when their results are stored; the number of folders."""
+    """Delete all that operators of this program have stored on the way; the number of folders. Call it when no result is
+    needed any more that hasn't been stored elsewhere: results are lazy and read those folders."""
+    for name in _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    _tables.clear()
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in map(spark.sparkContext._jvm.org.apache.hadoop.fs.Path, _scratch):
         path.getFileSystem(conf).delete(path, True)

@@ -21,7 +21,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_unique, materialize, select_rows, shared_dir
+from .common import join_unique, materialize, scratch_path, scratch_table, select_rows
 
 
 def normalised(text: str) -> Column:
@@ -35,12 +35,13 @@ def digest(text: str) -> Column:
 class DigestIndex:
     """The persistent index: Parquet files of `buckets` buckets at `path`, registered in the session's catalog.
 
-    Opening an existing path registers its files again, so the index outlives sessions and catalogs.
+    Opening an existing path registers its files again, so the index outlives sessions and catalogs; `drop_scratch` only
+    takes its name out of the catalog.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 12) -> None:
         self.spark, self.path, self.buckets = spark, path, buckets
-        self.name = f"digest_index_{uuid.uuid4().hex}"
+        self.name = scratch_table("digest_index")
         spark.sql(
             f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, batch STRING) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
@@ -75,7 +76,7 @@ class DigestIndex:
 
 def index_for(spark: SparkSession, buckets: int | None = None) -> DigestIndex:
     """A new, empty index in the shared folder; buckets follow the session's shuffle partitions unless given."""
-    return DigestIndex(spark, f"{shared_dir(spark)}/digest-index-{uuid.uuid4().hex}", buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return DigestIndex(spark, scratch_path(spark, "digest-index"), buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 #: Batches in which a table is added.

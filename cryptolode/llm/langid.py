@@ -4,8 +4,10 @@ The network reads a text's UTF-8 bytes in segments, forwards and backwards, and
 languages; a document's distribution is the mean over all its bytes. It is written in numpy and trained by
 backpropagation through time, in one task, on a bounded sample of labelled rows; its weights are a few thousand numbers.
 
-Defined results: null texts and texts without a letter are `und` with score 0; a repeated row is labelled again; rows
-without a lang teach nothing; if no language could be learnt every text is `und`; further columns are ignored.
+Defined results: null texts and texts without a letter are `und` with score 0; a repeated row is labelled again; a text of
+any length is read whole, in segments between which the network's state starts anew; of languages with the same share the
+first by name is named; rows without a lang teach nothing; if no language could be learnt every text is `und`; an empty
+table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import new_names
+from .common import materialize, new_names
 from .hashing import batches_of
 
 ASCII_LETTER = re.compile("[A-Za-z]")
 UNDETERMINED = "und"
+#: Ids of the sample that are broadcast, at most; more (of hundreds of languages) are joined by a shuffle.
+MOST_BROADCAST = 200_000
 
 
 def has_letter(text: str) -> bool:
@@ -206,7 +210,8 @@ def fit(docs: DataFrame, learn, s: Settings = Settings()) -> tuple[list[str], di
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn("doc_id"))
     by = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = rows.select("lang", "doc_id").withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= s.per_lang).select("doc_id", "lang").distinct()
-    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"])  # per_lang rows of each language
+    chosen = materialize(chosen, "language-sample")  # per_lang rows of each language
+    sample = rows.join(F.broadcast(chosen) if chosen.count() <= MOST_BROADCAST else chosen, ["doc_id", "lang"])
 
     def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted({(lang, i or 0, text) for b in batches for i, lang, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "lang", "text")), strict=True) if text})

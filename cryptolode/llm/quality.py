@@ -4,7 +4,9 @@ Indicators are scaled by the classes' log-count ratios, and a linear hinge-loss
 coordinate descent; a logistic curve fitted to held-aside margins turns margins into scores.
 
 Defined results: null and empty texts get the score of a text without n-grams; a repeated row is scored again; labels
-that are null, repeated or without a document are handled as nbsvm.fit_on_spark says; without labels of both classes
+that are null, repeated or without a document are handled as nbsvm.fit_on_spark says; a text of any length is scored whole; texts
+with the same n-grams tie at the same score, and a score at the threshold is predicted as 1; an empty table gives an empty
+result; without labels of both classes
 every score is the smoothed share of label 1; further columns are ignored.
 """
 

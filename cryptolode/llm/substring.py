@@ -23,7 +23,6 @@ document of its own, so its windows are repeated; an empty table gives an empty
 from __future__ import annotations
 
 import math
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path
+from .common import materialize, scratch_path, scratch_table
 from .hashing import Words
 
 WINDOW = 35
@@ -251,7 +250,7 @@ def remove(window: int, slices: int):
 
 def store_chunks(docs: DataFrame, chunks: int, buckets: int) -> DataFrame:
     """doc_id, text and chunk of all rows, in a table bucketed by chunk in the shared folder."""
-    spark, name = docs.sparkSession, f"chunks_{uuid.uuid4().hex}"
+    spark, name = docs.sparkSession, scratch_table("chunks")
     # dealt by position, so that no repeated row fills a chunk
     chunk = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), chunk.alias("chunk"))

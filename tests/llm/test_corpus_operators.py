@@ -475,7 +475,12 @@ def test_cover_tree_covers(monkeypatch):
     while todo:
         node = todo.pop()
         assert np.linalg.norm(points[node.index] - node.centre, axis=1).max() <= node.radius + 1e-9
+        assert (points[node.index] == node.centre).all(axis=1).any()
         if node.children:
+            centres = np.array([c.centre for c in node.children])
+            apart = np.linalg.norm(centres[:, None] - centres[None], axis=2) + np.diag(np.full(len(centres), np.inf))
+            assert np.nanmin(apart) >= node.radius / topk.BASE - 1e-9 and (centres == node.centre).all(axis=1).any()
+            assert max(c.radius for c in node.children) <= node.radius / topk.BASE + 1e-9
             assert sorted(np.concatenate([c.index for c in node.children])) == sorted(node.index)
         else:
             seen += len(node.index)
@@ -531,6 +536,44 @@ def test_indicators_are_distinct():
     assert len(find(None)) == 0
 
 
+def test_ratios_by_counting():
+    s = nbsvm.Settings(kinds=(("word", (1,)),), bits=12, least_count=2)
+    texts, y = ["a b", "a c", "a d", "b c", "c a"], np.array([1.0, 1.0, -1.0, -1.0, 1.0])
+    find = nbsvm.Indicators(s)
+    rows = [find(t) for t in texts]
+    got = nbsvm.log_count_ratios(rows, y, s)
+    total = {v: (1 << s.bits) + sum(len(t.split()) for t, x in zip(texts, y, strict=True) if x == v) for v in (1, -1)}
+    for word in "abcd":
+        n = {v: 1 + sum(word in t.split() for t, x in zip(texts, y, strict=True) if x == v) for v in (1, -1)}
+        wanted = np.log((n[1] / total[1]) / (n[-1] / total[-1])) if sum(n.values()) >= 4 else 0
+        assert got[find(word)[0]] == pytest.approx(wanted, abs=1e-6)
+
+
+def test_dual_coordinate_descent_against_a_plain_solver():
+    rng = np.random.default_rng(4)
+    s = nbsvm.Settings(kinds=(("word", (1,)),), bits=6, cost=0.3, epochs=400)
+    rows = [np.unique(rng.integers(0, 64, 12)) for _ in range(60)]
+    y = np.where(rng.random(60) < 0.3, 1.0, -1.0)
+    ratios = rng.normal(size=64).astype(np.float32)
+    w, bias = nbsvm.dual_coordinate_descent(rows, y, ratios, s)
+    x = np.zeros((60, 65))
+    for i, index in enumerate(rows):
+        x[i, index] = ratios[index]
+    x[:, 64] = 1  # the bias
+    share = (y > 0).mean()
+    most = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) * s.cost
+    q = (y[:, None] * x) @ (y[:, None] * x).T
+    alpha, step = np.zeros(60), 1 / np.linalg.eigvalsh(q).max()
+    for _ in range(60_000):  # projected gradient on the same dual
+        alpha = np.clip(alpha - step * (q @ alpha - 1), 0, most)
+    best = x.T @ (alpha * y)
+    primal = lambda v: 0.5 * v @ v + (most * np.maximum(0, 1 - y * (x @ v))).sum()
+    dual = alpha.sum() - 0.5 * alpha @ q @ alpha
+    own = np.append(np.where(ratios != 0, w / ratios, 0), bias)
+    assert primal(own) == pytest.approx(dual, rel=1e-3) and primal(best) == pytest.approx(dual, rel=1e-3)
+    assert np.allclose(x @ own, x @ best, atol=1e-2)
+
+
 # --- languages
 
 
@@ -642,5 +685,13 @@ def test_scratch_is_dropped(spark):
     assert common.drop_scratch(spark) == 1 and not Path(folder.replace("//", "/")).exists()
 
 
+def test_stored_conversations_read_back(spark, monkeypatch):
+    monkeypatch.setattr(chat, "SEGMENT", 20)
+    rows = spark.createDataFrame([(i, t, "user" if t % 2 else "assistant", f"text {i} {t} " * 5) for i in range(6) for t in range(4)], "conv_id long, turn long, role string, text string")
+    formatted = chat.format_conversations(rows, tokenizer_path())
+    stored = formatted.orderBy(F.col("segment").desc(), "conv_id").cache()
+    assert sorted(map(tuple, chat.read_back(stored, in_order=False).collect())) == sorted(map(tuple, chat.read_back(formatted).collect()))
+
+
 def test_letters():
     assert langid.has_letter("1é") and langid.has_letter("a") and not langid.has_letter("1²_ -")
