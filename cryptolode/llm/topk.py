@@ -1,10 +1,12 @@
 """Exact top-k inner-product search by dual cover trees.
 
-Vectors are dealt to their nearest pivot (pivots are a bounded sample), and a pivot's vectors into blocks of bounded
-size. A task indexes a block of queries and a block of data each in a cover tree and searches both together: a pair of
-nodes is dropped if the largest product that their centres and covering radii allow is below the worst kth score of the
-node's queries. Queries are first searched in blocks near them; then pairs of blocks are dropped by the same bound on
-their centres and radii, and the rest are searched. Only k rows of a query leave a task.
+Vectors are dealt to their nearest pivot (pivots are a bounded sample), a pivot's vectors to rings of like distance from
+it, and a ring too large for a block by a hash; queries likewise, by pivots of their own, so there are as few blocks of
+queries as their number allows and each block of data is sent once to each of those that it may serve. A task indexes a
+block of queries and a block of data each in a cover tree and searches both together: a pair of nodes is dropped if the
+largest product that their centres and covering radii allow is below the worst kth score of the node's queries. Queries
+are first searched in the block of data nearest to theirs; then pairs of blocks are dropped by the same bound on their
+centres and radii, and the rest are searched. Only k rows of a query leave a task.
 
 Components are floor(256 * x), so scores are integers and exact: in double precision where that holds all of them, in
 unbounded integers elsewhere; a component or a score beyond 64 bits is taken as the nearest long.
@@ -28,11 +30,11 @@ from pyspark.sql.window import Window as W
 from .common import materialize
 
 SCALE = 256
-#: Pivots, and the rows of a block of data and of queries, about.
-PIVOTS, BLOCK, QUERY_BLOCK = 64, 8192, 2048
-#: Points of a leaf and children of a node.
-LEAF, CHILDREN = 64, 32
-#: Block summaries that are compared at once.
+#: Pivots at most, and the rows of a block of data and of queries, about.
+PIVOTS, BLOCK, QUERY_BLOCK = 1024, 4096, 16384
+#: Points of a leaf, and how much smaller the radii of children are than their node's.
+LEAF, BASE = 64, 1.3
+#: Block summaries of either side that are compared at once.
 TOGETHER = 512
 EXACT = 2**53
 MOST = 2**63 - 1
@@ -50,29 +52,29 @@ def usable(rows: DataFrame, ident: str, vector: str) -> DataFrame:
 
 
 class CoverTree:
-    """A tree over points: a node has a centre, the radius that covers its points, and children whose centres are at
-    least half that radius apart (at most CHILDREN of them; what they leave uncovered goes to the nearest)."""
+    """A cover tree over points. Nesting: a node's centre is one of its points, and of one of its children. Covering: a
+    child's points are within radius / BASE of its centre. Separation: the children's centres are farther apart than that.
+    A node of LEAF points or fewer, or of equal points, has no children."""
 
-    def __init__(self, points: np.ndarray, index: np.ndarray) -> None:
-        self.index, self.centre = index, points[index].mean(axis=0)
+    def __init__(self, points: np.ndarray, index: np.ndarray, centre: int = 0) -> None:
+        """centre: which of the index is the centre."""
         own = points[index]
+        self.index, self.centre = index, own[centre]
         self.norm = float(np.linalg.norm(self.centre))
-        self.radius = float(np.sqrt(np.square(own - self.centre).sum(axis=1).max())) * (1 + 1e-12)
+        distance = np.sqrt(np.square(own - self.centre).sum(axis=1))
+        self.radius = float(distance.max()) * (1 + 1e-12)
         self.children: list[CoverTree] = []
         if len(index) <= LEAF or self.radius == 0:
             return
-        apart, nearest, of = np.full(len(index), np.inf), np.zeros(len(index), int), 0
-        while of < CHILDREN:
-            far = int(apart.argmax())
-            if of and apart[far] <= self.radius / 2:
-                break
+        apart, nearest, centres = distance, np.zeros(len(index), int), [centre]
+        while apart[far := int(apart.argmax())] > self.radius / BASE:
             distance = np.sqrt(np.square(own - own[far]).sum(axis=1))
             closer = distance < apart
-            apart[closer], nearest[closer] = distance[closer], of
-            of += 1
-        groups = [index[nearest == c] for c in range(of)]
-        if max(map(len, groups)) < len(index):
-            self.children = [CoverTree(points, g) for g in groups if len(g)]
+            apart[closer], nearest[closer] = distance[closer], len(centres)
+            centres.append(far)
+        for c, at in enumerate(centres):
+            group = np.flatnonzero(nearest == c)
+            self.children.append(CoverTree(points, index[group], int(np.searchsorted(group, at))))
 
 
 def bound(q: CoverTree, n: CoverTree) -> float:
@@ -166,11 +168,27 @@ def summarise(table: pa.Table) -> pa.Table:
 SUMMARY = "block string, dims long, centre array<double>, radius double, worst double"
 
 
+def summaries(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.array(table.column(c).to_pylist()) for c in ("centre", "radius"))
+
+
+def home_blocks(key: tuple, queries: pa.Table, data: pa.Table) -> pa.Table:
+    """For each block of queries the block of data with the nearest centre."""
+    out: list[tuple] = []
+    if queries.num_rows and data.num_rows:
+        (qc, _), (dc, _) = summaries(queries), summaries(data)
+        apart = np.square(qc).sum(axis=1)[:, None] - 2 * (qc @ dc.T) + np.square(dc).sum(axis=1)
+        blocks = data.column("block").to_pylist()
+        out = [(q, blocks[j], float(apart[i, j])) for i, (q, j) in enumerate(zip(queries.column("block").to_pylist(), apart.argmin(axis=1), strict=True))]
+    columns = list(zip(*out, strict=True)) or [[]] * 3
+    return pa.table([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64())], names=["query_block", "block", "apart"])
+
+
 def near_blocks(key: tuple, queries: pa.Table, data: pa.Table) -> pa.Table:
     """The pairs of blocks whose bound isn't below the worst kth score of the queries."""
     left, right = [], []
     if queries.num_rows and data.num_rows:
-        (qc, dc), (qr, dr) = ([np.array(t.column(c).to_pylist()) for t in (queries, data)] for c in ("centre", "radius"))
+        (qc, qr), (dc, dr) = summaries(queries), summaries(data)
         qn, dn = np.linalg.norm(qc, axis=1), np.linalg.norm(dc, axis=1)
         most = qc @ dc.T + qr[:, None] * dn + dr * qn[:, None] + qr[:, None] * dr
         most = most + 1e-9 * (np.abs(most) + (qn + qr)[:, None] * (dn + dr))
@@ -180,25 +198,51 @@ def near_blocks(key: tuple, queries: pa.Table, data: pa.Table) -> pa.Table:
     return pa.table([pa.array(left, pa.string()), pa.array(right, pa.string())], names=["query_block", "block"])
 
 
-def deal(rows: DataFrame, pivots: list[list[float]], size: int) -> DataFrame:
-    """rows with a block: the nearest pivot of their length, and a part of it if it has more than `size` rows."""
+def side_by_side(queries: DataFrame, data: DataFrame, compare, schema: str) -> DataFrame:
+    """compare on all pairs of block summaries of one length, a portion of either side at a time."""
+    nq, nd = (max(1, math.ceil(x.count() / TOGETHER)) for x in (queries, data))
+    portion = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.withColumn("qp", portion(nq)).withColumn("dp", every(nd))
+    d = data.withColumn("dp", portion(nd)).withColumn("qp", every(nq))
+    return q.groupBy("dims", "qp", "dp").cogroup(d.groupBy("dims", "qp", "dp")).applyInArrow(compare, schema)
+
+
+def deal(rows: DataFrame, size: int) -> DataFrame:
+    """rows (v, ...) with a block: the nearest pivot of their length, a ring of like distances from it, and a part of the
+    ring if its ties still are more than `size` rows."""
+    n = rows.count()
+    pivots = [r["v"] for r in rows.select("v").orderBy(F.xxhash64("v")).limit(min(PIVOTS, math.ceil(n / size))).collect()]  # PIVOTS vectors at most
     index = {d: (np.array([p for p in pivots if len(p) == d]), [i for i, p in enumerate(pivots) if len(p) == d]) for d in {len(p) for p in pivots}}
 
     def nearest(batches):
         for batch in batches:
-            vectors, out = batch.column(0).to_pylist(), []
-            for v in vectors:
-                points, names = index.get(len(v), (None, None))
-                out.append(-len(v) if points is None else names[int(np.square(points - np.array(v)).sum(axis=1).argmin())])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "pivot"])
+            vectors = batch.column(0).to_pylist()
+            lengths = np.array([len(v) for v in vectors], int)
+            pivot, apart = -lengths, np.zeros(len(vectors))
+            for d in set(lengths.tolist()) & set(index):
+                own = np.flatnonzero(lengths == d)
+                points, names = index[d]
+                v = np.array([vectors[i] for i in own])
+                square = np.square(v).sum(axis=1)[:, None] - 2 * (v @ points.T) + np.square(points).sum(axis=1)
+                pivot[own] = np.array(names)[square.argmin(axis=1)]
+                apart[own] = np.sqrt(np.maximum(square.min(axis=1), 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pivot, pa.int64()), pa.array(apart)], [*batch.schema.names, "pivot", "apart"])
 
     others = [f for f in rows.schema.fields if f.name != "v"]
-    schema = ", ".join(["v array<double>", *(f"{f.name} {f.dataType.simpleString()}" for f in others), "pivot long"])
-    dealt = materialize(rows.select("v", *[f.name for f in others]).mapInArrow(nearest, schema), "dealt")
-    counts = dealt.groupBy(F.col("pivot").alias("own"), F.size("v").alias("dims")).agg(F.ceil(F.count("*") / size).alias("parts"))
-    joined = dealt.join(counts, (F.col("pivot") == F.col("own")) & (F.size("v") == F.col("dims")))
+    schema = ", ".join(["v array<double>", *(f"{f.name} {f.dataType.simpleString()}" for f in others), "pivot long", "apart double"])
+    dealt = materialize(rows.select("v", *[f.name for f in others]).mapInArrow(nearest, schema).withColumn("dims", F.size("v")), "dealt")
+    # the rings' bounds: as many quantiles of the distance as the pivot's rows fill blocks
+    sizes = dealt.groupBy("pivot", "dims").agg(F.count("*").alias("n"), F.percentile_approx("apart", F.array(*[F.lit(i / 64) for i in range(1, 64)]), 1000).alias("marks"))
+    step = F.ceil(F.col("n") / size)
+    bounds = F.when(step <= 1, F.array().cast("array<double>")).otherwise(F.filter("marks", lambda x, i: (F.floor((i + 1) * step / 64) > F.floor(i * step / 64))))
+    rings = dealt.join(sizes.select("pivot", "dims", bounds.alias("bounds")), ["pivot", "dims"])
+    rings = rings.withColumn("ring", F.size(F.filter("bounds", lambda x: x < F.col("apart")))).drop("bounds", "apart")
+    rings = materialize(rings, "rings")
+    parts = rings.groupBy("pivot", "dims", "ring").agg(F.ceil(F.count("*") / (2 * size)).alias("parts"))
+    joined = rings.join(parts, ["pivot", "dims", "ring"])
     part = F.pmod(F.xxhash64("vec_id", "v"), F.col("parts"))
-    return joined.withColumn("block", F.concat_ws("-", "pivot", "dims", part)).drop("pivot", "own", "parts")
+    return joined.withColumn("block", F.concat_ws("-", "pivot", "dims", "ring", part)).drop("pivot", "dims", "ring", "parts")
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
@@ -210,30 +254,26 @@ def best(found: DataFrame, k: int) -> DataFrame:
 def search(vectors: DataFrame, is_query: Column, k: int = 5, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k best candidates of each query row: query_id, rank, vec_id, score. is_query is a condition on `vec_id`."""
     rows = materialize(usable(vectors, ident, vector), "vectors")
-    pivots = [r["v"] for r in rows.orderBy(F.xxhash64("vec_id", "v")).limit(PIVOTS).collect()]  # PIVOTS vectors
-    data = materialize(deal(rows, pivots, BLOCK), "data-blocks")
-    queries = rows.where(is_query).distinct().withColumn("qid", F.monotonically_increasing_id())
-    queries = materialize(deal(queries, pivots, QUERY_BLOCK), "query-blocks").withColumnRenamed("block", "query_block")
-
-    # first, each block of queries in one block of data of its own pivot
-    home = data.groupBy(F.regexp_replace("block", "-[0-9]+$", "").alias("home")).agg(F.min("block").alias("block"))
-    start = queries.withColumn("home", F.regexp_replace("query_block", "-[0-9]+$", "")).join(home, "home")
-    start = start.select("qid", "vec_id", "v", F.lit(None).cast("long").alias("least"), "query_block", "block")
-    pairs = materialize(start.select("query_block", "block").distinct(), "home-blocks")
-    own = data.select("vec_id", "v", "block").join(pairs, "block")
+    data = materialize(deal(rows, BLOCK), "data-blocks")
+    queries = materialize(rows.where(is_query).distinct().withColumn("qid", F.monotonically_increasing_id()), "queries")
+    queries = materialize(deal(queries, QUERY_BLOCK), "query-blocks").withColumnRenamed("block", "query_block")
     keys = ["query_block", "block"]
+
+    # first, each block of queries in the block of data nearest to it
+    q = queries.select("vec_id", "v", F.col("query_block").alias("block")).groupBy("block").applyInArrow(summarise, SUMMARY)
+    d = materialize(data.groupBy("block").applyInArrow(summarise, SUMMARY), "data-summaries")
+    home = side_by_side(materialize(q, "query-summaries"), d, home_blocks, "query_block string, block string, apart double")
+    pairs = materialize(home.groupBy("query_block").agg(F.min_by("block", "apart").alias("block")), "home-blocks")
+    start = queries.join(pairs, "query_block").select("qid", "vec_id", "v", F.lit(None).cast("long").alias("least"), *keys)
+    own = data.select("vec_id", "v", "block").join(pairs, "block")
     first = start.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInArrow(search_blocks(k), FOUND)
     first = materialize(best(first, k), "first-found")
     worst = first.where(F.col("rank") == k).select("qid", F.col("score").alias("least"))
     queries = materialize(queries.join(worst, "qid", "left"), "bounded-queries")
 
-    # then in all blocks that may hold something better, found by comparing summaries in portions
+    # then in all blocks that may hold something better, found by comparing summaries
     q = queries.select("vec_id", "v", "least", F.col("query_block").alias("block")).groupBy("block").applyInArrow(summarise, SUMMARY)
-    d = materialize(data.groupBy("block").applyInArrow(summarise, SUMMARY), "data-summaries")
-    portions = max(1, math.ceil(d.count() / TOGETHER))
-    q = q.withColumn("portion", F.explode(F.sequence(F.lit(0), F.lit(portions - 1))))
-    d = d.withColumn("portion", F.pmod(F.xxhash64("block"), F.lit(portions)).cast("int"))
-    near = q.groupBy("dims", "portion").cogroup(d.groupBy("dims", "portion")).applyInArrow(near_blocks, "query_block string, block string")
+    near = side_by_side(materialize(q, "query-summaries"), d, near_blocks, "query_block string, block string")
     near = materialize(near.join(pairs, keys, "left_anti"), "near-blocks")
     left = queries.select("qid", "vec_id", "v", "least", "query_block").join(near, "query_block")
     right = data.select("vec_id", "v", "block").join(near, "block")
