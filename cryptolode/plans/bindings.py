@@ -251,3 +251,34 @@ def source_places() -> list[tuple[int, str, str, int, int, int, int]]:
             keyed = int("{k}" in own[: max(place, 0)])
             out.append((n, name, rule, line, place + 1 - 3 * keyed if at else nth, layer, keyed))
     return out
+
+
+PROJECTS = [
+    ("Pipfile", '[source]\nurl = "x"\n[packages]\npkg{k} = "*"\n"Quoted" = "==1.{k}"\n# note = "1"\n[dev-packages]\npython = "3"\ndev = ">=2"\n'),
+    ("pyproject.toml", '[project]\nname = "x"\ndependencies = [\n  "alpha{k}>=1.0",\n  "beta[extra] == 2 ; python_version > \'3\'",\n]\n[tool.poetry.dependencies]\npython = "^3.9"\ngamma = "^{k}"\n'),
+    ("package.json", '{\n  "name": "p{k}",\n  "dependencies": {"left{k}": "^1.0"},\n  "devDependencies": {\n    "jest": "29"\n  }\n}\n'),
+]
+
+
+def project_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as manifests (path, text), one of PROJECTS each."""
+    k = F.col("s_suppkey")
+    text = F.replace(pick([t for _, t in PROJECTS], k), F.lit("{k}"), k.cast("string"))
+    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("m"), k, F.lit("/"), pick([n for n, _ in PROJECTS], k)).alias("path"), text.alias("text"))
+
+
+def importing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as Python, TypeScript and Go files that import their neighbours, and one in a folder that is left out."""
+    s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    near = lambda d: (k + d).cast("string")
+    python = (
+        F.when(k % 4 == 0, F.concat(F.lit("import os, sys\nimport lib.s"), near(1), F.lit("\n")))
+        .when(k % 4 == 1, F.concat(F.lit("from . import s"), near(2), F.lit(", s"), near(3), F.lit(" as other  # both\n")))
+        .when(k % 4 == 2, F.concat(F.lit("def f():\n    from lib.s"), near(-1), F.lit(" import (f)\n")))
+        .otherwise(F.lit("import os\n# import lib.s1\n"))
+    )
+    script = F.concat(F.lit("import x from './j"), near(1), F.lit("';\nconst y = require(\"../lib/none\");\nimport z from 'j1';\n"))
+    module = F.concat(F.lit('package g\nimport (\n\t"fmt"\n\tq "example.com/pkg/g'), near(1), F.lit('"\n)\n'))
+    kinds = [("lib/s", ".py", python), ("web/j", ".ts", script), ("pkg/g", "/m.go", module), ("node_modules/n", ".py", F.concat(F.lit("import lib.s"), near(0)))]
+    each = F.explode(F.array(*[F.struct(F.concat(F.lit(a), k, F.lit(z)).alias("path"), t.alias("text")) for a, z, t in kinds]))
+    return s.select(each.alias("f")).select("f.path", "f.text")

@@ -354,6 +354,13 @@ def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.counts(b.nodes(own), own)
 
 
+@query
+def graph_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of suppliers' source files, out of their texts."""
+    _, edges = graph.build(b.importing_files(spark, sf_dir))
+    return edges.select("importer", "importee")
+
+
 # --- the plan
 
 
@@ -488,6 +495,12 @@ def manifest_go_mod(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifests.dependencies(own).select("manifest", "package", "version", "line")
 
 
+@query
+def manifest_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as Pipfiles, project files and package files, in turn."""
+    return manifests.dependencies(b.project_files(spark, sf_dir)).select("manifest", "ecosystem", "package", "version", "line")
+
+
 @query
 def tls_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tls.findings(b.observations(spark, sf_dir), F.to_timestamp(F.lit(b.AS_OF)))

@@ -446,3 +446,20 @@ UNION ALL SELECT rule_id, 2, 1, 13, count(*) FROM p WHERE NOT noted GROUP BY rul
 ORACLES["x509_scan"] = """
 WITH k AS (SELECT concat('k', s_suppkey) AS file_path, ['RSA', 'ECDSA', 'DSA', '', 'SSH', ''][s_suppkey % 6 + 1] AS algorithm, CAST(s_suppkey % 3 + 1 AS INTEGER) AS line_number FROM supplier)
 SELECT file_path, concat('X509_PRIVATE_KEY_', algorithm) AS rule_id, algorithm, line_number, 'critical' AS severity FROM k WHERE algorithm <> ''"""
+
+ORACLES["manifest_projects"] = """
+WITH w(n, name, ecosystem, package, version, line) AS (VALUES
+  (0, 'Pipfile', 'python', 'pkg{k}', '*', 4), (0, 'Pipfile', 'python', 'Quoted', '==1.{k}', 5), (0, 'Pipfile', 'python', 'dev', '>=2', 9),
+  (1, 'pyproject.toml', 'python', 'alpha{k}', '>=1.0', 4), (1, 'pyproject.toml', 'python', 'beta', '== 2', 5), (1, 'pyproject.toml', 'python', 'gamma', '^{k}', 9),
+  (2, 'package.json', 'javascript', 'left{k}', '^1.0', 3), (2, 'package.json', 'javascript', 'jest', '29', 5))
+SELECT concat('m', s_suppkey, '/', name) AS manifest, ecosystem, replace(package, '{k}', CAST(s_suppkey AS VARCHAR)) AS package, replace(version, '{k}', CAST(s_suppkey AS VARCHAR)) AS version, line
+FROM supplier JOIN w ON s_suppkey % 3 = n"""
+ORACLES["graph_build"] = """
+WITH s AS (SELECT s_suppkey AS k FROM supplier),
+e AS (
+  SELECT 'lib/s' AS a, '.py' AS z, k, k + 1 AS other FROM s WHERE k % 4 = 0
+  UNION ALL SELECT 'lib/s', '.py', k, k + unnest([2, 3]) FROM s WHERE k % 4 = 1
+  UNION ALL SELECT 'lib/s', '.py', k, k - 1 FROM s WHERE k % 4 = 2
+  UNION ALL SELECT 'web/j', '.ts', k, k + 1 FROM s
+  UNION ALL SELECT 'pkg/g', '/m.go', k, k + 1 FROM s)
+SELECT concat(a, e.k, z) AS importer, concat(a, other, z) AS importee FROM e JOIN s ON s.k = other"""
