@@ -137,6 +137,16 @@ def latest(rows: DataFrame, by: str, at: str, tie: str) -> DataFrame:
     return rows.groupBy(by).agg(F.max_by(F.struct(*[c for c in rows.columns if c != by]), F.struct(at, tie)).alias("r")).select(by, "r.*")
 
 
+def most_recent(rows: DataFrame, at: str, tie: str, n: int = 50) -> DataFrame:
+    """The last n rows, latest first: each task sends n of its own at most."""
+    return rows.orderBy(F.col(at).desc(), F.col(tie).desc()).limit(n)
+
+
+def by_score(findings: DataFrame, score: str = "score") -> DataFrame:
+    """Findings by falling score, then place; an ordering by ranges, so no task sorts all."""
+    return findings.orderBy(F.col(score).desc(), "file_path", "line_number", "finding_id")
+
+
 def score_events(before: DataFrame, after: DataFrame) -> DataFrame:
     """fingerprint and event: created, updated (another score) or resolved, between two scans (fingerprint, score)."""
     joined = before.groupBy("fingerprint").agg(F.max("score").alias("old")).join(after.groupBy("fingerprint").agg(F.max("score").alias("new")), "fingerprint", "full")

@@ -426,6 +426,12 @@ def latest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.latest(o, "o_custkey", "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey", "o_orderstatus")
 
 
+@query
+def recent_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as scans: the last fifty."""
+    return lifecycle.most_recent(b.table(spark, sf_dir, "orders"), "o_orderdate", "o_orderkey").select("o_orderkey", "o_custkey")
+
+
 @query
 def score_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = b.table(spark, sf_dir, "orders")

@@ -463,3 +463,5 @@ e AS (
   UNION ALL SELECT 'web/j', '.ts', k, k + 1 FROM s
   UNION ALL SELECT 'pkg/g', '/m.go', k, k + 1 FROM s)
 SELECT concat(a, e.k, z) AS importer, concat(a, other, z) AS importee FROM e JOIN s ON s.k = other"""
+
+ORACLES["recent_scans"] = "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.regex_dialect import to_java, to_python
 from ..functions.scalars import quantum_safety, rule_confidence
-from ..schema import RULE_SCHEMA, SEVERITIES
+from ..schema import FINDING_SCHEMA, RULE_SCHEMA, SEVERITIES
 
 PACK = str(Path(__file__).parent.parent / "rules")
 
@@ -50,6 +50,26 @@ def load_rules(spark: SparkSession, folder: str = PACK) -> DataFrame:
     return filled.withColumn("confidence", rule_confidence(F.col("confidence"), F.col("detector_type")))
 
 
+def load_overlay(spark: SparkSession, folder: str) -> DataFrame:
+    """The entries of an overlay folder's YAML files (a list or a single mapping each), for `lifecycle.enrich`: numbered in the
+    lexical order of files, so that the last entry of a rule wins. A folder that isn't there has none; an entry without a
+    rule_id in a list is an error, a file with a single mapping without one is passed over."""
+    import yaml
+
+    from ..operators.lifecycle import OVERLAY_LISTS, OVERLAY_TEXTS
+
+    rows: list[tuple] = []
+    for path in sorted(p for p in Path(folder).rglob("*") if p.suffix.lower() in (".yaml", ".yml")) if folder and Path(folder).exists() else []:
+        loaded = yaml.safe_load(path.read_text())
+        for entry in loaded if isinstance(loaded, list) else [loaded] if (loaded or {}).get("rule_id") else []:
+            if not entry.get("rule_id"):
+                raise ValueError(f"{path}: an entry without rule_id")
+            rows.append((len(rows), entry["rule_id"], *[entry.get(c) or "" for c in OVERLAY_TEXTS], *[entry.get(c) or [] for c in OVERLAY_LISTS]))
+    kinds = {f.name: f.dataType.simpleString() for f in FINDING_SCHEMA.fields}
+    fields = [f"`{c}` {kinds.get(c, 'string')}" for c in OVERLAY_TEXTS] + [f"`{c}` {kinds.get(c, 'array<string>')}" for c in OVERLAY_LISTS]
+    return spark.createDataFrame(rows, ", ".join(["ordinal int", "rule_id string", *fields]))
+
+
 def languages(rules: DataFrame) -> DataFrame:
     return rules.select("language").distinct()
 

@@ -242,6 +242,24 @@ MANIFESTS = {
 }
 
 
+def test_overlay_folders(spark, tmp_path):
+    (tmp_path / "a.yaml").write_text("- {rule_id: R, recommendation: first, cwe: [1]}\n- {rule_id: S, recommendation: other}\n")
+    (tmp_path / "b.YML").write_text("{rule_id: R, recommendation: last}\n")
+    (tmp_path / "c.yml").write_text("{note: nothing}\n")
+    overlay = rules.load_overlay(spark, str(tmp_path))
+    assert [(r.rule_id, r.recommendation, r.cwe) for r in overlay.orderBy("ordinal").collect()] == [("R", "first", [1]), ("S", "other", []), ("R", "last", [])]
+    assert rules.load_overlay(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "d.yml").write_text("- {recommendation: x}\n")
+    with pytest.raises(ValueError):
+        rules.load_overlay(spark, str(tmp_path))
+
+
+def test_most_recent_and_by_score(spark):
+    rows = spark.createDataFrame([(i, i // 2, "f", 1, f"x{i}") for i in range(9)], "k int, score int, file_path string, line_number int, finding_id string")
+    assert [r.k for r in lifecycle.most_recent(rows, "score", "k", 3).collect()] == [8, 7, 6]
+    assert [r.k for r in lifecycle.by_score(rows).collect()] == [8, 6, 7, 4, 5, 2, 3, 0, 1]
+
+
 def test_manifests(spark):
     found = manifests.dependencies(spark.createDataFrame(list(MANIFESTS.items()), "path string, text string"))
     got = {(r.manifest, r.package, r.version, r.line) for r in found.collect()}
