@@ -60,21 +60,32 @@ def token_pattern(kind: str, value: str) -> re.Pattern:
     return re.compile(patterns.get(kind, reference), re.M)
 
 
-def python_matches(tree: ast.AST, kind: str, value: str) -> Iterator[tuple[int, int]]:
-    """(line, byte column from 1) of a query's matches in a syntax tree."""
-    called = {id(n.func) for n in ast.walk(tree) if isinstance(n, ast.Call)}
+def qualified(node: ast.AST) -> str:
+    """`a.b.c` of a name or a chain of attributes on one, otherwise an empty text."""
+    parts = []
+    while isinstance(node, ast.Attribute):
+        parts.append(node.attr)
+        node = node.value
+    return ".".join(reversed([*parts, node.id])) if isinstance(node, ast.Name) else ""
+
+
+def python_names(tree: ast.AST) -> Iterator[tuple[str, str, int, int]]:
+    """(kind of query, name, line, byte column from 1) of all that queries can ask for, in one walk of a syntax tree; an
+    import is found under its module and under the packages that hold it."""
+    called = set()
     for node in ast.walk(tree):
-        hit = False
-        if kind == "call" and isinstance(node, ast.Call):
-            hit = ast.unparse(node.func) == value
-        elif kind == "attr" and isinstance(node, ast.Attribute):
-            hit = id(node) not in called and ast.unparse(node) == value
-        elif kind == "import" and isinstance(node, ast.Import):
-            hit = any(a.name == value or a.name.startswith(value + ".") for a in node.names)
-        elif kind == "import" and isinstance(node, ast.ImportFrom):
-            hit = node.module is not None and (node.module == value or node.module.startswith(value + "."))
-        if hit:
-            yield node.lineno, node.col_offset + 1
+        if isinstance(node, ast.Call):
+            called.add(id(node.func))
+            names, kind = {qualified(node.func)}, "call"
+        elif isinstance(node, ast.Attribute):
+            # a call is walked before the name that it calls
+            names, kind = set() if id(node) in called else {qualified(node)}, "attr"
+        elif isinstance(node, ast.Import | ast.ImportFrom):
+            modules = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module] if node.module else []
+            names, kind = {m[:n] for m in modules for n, c in enumerate(m + ".") if c == "."}, "import"
+        else:
+            continue
+        yield from ((kind, name, node.lineno, node.col_offset + 1) for name in names if name)
 
 
 def find(text: str, language: str, queries: list[tuple[str, str]]) -> Iterator[tuple[int, int, int]]:
@@ -84,8 +95,10 @@ def find(text: str, language: str, queries: list[tuple[str, str]]) -> Iterator[t
             tree = ast.parse(text)
         except (SyntaxError, ValueError, RecursionError):
             return
-        for n, (kind, value) in enumerate(queries):
-            yield from ((n, line, column) for line, column in sorted(python_matches(tree, kind, value)))
+        wanted: dict[tuple[str, str], list[int]] = {}
+        for n, query in enumerate(queries):
+            wanted.setdefault(query, []).append(n)
+        yield from sorted((n, line, column) for kind, name, line, column in python_names(tree) for n in wanted.get((kind, name), ()))
         return
     seen: dict[bool, str] = {}
     for n, (kind, value) in enumerate(queries):

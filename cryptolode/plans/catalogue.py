@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -561,6 +562,17 @@ def report_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("ruleId", "level").agg(F.count("*").alias("n"), F.max("line").alias("last_line"))
 
 
+@query
+def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of all kinds of reports; of JSON, the character that each begins with."""
+    own = b.findings(spark, sf_dir).withColumn("message", F.concat(F.lit("use of <"), "algorithm", F.lit("> & more")))
+    parts = []
+    for form in ("text", "markdown", "html", "json", "jsonl", "sarif"):
+        line = F.col("line") if form in ("text", "markdown", "html") else F.substring("line", 1, 1)
+        parts.append(reports.document(own, form).groupBy(F.lit(form).alias("form"), F.col("part").cast("int").alias("part"), line.alias("line")).agg(F.count("*").alias("n")))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 @query
 def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = lifecycle.readiness(b.findings(spark, sf_dir), ["module"])

@@ -434,6 +434,28 @@ SELECT rule_id, concat('found ', algorithm) AS text, {LEVELS} AS level, {case("s
        concat('security cryptography', CASE quantum_safety WHEN 'vulnerable' THEN ' pqc quantum-vulnerable' WHEN 'grover_weakened' THEN ' pqc grover-weakened' WHEN 'classically_broken' THEN ' classically-broken' ELSE '' END, ' external/cwe/cwe-327') AS tags
 FROM last"""
 ORACLES["report_results"] = f"WITH {F} SELECT rule_id AS \"ruleId\", {LEVELS} AS level, count(*) AS n, max(line_number) AS last_line FROM f GROUP BY ALL"
+ORACLES["report_documents"] = f"""
+WITH {F}, r AS (
+  SELECT *, CAST(list_position(['critical', 'high', 'medium', 'low', 'info', 'odd'], severity) - 1 AS INTEGER) * 3 AS head, CASE severity WHEN 'odd' THEN 'other' ELSE severity END AS section,
+         concat('use of <', algorithm, '> & more') AS message, concat('use of &lt;', algorithm, '&gt; &amp; more') AS escaped
+  FROM f),
+s AS (SELECT head, section, count(*) AS n FROM r GROUP BY ALL),
+l AS (
+  SELECT 'text' AS form, -1 AS part, string_agg(concat(section, ': ', n), '  ' ORDER BY head) AS line FROM s
+  UNION ALL SELECT 'text', head + 1, concat('[', severity, '] ', file_path, ':', line_number, ' ', rule_id, ' ', message) FROM r
+  UNION ALL SELECT 'markdown', -1, '# Cryptography findings'
+  UNION ALL SELECT 'markdown', head, concat(chr(10), '## ', upper(section[1]), section[2:], ' (', n, ')', chr(10), chr(10), '| Rule | Place | Algorithm | Message |', chr(10), '|---|---|---|---|') FROM s
+  UNION ALL SELECT 'markdown', head + 1, concat('| ', rule_id, ' | `', file_path, ':', line_number, '` | ', algorithm, ' | ', message, ' |') FROM r
+  UNION ALL SELECT 'html', -1, '<!doctype html><meta charset=''utf-8''><title>Cryptography findings</title>'
+  UNION ALL SELECT 'html', head, concat('<h2>', section, ' (', n, ')</h2><table>') FROM s
+  UNION ALL SELECT 'html', head + 1, concat('<tr><td>', rule_id, '</td><td>', file_path, '</td><td>', line_number, '</td><td>', algorithm, '</td><td>', escaped, '</td></tr>') FROM r
+  UNION ALL SELECT 'html', head + 2, '</table>' FROM s
+  UNION ALL SELECT * FROM (VALUES ('json', -1, '['), ('json', 0, chr(123)), ('json', 99, ']'), ('sarif', -1, chr(123)), ('sarif', 0, chr(123)), ('sarif', 1, ']'), ('sarif', 2, chr(123)), ('sarif', 99, ']'))
+  UNION ALL SELECT 'json', 0, ',' FROM (SELECT 1 FROM f OFFSET 1)
+  UNION ALL SELECT 'sarif', 2, ',' FROM (SELECT 1 FROM f OFFSET 1)
+  UNION ALL SELECT 'sarif', 0, ',' FROM (SELECT DISTINCT rule_id FROM f OFFSET 1)
+  UNION ALL SELECT 'jsonl', 0, chr(123) FROM f)
+SELECT form, CAST(part AS INTEGER) AS part, line, count(*) AS n FROM l GROUP BY ALL"""
 ORACLES["readiness"] = f"""
 WITH {F}, r AS (SELECT module, count(*) AS n, count(*) FILTER (quantum_safety IN ('hybrid', 'quantum_safe', 'unknown')) AS ready FROM f GROUP BY module)
 SELECT module, n, ready, round(ready / n * 1e6) / 1e6 AS readiness, 3 AS rank FROM r"""

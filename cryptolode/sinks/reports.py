@@ -1,19 +1,21 @@
 """Findings as files: JSON lines, SARIF, Markdown, HTML, text, and Parquet by scan.
 
-Rows are formatted by columns, in parallel; a report that is one document is put together from those formatted rows.
+Rows are formatted by columns, in parallel. A report that is one document is a relation of lines with places: heads and ends
+come from counts, and executors write the sorted lines as text.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import json
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fingerprint, sarif_level, security_severity, severity_of_level, shorten
-from ..schema import FINDING_SCHEMA, SEVERITIES, complete, threshold_rank
+from ..schema import FINDING_SCHEMA, SEVERITIES, complete, severity_rank
 
 PRODUCER = "cryptolode"
 
@@ -56,28 +58,19 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
     return findings.groupBy("rule_id").agg(F.max_by(what, last).alias("rule"))
 
 
-def sarif_results(findings: DataFrame) -> DataFrame:
-    """A finding as a result; the severity itself travels in its properties, so that reading back loses nothing."""
+def _result() -> list[Column]:
     mark = fingerprint(F.col("rule_id"), F.col("file_path"), F.col("snippet"), F.col("line_number"))
     place = F.struct(F.struct(F.struct(F.col("file_path").alias("uri")).alias("artifactLocation"), F.struct(F.col("line_number").alias("startLine")).alias("region")).alias("physicalLocation"))
-    return findings.select(
+    return [
         F.col("rule_id").alias("ruleId"), sarif_level(F.col("severity")).alias("level"), F.struct(F.col("message").alias("text")).alias("message"),
         F.array(place).alias("locations"), F.struct(mark.alias(f"{PRODUCER}/v1")).alias("partialFingerprints"),
         F.struct("severity", "quantum_safety", "algorithm", "confidence").alias("properties"),
-    )
-
-
-def _documents(rows: DataFrame) -> Iterable[dict]:
-    return (json.loads(x) for (x,) in rows.select(F.to_json(F.struct("*"))).toLocalIterator())
+    ]
 
 
-def sarif(findings: DataFrame) -> str:
-    """A SARIF 2.1.0 log of one run."""
-    own = complete(findings)
-    rules = [r["rule"] for r in _documents(sarif_rules(own).orderBy("rule_id"))]
-    results = list(_documents(sarif_results(own.orderBy("file_path", "line_number", "rule_id", "finding_id"))))
-    driver = {"name": PRODUCER, "rules": rules}
-    return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": driver}, "results": results}]})
+def sarif_results(findings: DataFrame) -> DataFrame:
+    """A finding as a result; the severity itself travels in its properties, so that reading back loses nothing."""
+    return findings.select(*_result())
 
 
 def read_sarif(spark: SparkSession, path: str) -> DataFrame:
@@ -93,56 +86,139 @@ def read_sarif(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+#: Where a line stands within a report: its part, then the place of its finding, then which of several like it.
+PLACE = ("part", "file_path", "line_number", "rule_id", "finding_id", "nth")
+FIRST, LAST = -1, 99
+OTHER = "other"
+
+
 def report_lines(findings: DataFrame) -> DataFrame:
-    """rank (of severity, falling in reports), file_path, line_number, severity and the row's Markdown line."""
-    text = F.format_string("| %s | `%s:%d` | %s | %s |", "rule_id", "file_path", "line_number", "algorithm", F.replace("message", F.lit("|"), F.lit("\\|")))
-    return complete(findings).select(threshold_rank(F.lower("severity")).alias("rank"), F.lower("severity").alias("severity"), "file_path", "line_number", "rule_id", "algorithm", "message", shorten(F.col("snippet")).alias("snippet"), text.alias("markdown"))
+    """rank (of severity, falling in reports), section (the severity, or `other`), the finding's fields with a short snippet,
+    and the row's Markdown line."""
+    message = F.regexp_replace(F.replace("message", F.lit("|"), F.lit("\\|")), r"\s*[\r\n]+\s*", " ")
+    text = F.format_string("| %s | `%s:%d` | %s | %s |", "rule_id", "file_path", "line_number", "algorithm", message)
+    severity = F.lower("severity")
+    section = F.when(severity.isin(*SEVERITIES), severity).otherwise(OTHER)
+    return complete(findings).select(
+        severity_rank(severity, unknown=-1).alias("rank"), section.alias("section"), severity.alias("severity"), "finding_id", "file_path", "line_number", "rule_id", "algorithm", "message",
+        shorten(F.col("snippet")).alias("snippet"), text.alias("markdown"),
+    )
 
 
-def _sections(findings: DataFrame) -> dict[str, list]:
-    groups: dict[str, list] = {s: [] for s in reversed(SEVERITIES)}
-    for r in report_lines(findings).orderBy(F.col("rank").desc(), "file_path", "line_number", "rule_id").toLocalIterator():
-        groups.setdefault(r["severity"], []).append(r)
-    return {k: v for k, v in groups.items() if v}
+def _placed(rows: DataFrame, part: Column, line: Column) -> DataFrame:
+    """Findings as lines of a part. Rows that are alike are counted first, so that many of them don't stay together."""
+    keys = [F.coalesce(F.col(c), F.lit(0) if c == "line_number" else F.lit("")).alias(c) for c in PLACE[1:-1]]
+    like = rows.select(part.alias("part"), *keys, line.alias("line")).groupBy(*PLACE[:-1], "line").agg(F.count("*").alias("n"))
+    return like.select(*PLACE[:-1], F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("nth"), "line")
 
 
-def markdown(findings: DataFrame) -> str:
-    parts = ["# Cryptography findings"]
-    for severity, rows in _sections(findings).items():
-        parts += [f"\n## {severity.title()} ({len(rows)})\n", "| Rule | Place | Algorithm | Message |", "|---|---|---|---|", *(r["markdown"] for r in rows)]
-    return "\n".join(parts) + "\n"
+def _between(rows: DataFrame, part: Column, line: Column) -> DataFrame:
+    """Lines that stand alone in their part: headings and ends."""
+    return rows.select(part.cast("int").alias("part"), F.lit("").alias("file_path"), F.lit(0).alias("line_number"), F.lit("").alias("rule_id"), F.lit("").alias("finding_id"), F.lit(0).cast("long").alias("nth"), line.alias("line"))
 
 
-def text(findings: DataFrame) -> str:
-    sections = _sections(findings)
-    head = "  ".join(f"{s}: {len(rows)}" for s, rows in sections.items()) or "no findings"
-    rows = [f"[{s}] {r['file_path']}:{r['line_number']} {r['rule_id']} {r['message']}" for s, rs in sections.items() for r in rs]
-    return "\n".join([head, *rows]) + "\n"
+def _fixed(spark: SparkSession, part: int, line: str) -> DataFrame:
+    return _between(spark.range(1), F.lit(part), F.lit(line))
 
 
-def html_page(findings: DataFrame) -> str:
-    body = []
-    for severity, rows in _sections(findings).items():
-        cells = "".join("<tr>" + "".join(f"<td>{html.escape(str(r[c]))}</td>" for c in ("rule_id", "file_path", "line_number", "algorithm", "message")) + "</tr>" for r in rows)
-        body.append(f"<h2>{html.escape(severity)} ({len(rows)})</h2><table>{cells}</table>")
-    return "<!doctype html><meta charset='utf-8'><title>Cryptography findings</title>" + "".join(body)
+def _elements(rows: DataFrame, part: int, element: Column) -> DataFrame:
+    """Findings as the elements of a JSON array: all but the first have a comma before them."""
+    placed = _placed(rows, F.lit(part), element)
+    place = F.struct(*PLACE, "line")
+    first = placed.agg(F.min(place)).scalar()
+    return placed.withColumn("line", F.concat(F.when(place == first, F.lit("")).otherwise(","), "line"))
 
 
-def json_array(findings: DataFrame) -> str:
-    return json.dumps(list(_documents(complete(findings).withColumn("snippet", shorten(F.col("snippet"))).orderBy("file_path", "line_number", "rule_id"))), indent=2)
+def _sections(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows, and one row a section: rank, section, n."""
+    rows = report_lines(findings)
+    return rows, rows.groupBy("rank", "section").agg(F.count("*").alias("n"))
 
 
-def jsonl(findings: DataFrame) -> str:
-    return "".join(x + "\n" for (x,) in complete(findings).select(F.to_json(F.struct(*FINDING_SCHEMA.names))).toLocalIterator())
+def _part(step: int) -> Column:
+    """The part of a section's head (0), rows (1) and end (2)."""
+    return ((F.lit(len(SEVERITIES) - 1) - F.col("rank")) * 3 + step).cast("int")
 
 
-FORMATS: dict[str, Callable[[DataFrame], str]] = {"text": text, "json": json_array, "jsonl": jsonl, "sarif": sarif, "markdown": markdown, "md": markdown, "html": html_page}
+def _markdown(findings: DataFrame) -> list[DataFrame]:
+    rows, sections = _sections(findings)
+    head = F.concat(F.lit("\n## "), F.initcap("section"), F.lit(" ("), "n", F.lit(")\n\n| Rule | Place | Algorithm | Message |\n|---|---|---|---|"))
+    return [_fixed(findings.sparkSession, FIRST, "# Cryptography findings"), _between(sections, _part(0), head), _placed(rows, _part(1), F.col("markdown"))]
 
 
-def render(findings: DataFrame, name: str) -> str:
+def _text(findings: DataFrame) -> list[DataFrame]:
+    rows, sections = _sections(findings)
+    counts = F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("rank"), F.concat("section", F.lit(": "), "n").alias("count"))))  # a few sections
+    head = sections.agg(F.array_join(F.transform(counts, lambda x: x["count"]), "  ").alias("head"))
+    line = F.concat(F.lit("["), "severity", F.lit("] "), "file_path", F.lit(":"), F.coalesce(F.col("line_number").cast("string"), F.lit("")), F.lit(" "), "rule_id", F.lit(" "), "message")
+    return [_between(head, F.lit(FIRST), F.when(F.col("head") == "", F.lit("no findings")).otherwise(F.col("head"))), _placed(rows, _part(1), line)]
+
+
+def _escaped(column: str) -> Column:
+    out = F.coalesce(F.col(column).cast("string"), F.lit(""))
+    for character in "&<>\"'":
+        out = F.replace(out, F.lit(character), F.lit(html.escape(character)))
+    return out
+
+
+def _html(findings: DataFrame) -> list[DataFrame]:
+    rows, sections = _sections(findings)
+    cells = [F.concat(F.lit("<td>"), _escaped(c), F.lit("</td>")) for c in ("rule_id", "file_path", "line_number", "algorithm", "message")]
+    head = F.concat(F.lit("<h2>"), "section", F.lit(" ("), "n", F.lit(")</h2><table>"))
+    return [
+        _fixed(findings.sparkSession, FIRST, "<!doctype html><meta charset='utf-8'><title>Cryptography findings</title>"),
+        _between(sections, _part(0), head), _placed(rows, _part(1), F.concat(F.lit("<tr>"), *cells, F.lit("</tr>"))), _between(sections, _part(2), F.lit("</table>")),
+    ]
+
+
+def _json_array(findings: DataFrame) -> list[DataFrame]:
+    own = complete(findings).withColumn("snippet", shorten(F.col("snippet")))
+    spark = findings.sparkSession
+    return [_fixed(spark, FIRST, "["), _elements(own, 0, F.to_json(F.struct(*FINDING_SCHEMA.names))), _fixed(spark, LAST, "]")]
+
+
+def _jsonl(findings: DataFrame) -> list[DataFrame]:
+    return [_placed(complete(findings), F.lit(0), F.to_json(F.struct(*FINDING_SCHEMA.names)))]
+
+
+def _sarif(findings: DataFrame) -> list[DataFrame]:
+    """A SARIF 2.1.0 log of one run."""
+    own, spark = complete(findings), findings.sparkSession
+    rules = sarif_rules(own).select("rule", "rule_id", F.lit("").alias("file_path"), F.lit(0).alias("line_number"), F.lit("").alias("finding_id"))
+    head = json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json"})[:-1]
+    head += f', "runs": [{{"tool": {{"driver": {{"name": "{PRODUCER}", "rules": ['
+    return [
+        _fixed(spark, FIRST, head), _elements(rules, 0, F.to_json("rule")), _fixed(spark, 1, ']}}, "results": ['),
+        _elements(own, 2, F.to_json(F.struct(*_result()))), _fixed(spark, LAST, "]}]}"),
+    ]
+
+
+FORMATS: dict[str, Callable[[DataFrame], list[DataFrame]]] = {"text": _text, "json": _json_array, "jsonl": _jsonl, "sarif": _sarif, "markdown": _markdown, "md": _markdown, "html": _html}
+
+
+def document(findings: DataFrame, name: str) -> DataFrame:
+    """A report's lines, in no order: the columns of PLACE, which order them, and line (which may hold line ends).
+
+    No findings give the report's head and end. Findings that are alike are each listed; a null line number is 0 in the order.
+    """
     if name not in FORMATS:
         raise ValueError(f"unknown format {name!r}; known are {', '.join(FORMATS)}")
-    return FORMATS[name](findings)
+    return functools.reduce(DataFrame.unionByName, FORMATS[name](findings))
+
+
+def write(findings: DataFrame, name: str, path: str) -> None:
+    """A report as a folder of text files which, one after another by name, are the report. Executors write ranges of it."""
+    document(findings, name).orderBy(*PLACE).select("line").write.text(path)
+
+
+def render(findings: DataFrame, name: str) -> str:
+    """A report that is short enough to be read, as one string; `write` is for all others."""
+    return "".join(f"{x}\n" for (x,) in document(findings, name).orderBy(*PLACE).select("line").toLocalIterator())
+
+
+def write_scorecard(card: DataFrame, path: str) -> None:
+    """Scorecards as JSON, one a line."""
+    card.write.json(path, ignoreNullFields=False)
 
 
 def scan_summary(files: DataFrame, skipped: DataFrame, findings: DataFrame) -> DataFrame:

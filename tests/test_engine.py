@@ -327,6 +327,22 @@ def test_reports(spark, tmp_path):
     assert len(reports.render(own, "jsonl").splitlines()) == 3 and "…and 1 more" in reports.comment(own, 2) and reports.annotations(own, 2).count() == 2
     with pytest.raises(ValueError):
         reports.render(own, "pdf")
+    many = own.unionByName(own).unionByName(own.withColumn("severity", F.lit("odd")))
+    for form in reports.FORMATS:
+        reports.write(many, form, str(tmp_path / form))
+        parts = "".join(p.read_text() for p in sorted((tmp_path / form).glob("part-*")))
+        assert parts == reports.render(many, form)
+        if form == "sarif":
+            results = json.loads(parts)["runs"][0]["results"]
+            assert [r["message"]["text"] for r in results] == sorted(r["message"]["text"] for r in results) and len(results) == 9
+        elif form == "json":
+            assert len(json.loads(parts)) == 9
+        elif form == "md":
+            assert [x for x in parts.splitlines() if x.startswith("## ")] == ["## Critical (4)", "## Low (2)", "## Other (3)"] and parts.count("<m>") == 9
+    none = own.limit(0)
+    assert json.loads(reports.render(none, "sarif"))["runs"][0]["results"] == [] == json.loads(reports.render(none, "json")) and reports.render(none, "text") == "no findings\n" and reports.render(none, "jsonl") == ""
+    reports.write_scorecard(agility.scorecard(own.withColumn("module", F.lit("m")), ["module"]), str(tmp_path / "card"))
+    assert spark.read.json(str(tmp_path / "card")).first()["module"] == "m"
     lang = spark.createDataFrame([("go",), ("go",), ("c",)], "language string")
     row = reports.scan_summary(lang, lang.limit(1), own).first()
     assert (row.files_scanned, row.files_skipped, row.n_findings, row.by_language) == (3, 1, 3, {"go": 2, "c": 1})
