@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -70,6 +71,42 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list[str], name: str, groups: int = 0, amount: str | None = None) -> DataFrame:
+    """df, stored, with nth: each row's place (from 0) in the order of the columns `order`, nulls first, among the rows
+    that agree in the first `groups` of them; total: how many those are. With amount (a column of whole numbers), also
+    before: its sum over the rows ahead, and amount: its sum over all of them, with the column itself kept.
+
+    No task sees all rows: they are dealt into ranges of the whole order, and only the ranges' sums, a row for each range
+    and group, are added up. Rows that agree in the whole order are dealt out by where they were stored.
+    """
+    tie, seq, part = new_names(df, "tie", "seq", "part")
+    keys = [*order, tie]
+    rows = materialize(df.withColumn(tie, F.monotonically_increasing_id()), name)
+    dealt = rows.repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).withColumn(seq, F.monotonically_increasing_id())
+    dealt = materialize(dealt.drop(tie).withColumn(part, F.shiftright(seq, 33)).withColumn(seq, F.col(seq).bitwiseAND(F.lit((1 << 33) - 1))), name)
+    group = order[:groups]
+    first, n, sums, ahead, total, before, whole = new_names(dealt, "first", "n", "sums", "ahead", "total", "before", "whole")
+    own = F.sum(amount).alias(sums) if amount else F.lit(0).alias(sums)
+    runs = dealt.groupBy(*group, part).agg(F.min(seq).alias(first), F.count("*").alias(n), own)
+    up, everything = W.partitionBy(*group).orderBy(part).rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*group)
+    runs = runs.withColumns({
+        ahead: F.coalesce(F.sum(n).over(up), F.lit(0)), total: F.sum(n).over(everything),
+        before: F.coalesce(F.sum(sums).over(up), F.lit(0)), whole: F.sum(sums).over(everything),
+    })
+    renamed = [f"{part}g{i}" for i in range(groups)]
+    runs = materialize(runs.select(*[F.col(g).alias(r) for g, r in zip(group, renamed, strict=True)], F.col(part).alias(part + "r"), first, ahead, total, before, whole), name)
+    same = F.col(part) == F.col(part + "r")
+    for g, r in zip(group, renamed, strict=True):
+        same &= F.col(g).eqNullSafe(F.col(r))
+    out = dealt.join(runs, same)
+    added = [(F.col(ahead) + F.col(seq) - F.col(first)).alias("nth"), F.col(total).alias("total")]
+    if amount:
+        inner = F.sum(amount).over(W.partitionBy(*group, part).orderBy(seq).rowsBetween(W.unboundedPreceding, -1))
+        out = out.withColumn(sums, inner)
+        added += [(F.col(before) + F.coalesce(F.col(sums), F.lit(0))).alias("before"), F.col(whole).alias("amount")]
+    return out.select(*df.columns, *added)
+
+
 def new_names(df: DataFrame, *names: str) -> list[str]:
     """Column names for temporary use that clash with none of df's (Spark ignores case)."""
     prefix = "_x"

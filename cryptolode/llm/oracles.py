@@ -84,3 +84,61 @@ r AS (SELECT doc_id, doc_id AS reached FROM d UNION SELECT r.doc_id, p.b FROM r
 k AS (SELECT doc_id, min(reached) AS class_id FROM r GROUP BY doc_id)
 SELECT k.doc_id, class_id, (SELECT count(*) FROM p WHERE p.a = k.doc_id) AS n_links FROM k
 """
+
+
+def _hilbert_sql(bits: int = 4, n: int = 4) -> str:
+    """CTEs from g (x0 .. x3, the levels) to p (with place)."""
+    out, last, step = [], "g", 0
+    for b in range(bits - 1, 0, -1):
+        for i in range(n):
+            hit, flip = f"(x{i} & {1 << b}) <> 0", f"(xor(x0, x{i}) & {(1 << b) - 1})"
+            new = [f"CASE WHEN {hit} THEN xor(x0, {(1 << b) - 1}) ELSE xor(x0, {flip}) END AS x0"]
+            new += [f"CASE WHEN {hit} THEN x{i} ELSE xor(x{i}, {flip}) END AS x{i}"] if i else []
+            out.append(f"t{step} AS (SELECT * REPLACE ({', '.join(new)}) FROM {last})")
+            last, step = f"t{step}", step + 1
+    for i in range(1, n):
+        out.append(f"t{step} AS (SELECT * REPLACE (xor(x{i}, x{i - 1}) AS x{i}) FROM {last})")
+        last, step = f"t{step}", step + 1
+    flip = "0"
+    for b in range(bits - 1, 0, -1):
+        flip = f"xor({flip}, CASE WHEN (x{n - 1} & {1 << b}) <> 0 THEN {(1 << b) - 1} ELSE 0 END)"
+    out.append(f"f AS (SELECT *, {flip} AS flip FROM {last})")
+    place = "0"
+    for b in range(bits - 1, -1, -1):
+        for i in range(n):
+            place = f"({place} * 2 + ((xor(x{i}, flip) >> {b}) & 1))"
+    out.append(f"p AS (SELECT *, {place} AS place FROM f)")
+    return ",\n".join(out)
+
+
+#: CRC-32 takes a table of 256 values, made here from its rule.
+_CRCS = """
+bits AS (SELECT range AS byte, range AS c, 0 AS k FROM range(256)
+  UNION ALL SELECT byte, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crcs AS (SELECT list(c ORDER BY byte) AS crcs FROM bits WHERE k = 8)"""
+
+
+def _crc_sql(text: str) -> str:
+    """Unsigned CRC-32 of a text's UTF-8, where the column crcs holds the table."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+    return f"xor(list_reduce({octets}, lambda a, b: xor(a >> 8, crcs[xor(a & 255, b) + 1]), 4294967295), 4294967295)"
+
+
+ORACLES["op13_hilbert_sharding"] = f"""
+WITH RECURSIVE {_CRCS},
+d AS (SELECT doc_id, source, lang, octet_length(encode(coalesce(text, ''))) + 16 AS size, {_crc_sql("coalesce(text, '')")} AS crc FROM documents, crcs),
+s AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS r, count(*) OVER () AS c FROM (SELECT DISTINCT source FROM d)),
+l AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS r, count(*) OVER () AS c FROM (SELECT DISTINCT lang FROM d)),
+w AS (SELECT min(doc_id) AS id_low, max(doc_id) AS id_high, min(length(bin(size))) AS low, max(length(bin(size))) AS high FROM d),
+g AS (
+  SELECT d.*, s.r * 16 // s.c AS x0, l.r * 16 // l.c AS x1, (length(bin(size)) - low) * 16 // (high - low + 1) AS x2,
+         coalesce((doc_id - id_low) * 16 // (id_high - id_low + 1), 0) AS x3
+  FROM d, w, s, l WHERE s.source IS NOT DISTINCT FROM d.source AND l.lang IS NOT DISTINCT FROM d.lang),
+{_hilbert_sql()},
+o AS (
+  SELECT *, sum(size) OVER (ORDER BY place, doc_id NULLS FIRST, crc, size ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM p),
+c AS (SELECT *, CAST(least(39, (2 * before + size) * 40 // (2 * total)) AS INTEGER) AS shard FROM o)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY before) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM c
+"""
