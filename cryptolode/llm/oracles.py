@@ -142,3 +142,70 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32,
        row_number() OVER (PARTITION BY shard ORDER BY before) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
 FROM c
 """
+
+
+def _framed(value: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({value} AS VARCHAR))) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return f"sha256({' || '.join(map(_framed, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
+def _levels_sql(name: str, leaves: str) -> str:
+    """A tree per g over leaves (g, i, h): its nodes (g, l, i, h, m), where m is how many the level has."""
+    return f"""{name} AS (
+  SELECT g, 0 AS l, i, h, count(*) OVER (PARTITION BY g) AS m FROM {leaves}
+  UNION ALL SELECT g, l + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(m) + 1) // 2 FROM {name} WHERE m > 1 GROUP BY g, l, i // 2)"""
+
+
+ORACLES["op12_merkle_manifest"] = f"""
+WITH RECURSIVE {_CRCS},
+d AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS g, {_leaf_sql("n_chars")} AS leaf, {_leaf_sql("n_chars + 1")} AS changed,
+         {_crc_sql("CAST(doc_id AS VARCHAR)")} % 7 = 0 AND n_chars IS NOT NULL AS tampered
+  FROM documents, crcs),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS h FROM d),
+{_levels_sql("low", "leaves")},
+sub AS (SELECT g AS tree, '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, h FROM low WHERE m = 1),
+{_levels_sql("high", "sub")},
+nodes AS (SELECT g, l, i, h, m FROM low UNION ALL SELECT '^', l, i, h, m FROM high),
+top AS (SELECT h AS root FROM high WHERE m = 1),
+-- from each leaf up: the node, what was met, and what it folds to
+walk AS (
+  SELECT doc_id, leaf, g, g AS tree, 0 AS l, i, '' AS met, CASE WHEN tampered THEN changed ELSE leaf END AS folded FROM leaves
+  UNION ALL
+  SELECT doc_id, leaf, CASE WHEN n.m = 1 THEN '^' ELSE w.g END, w.tree, CASE WHEN n.m = 1 THEN 0 ELSE w.l + 1 END,
+         CASE WHEN n.m = 1 THEN sub.i ELSE w.i // 2 END, met || coalesce(s.h, ''),
+         CASE WHEN n.m = 1 THEN folded WHEN s.h IS NULL THEN sha256(folded) WHEN w.i % 2 = 1 THEN sha256(s.h || folded) ELSE sha256(folded || s.h) END
+  FROM walk w JOIN nodes n ON n.g = w.g AND n.l = w.l AND n.i = w.i JOIN sub ON sub.tree = w.tree
+       LEFT JOIN nodes s ON n.m > 1 AND s.g = w.g AND s.l = w.l AND s.i = xor(w.i, 1)
+  WHERE n.m > 1 OR w.g <> '^')
+SELECT doc_id, leaf, sub.h AS subroot, root, sha256(met) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM walk w JOIN sub ON sub.tree = w.tree JOIN nodes n ON n.g = w.g AND n.l = w.l AND n.i = w.i, top
+WHERE w.g = '^' AND n.m = 1
+"""
+
+ORACLES["op11_phrase_collocations"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), '@UPPER', '@LOWER'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+  FROM documents),
+g AS (
+  SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+inner_ AS (
+  SELECT lang, phrase, max(f) AS longer
+  FROM (SELECT lang, f, array_to_string(list_slice(w, i, i + s - 1), ' ') AS phrase
+        FROM (SELECT *, unnest(range(1, k - s + 2)) AS i FROM (SELECT lang, f, k, string_split(phrase, ' ') AS w, unnest(range(2, k)) AS s FROM f WHERE k > 2)))
+  GROUP BY ALL),
+c AS (SELECT f.lang, f.k, f.phrase, f.f AS a, string_split(f.phrase, ' ') AS w FROM f LEFT JOIN inner_ USING (lang, phrase) WHERE k >= 2 AND (longer IS NULL OR 100 * longer < 100 * f.f)),
+cuts AS (SELECT *, array_to_string(list_slice(w, 1, cut), ' ') AS head, array_to_string(list_slice(w, cut + 1, k), ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+s AS (
+  SELECT cuts.lang, cuts.phrase, a, h.f AS l, t.f AS r, n, cut, CAST((1000::HUGEINT * a * n) // (h.f::HUGEINT * t.f) AS BIGINT) AS score
+  FROM cuts JOIN f h ON h.lang = cuts.lang AND h.phrase = head JOIN f t ON t.lang = cuts.lang AND t.phrase = tail JOIN n ON n.lang = cuts.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM o WHERE rank <= 2000
+""".replace("@UPPER", string.ascii_uppercase).replace("@LOWER", string.ascii_lowercase)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, minhash_join, mixing, packing, quality, sharding, substring, topk, toxicity
+from . import chat, collocations, exact_dedup, langid, merkle, minhash_join, mixing, packing, quality, sharding, substring, topk, toxicity
 from .common import held_out, table
 from .oracles import ORACLES
 
@@ -71,10 +71,18 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.unionByName(extra), tokenizer_path()))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
 def op13_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_quality, op3_exact_dedup, op4_mixing, op5_topk, op6_langid, op7_substring_dedup, op8_jaccard_join, op9_toxicity, op10_chat, op13_hilbert_sharding)
+    f.__name__: f for f in (op1_best_fit_packing, op2_quality, op3_exact_dedup, op4_mixing, op5_topk, op6_langid, op7_substring_dedup, op8_jaccard_join, op9_toxicity, op10_chat, op11_phrase_collocations, op12_merkle_manifest, op13_hilbert_sharding)
 }
