@@ -40,7 +40,7 @@ LONGEST = 5
 #: Occurrences that a candidate needs, and rows of a lang in the result.
 LEAST, FIRST = 100, 2000
 #: Counters of the first pass, and those of a slice, which travels and is summed as one.
-BITS, SLICE = 24, 18
+BITS, SLICE = 24, 16
 #: Characters of a batch, about, and pieces' ends.
 BATCH = 4_000_000
 ENDS = ".,;:!?\n\x0b\x0c\r"
@@ -118,24 +118,30 @@ def count_runs(least: int, bits: int, most: int):
     """Each task's counters, by slices: at (which counters, where few are above zero) and n (how much, `least` at most)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << bits, np.uint32)
+        table = np.zeros(1 << bits, kind(least))
         for batch in batches:
             for pieces, keys, _ in portions(batch, most):
                 for size, which in enumerate(pieces.counters(keys, bits), 1):
                     ids, counts = np.unique(which[pieces.left >= size], return_counts=True)
-                    table[ids] = np.minimum(table[ids] + counts, least)
+                    table[ids] = np.minimum(table[ids].astype(np.int64) + counts, least)
         yield from slices(table)
 
     return of
 
 
+def kind(least: int) -> np.dtype:
+    """Counters that stop at `least`."""
+    return np.min_scalar_type(least)
+
+
 def slices(table: np.ndarray, first: int = 0) -> Iterator[pa.RecordBatch]:
+    """The parts of a table in which there is anything: the counters above zero and where they are, or else all."""
     for i, part in enumerate(table.reshape(-1, 1 << SLICE)):
         at = np.flatnonzero(part)
         if len(at):
-            sparse = len(at) * 2 < len(part)
-            where, n = (at.astype(np.uint32).tobytes(), part[at]) if sparse else (None, part)
-            yield pa.RecordBatch.from_arrays([pa.array([first + i], pa.int32()), pa.array([where], pa.binary()), pa.array([n.astype(np.uint32).tobytes()], pa.binary())], ["slice", "at", "n"])
+            sparse = len(at) * (2 + part.itemsize) < len(part) * part.itemsize
+            where, n = (at.astype(np.uint16).tobytes(), part[at]) if sparse else (None, part)
+            yield pa.RecordBatch.from_arrays([pa.array([first + i], pa.int32()), pa.array([where], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["slice", "at", "n"])
 
 
 def merged(least: int):
@@ -145,9 +151,9 @@ def merged(least: int):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                table = sums.setdefault(row["slice"], np.zeros(1 << SLICE, np.uint32))
-                at = slice(None) if row["at"] is None else np.frombuffer(row["at"], np.uint32)
-                table[at] = np.minimum(table[at] + np.frombuffer(row["n"], np.uint32), least)
+                table = sums.setdefault(row["slice"], np.zeros(1 << SLICE, kind(least)))
+                at = slice(None) if row["at"] is None else np.frombuffer(row["at"], np.uint16)
+                table[at] = np.minimum(table[at].astype(np.int64) + np.frombuffer(row["n"], kind(least)), least)
         for first, table in sums.items():
             yield from slices(table, first)
 
@@ -162,17 +168,17 @@ def frequent(docs: DataFrame, least: int, bits: int = BITS, most: int = BATCH) -
     counted = docs.mapInArrow(count_runs(least, bits, most), schema).withColumn("some", F.spark_partition_id() % some)
     # stored, so that counting isn't done again where a task is lost later on
     counted = materialize(counted, "phrase-counters")
-    counted = counted.repartition(parts * some, "slice", "some").drop("some").mapInArrow(merged(least), schema)
+    counted = counted.repartition("slice", "some").drop("some").mapInArrow(merged(least), schema)
     if some > 1:
-        counted = counted.repartition(parts, "slice").mapInArrow(merged(least), schema)
+        counted = counted.repartition("slice").mapInArrow(merged(least), schema)
     on = np.zeros(1 << bits, bool)
 
     def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 table = np.zeros(1 << SLICE, bool)
-                at = slice(None) if row["at"] is None else np.frombuffer(row["at"], np.uint32)
-                table[at] = np.frombuffer(row["n"], np.uint32) >= least
+                at = slice(None) if row["at"] is None else np.frombuffer(row["at"], np.uint16)
+                table[at] = np.frombuffer(row["n"], kind(least)) >= least
                 yield pa.RecordBatch.from_arrays([pa.array([row["slice"]], pa.int32()), pa.array([np.packbits(table).tobytes()], pa.binary())], ["slice", "bits"])
 
     for row in counted.mapInArrow(reached, "slice int, bits binary").toLocalIterator():

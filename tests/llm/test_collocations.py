@@ -51,7 +51,7 @@ def rows():
     return [*[(i, t, langs[i % 5], "s", 1) for i, t in enumerate(texts)], *corpus()]
 
 
-@pytest.mark.parametrize(("bits", "batch"), [(24, 4_000_000), (18, 300)])
+@pytest.mark.parametrize(("bits", "batch"), [(24, 4_000_000), (16, 300)])
 def test_against_plain_counting(spark, bits, batch):
     """Also with counters so few that they are shared, and portions of a few pieces."""
     docs = spark.createDataFrame(rows(), DOCS).withColumns({"phrase": F.lit("clash"), "w1": F.lit("clash"), "n": F.lit(1)}).repartition(3)
