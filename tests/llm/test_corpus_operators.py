@@ -385,16 +385,45 @@ def test_jaccard_join(spark, empty, block, monkeypatch):
         assert minhash_join.join(empty).count() == 0 and minhash_join.keep_one(empty).count() == 0
 
 
-def test_long_runs_become_one_group(spark, monkeypatch):
-    monkeypatch.setattr(minhash_join, "LONG_RUN", 8)
-    rows = near_rows()
-    wanted, _ = expected_classes(rows)
-    assert sorted(map(tuple, minhash_join.join(spark.createDataFrame(rows, DOCS)).collect()), key=str) == sorted(wanted, key=str)
+def test_long_runs_are_compared_in_blocks():
+    """Blocks two by two, passing over what is in one component, give the components of all pairs."""
+    rng = np.random.default_rng(5)
+    for drift in (3, 9, 60):
+        values = [rng.integers(0, 16, minhash_join.TREES * minhash_join.DEPTH)]
+        for i in range(120):  # each a change of an earlier one, so that components are chains and hubs
+            new = values[rng.integers(0, len(values))].copy() if i % 7 else rng.integers(0, 16, len(values[0]))
+            new[rng.choice(len(new), drift % 40, replace=False)] = rng.integers(0, 16, drift % 40)
+            values.append(new)
+        low = np.array(values, np.uint8)
+        nibbles = low[:, ::2] << 4 | low[:, 1::2]
+        wanted = minhash_join.components(minhash_join.likeness(nibbles) >= minhash_join.LIKELY)
+        for block in (5, 16, 500):
+            assert (minhash_join.run_components(nibbles, block) == wanted).all()
 
 
 def test_recall_decides_the_depth():
     depth = minhash_join.stop_depth()
     assert minhash_join.recall(depth) >= minhash_join.RECALL > minhash_join.recall(depth + 1)
+    assert minhash_join.stop_depth([]) == minhash_join.stop_depth([0.97, 1.0]) == minhash_join.DEPTH > minhash_join.stop_depth([0.82, 0.97]) > minhash_join.stop_depth([0.8, 0.97])
+
+
+@pytest.mark.parametrize(("changes", "deepest"), [((1,), True), ((1, 8), False)])
+def test_the_forest_adapts_to_the_corpus(spark, changes, deepest):
+    """Copies with one changed word of 400 stop the forest at full depth; some with changes all over, near the threshold,
+    let it go on; a hot group of close copies does not hide those. All links are found in both."""
+    rng = np.random.default_rng(31)
+    base = [prose(rng, 400).split() for _ in range(30)]
+    rows = [(i, " ".join(w), "en", "a", 0) for i, w in enumerate(base)]
+    for i, w in enumerate([*base, *[base[0]] * 60]):
+        own = list(w)
+        for j in np.linspace(3, 390, changes[i % len(changes)]).astype(int):
+            own[j] = f"n{i}_{j}"
+        rows.append((100 + i, " ".join(own), "en", "b", 0))
+    wanted, _ = expected_classes(rows)
+    joined = minhash_join.JaccardJoin(spark.createDataFrame(rows, DOCS).repartition(3))
+    assert sorted(map(tuple, joined.report().collect()), key=str) == sorted(wanted, key=str)
+    assert (joined.depth == minhash_join.DEPTH) == deepest
+    assert all(r >= minhash_join.RECALL for r in joined.report_recall().values()) and joined.bands
 
 
 def test_contracted_links_keep_components():
