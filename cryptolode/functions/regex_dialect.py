@@ -121,7 +121,8 @@ def class_of(atom: str, java: bool) -> str:
 
 
 def refuse(pattern: str) -> None:
-    bare = re.sub(r"\\\\|\[(?:\\.|[^\]\\])*\]", "", pattern)
+    # classes and backslashes become a letter, since what stands around them isn't adjacent
+    bare = re.sub(r"\\\\|\[(?:\\.|[^\]\\])*\]", "x", pattern)
     flags = [f for f in re.findall(r"\(\?([a-zA-Z-]+)[:)]", bare) if "U" in f]
     if _REFUSED.search(bare) or flags:
         raise ValueError(f"not in the common subset of RE2, Java and Python: {pattern}")

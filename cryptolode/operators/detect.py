@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.literals import Pack, least_width, required
 from ..functions.regex_dialect import glob_to_regex, required_literal, to_java, to_python
 from ..sources.files import context, lines
 
@@ -31,10 +32,10 @@ def match_count(line: Column, pattern: str) -> Column:
 
 
 def match_columns(line: Column, pattern: str) -> Column:
-    """The byte columns (from 1) of all non-overlapping matches of a literal RE2 pattern, which must not match the empty text
+    """The byte columns (from 1) of all non-overlapping matches of a literal RE2 pattern, none of which may be empty
     (`detect_pack` takes those patterns too, and counts empty matches)."""
-    if to_python(pattern).match(""):
-        raise ValueError(f"matches the empty text: {pattern}")
+    if least_width(pattern) == 0:
+        raise ValueError(f"can match an empty text: {pattern}")
     java = to_java(pattern)
     # the line is what lies between the matches and the matches in turn, so no character is set apart as a mark
     hits, between = F.regexp_extract_all(line, F.lit(java), F.lit(0)), F.split(line, java)
@@ -86,26 +87,31 @@ def count_literal(files: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
 
 def detect_pack(files: DataFrame, rules: DataFrame) -> DataFrame:
     """files (path, language, text) against a rule pack: each file once, against the regex rules of its language and of
-    `any` whose globs accept it. The pack, a program's configuration, travels with the function; patterns are compiled once a
-    worker. A rule looks only at lines that hold the text that all its matches hold, if there is one."""
+    `any` whose globs accept it. The pack, a program's configuration, travels with the function; its patterns are compiled
+    and its automaton is built once a worker and language. One pass of a file finds the rules worth trying and their lines."""
     pack = [(r.rule_ordinal, r.rule_id, r.language, r.pattern, r.flags, list(r.file_globs or [])) for r in rules.where("detector_type = 'regex'").orderBy("rule_ordinal").collect()]
 
     def matches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ready: dict[str, list] = {}
+        ready: dict[str, tuple[list, Pack]] = {}
         for batch in batches:
             out = []
             for path, language, text in zip(batch["path"], batch["language"], batch["text"], strict=True):
                 if language not in ready:
-                    ready[language] = [(n, i, to_python(p, f), "" if "i" in f else required_literal(p), g) for n, i, lang, p, f, g in pack if lang in (language, "any")]
+                    own = [r for r in pack if r[2] in (language, "any")]
+                    ready[language] = own, Pack([(p, f) for _, _, _, p, f, _ in own])
                 text_lines = [x.removesuffix("\r") for x in (text or "").split("\n")]
                 if text_lines[-1] == "":
                     text_lines.pop()
-                for ordinal, rule, pattern, literal, globs in ready[language]:
-                    if literal not in (text or "") or globs and not any(accepts(g, path) for g in globs):
+                own, packed = ready[language]
+                for which, numbers in sorted(packed.worth_trying(text or "", text_lines).items()):
+                    ordinal, rule, _, _, _, globs = own[which]
+                    if globs and not any(accepts(g, path) for g in globs):
                         continue
-                    for n, line in enumerate(text_lines, 1):
-                        for k, m in enumerate(pattern.finditer(line) if literal in line else ()):
-                            out.append((path, language, ordinal, rule, n, len(line[: m.start()].encode()) + 1, k, line, text_lines[max(0, n - 4) : n + 3]))
+                    pattern = packed.compiled[which]
+                    for n in numbers:
+                        line = text_lines[n] if n < len(text_lines) else ""
+                        for k, m in enumerate(pattern.finditer(line)):
+                            out.append((path, language, ordinal, rule, n + 1, len(line[: m.start()].encode()) + 1, k, line, text_lines[max(0, n - 3) : n + 4]))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in MATCH_SCHEMA.split(", ")])
 
     return files.select("path", "language", "text").mapInPandas(matches, MATCH_SCHEMA)
@@ -145,10 +151,10 @@ PQC_MENTION = r"(?i)\b(?:lib)?oqs\b|\bcircl\b|kyber|dilithium|pqcrypto|ml[_-]?ke
 # fixed values: how sources import well-known classical libraries, by language; the first group is the library's name
 IMPORTS = [
     ("python", "python-crypto", r"^\s*(?:from|import)\s+(cryptography|Cryptodome|Crypto|M2Crypto|OpenSSL|nacl|paramiko|pycryptodome|rsa|ecdsa|jwt|jose)\b"),
-    ("javascript", "crypto", r"(?:require\(\s*|from\s+)['\"](?:node:)?(crypto)['\"]"),
-    ("javascript", "js-crypto-package", r"(?:require\(\s*|from\s+)['\"](jsonwebtoken|node-forge|elliptic|jsrsasign|crypto-js|node-rsa)['\"]"),
-    ("typescript", "crypto", r"(?:require\(\s*|from\s+)['\"](?:node:)?(crypto)['\"]"),
-    ("typescript", "js-crypto-package", r"(?:require\(\s*|from\s+)['\"](jsonwebtoken|node-forge|elliptic|jsrsasign|crypto-js|node-rsa)['\"]"),
+    ("javascript", "crypto", r"require\(\s*['\"](?:node:)?(crypto)['\"]\s*\)|from\s+['\"](?:node:)?(crypto)['\"]"),
+    ("javascript", "js-crypto-package", r"require\(\s*['\"](jsonwebtoken|node-forge|elliptic|jsrsasign|crypto-js|node-rsa)['\"]\s*\)|from\s+['\"](jsonwebtoken|node-forge|elliptic|jsrsasign|crypto-js|node-rsa)['\"]"),
+    ("typescript", "crypto", r"require\(\s*['\"](?:node:)?(crypto)['\"]\s*\)|from\s+['\"](?:node:)?(crypto)['\"]"),
+    ("typescript", "js-crypto-package", r"require\(\s*['\"](jsonwebtoken|node-forge|elliptic|jsrsasign|crypto-js|node-rsa)['\"]\s*\)|from\s+['\"](jsonwebtoken|node-forge|elliptic|jsrsasign|crypto-js|node-rsa)['\"]"),
     ("java", "java-crypto", r"^\s*import\s+(?:static\s+)?(java\.security|javax\.crypto|org\.bouncycastle)\b"),
     ("go", "crypto", r"\"((?:golang\.org/x/)?crypto)/"),
     ("csharp", "System.Security.Cryptography", r"^\s*using\s+(System\.Security\.Cryptography)\b"),
@@ -162,16 +168,30 @@ IMPORTS = [
 
 def sentinel(files: DataFrame, findings: DataFrame, table: list[tuple[str, str, str]] | None = None, excluded: str = PQC_MENTION) -> DataFrame:
     """For files (path, language, text) without findings (file_path): the first line, then the first entry of the table
-    (language, library, pattern), that imports a library. One row a file: path, line_number, column, library, snippet."""
+    (language, library, pattern), that imports a library. One row a file: path, line_number, column, library, snippet.
+
+    A file is opened if it holds a text that some pattern of its language needs, and a line is looked at entry by entry if
+    one joined pattern of its language matches it."""
     table = IMPORTS if table is None else table
     quiet = files.join(findings.select(F.col("file_path").alias("path")).distinct(), "path", "left_anti")
-    by_line = lines(quiet.select("path", "language", "text")).where(F.col("language").isin(*{lang for lang, _, _ in table}) & ~F.col("line").rlike(to_java(excluded)))
+    language, text = F.col("language"), F.lower("text")
+    opened, tried = F.lit(False), F.lit(False)
+    for lang in dict.fromkeys(lang for lang, _, _ in table):
+        own = [p for name, _, p in table if name == lang]
+        needs = [required(p) for p in own]
+        # a text that lower() keeps whole; others are left to the patterns
+        texts = sorted(set().union(*needs)) if all(needs) and all(t.isascii() for n in needs for t in n) else None
+        held = functools.reduce(Column.__or__, [F.contains(text, F.lit(t)) for t in texts]) if texts else F.lit(True)
+        opened |= (language == lang) & held
+        tried |= (language == lang) & F.col("line").rlike("|".join(f"(?:{to_java(p)})" for p in own))
+    by_line = lines(quiet.where(opened).select("path", "language", "text")).where(tried).where(~F.col("line").rlike(to_java(excluded)))
     entries = []
     for lang, library, pattern in table:
         java = to_java(pattern)
-        name = F.regexp_extract("line", java, 1) if "(" in re.sub(r"\(\?|\\\(", "", pattern) else F.lit("")
+        groups = [F.regexp_extract("line", java, g) for g in range(1, re.compile(to_python(pattern).pattern).groups + 1)]
+        name = F.coalesce(*[F.when(g != "", g) for g in groups], F.lit(library))
         at = F.octet_length(F.element_at(F.split("line", java, 2), 1)) + 1
-        entries.append(F.when((F.col("language") == lang) & F.col("line").rlike(java), F.struct(F.when(name == "", F.lit(library)).otherwise(name).alias("library"), at.alias("column"))))
+        entries.append(F.when((language == lang) & F.col("line").rlike(java), F.struct(name.alias("library"), at.alias("column"))))
     hit = by_line.withColumn("hit", F.coalesce(*entries)).where("hit is not null")
     first = hit.groupBy("path", "language").agg(F.min_by(F.struct("line_number", "hit.column", "hit.library", F.col("line").alias("snippet")), "line_number").alias("h"))
     return first.select("path", "language", "h.*")

@@ -52,7 +52,7 @@ def unmapped(texts: DataFrame, findings: DataFrame) -> DataFrame:
 def notebook_findings(texts: DataFrame, rules: DataFrame) -> DataFrame:
     """Structural findings of notebooks' code, at the line of their cell."""
     books = texts.where(F.col("language") == "jupyter")
-    found = detect.to_findings(structure.detect_structure(notebook.as_source(books), rules), rules)
+    found = detect.to_findings(structure.detect_structure(notebook.as_source(books), rules.where("language = 'python'")), rules)
     placed = notebook.in_cells(found, notebook.cell_lines(books))
     return placed.withColumn("line_number", F.col("cell_line")).drop("cell", "cell_line").withColumn("layer_ordinal", F.lit(0))
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schema import RULE_SCHEMA
+
 LABELS = ["RSA-2048", "RSA", "ECDSA-P256", "AES-128", "AES-GCM", "3DES", "SHA-1", "SHA-256", "MD5", "HMAC", "HMAC-SHA1", "ECDSA-P-256", "TLS", "X25519-256", "", "quux", "DH"]
 RULES = [
     ("PY_IMPORT_HASHLIB", "crypto-api", "library"),
@@ -38,6 +40,19 @@ DOCUMENT_RULES = [
     ("DOC_EN", r"\bthe\b", "info"),
 ]
 
+#: Syllables, of which each makes a rule of a large pack: words that begin or end with it.
+SYLLABLES = [a + b + c for a in "bcdfghjklmnpqrstvwxz" for b in "aeiou" for c in "lmnrstx"]
+
+
+def many_rules(spark: SparkSession) -> DataFrame:
+    """A pack of 700 rules, as most real ones are: case aside, and with alternatives at the top."""
+    rows = []
+    for n, s in enumerate(SYLLABLES):
+        row = {"rule_ordinal": n, "rule_id": f"DOC_{s.upper()}", "language": "any", "severity": "info", "detector_type": "regex", "flags": "i" if n % 2 else "", "file_globs": []}
+        row["pattern"] = ("" if n % 2 else "(?i)") + rf"\b{s}[a-z]{{2,}}\b|\b[a-z]{{3,}}{s}\b"
+        rows.append(tuple(row.get(f.name) for f in RULE_SCHEMA))
+    return spark.createDataFrame(rows, RULE_SCHEMA)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -228,6 +243,46 @@ SINGLE = {
     "des.rb": ("RB_DES_STRUCTURE", 2, "OpenSSL", 1, 0), "md.php": ("PHP_MD5_STRUCTURE", 4, "md5", 1, 0), "md.jl": ("JL_MD5_STRUCTURE", 2, "md5", 1, 0),
 }
 
+#: Texts in which names stand in code, in strings, and in code in strings: language, query, text, and the places (line, byte
+#: column) where the query is met.
+STRUCTURES: list[tuple[str, str, str, list[tuple[int, int]]]] = [
+    # lifetimes and characters, transposes, type arguments in type arguments, code in strings and none
+    ("rust", "call:RsaPrivateKey::new", "let x: &'a T = RsaPrivateKey::new(&mut r); let y: &'a str;\n", [(1, 16)]),
+    ("rust", "call:RsaPrivateKey::new", "fn f<'a>(x: T) { RsaPrivateKey::new(&mut r, 2048); let q = '\"'; RsaPrivateKey::new(1); let s = r#\"RsaPrivateKey::new(\"#; }\n", [(1, 18), (1, 65)]),
+    ("rust", "call:new_key", "let a = new_key::<Vec<Option<u8>>>(1);\nlet b = new_key!(2);\nfn new_key(x: u8) {}\n", [(1, 9), (2, 9)]),
+    ("julia", "call:md5", "x = A' * md5(b) * B'\nc = 'm'; d = \"md5(1) $(md5(2)) \"\n#= md5(3)\nmd5(4) =# md5(5)\n", [(1, 10), (2, 24), (4, 11)]),
+    ("java", "call:KeyGen", "var k = KeyGen<List<Map<String, Integer>>>(1);\nif (KeyGen < 3 && x > (2)) {}\nchar c = '\"'; KeyGen(2); // KeyGen(3)\nString t = \"\"\"\nKeyGen(4)\n\"\"\"; KeyGen(5);\n", [(1, 9), (3, 15), (6, 6)]),
+    ("kotlin", "call:KeyGen", "val k = KeyGen<List<List<String>>>(1)\nval s = \"KeyGen(2) ${wrap(KeyGen(3))}\"\n", [(1, 9), (2, 27)]),
+    ("typescript", "call:f", "const a = f<Map<string, Array<number>>>(1);\nconst b = `f(2) ${f(3)} ${g(`f(4) ${f(5)}`)}`;\nconst c = /f(6)/.test(x), d = a / f(7) / 2;\n", [(1, 11), (2, 19), (2, 37), (3, 35)]),
+    ("javascript", "call:c.createHash", "const h = `${c.createHash('md5')} c.createHash(1)`;\nx = '\\'' + c.createHash(2) // `\n", [(1, 14), (2, 12)]),
+    ("javascript", "import:crypto", "import {\n  createHash,\n} from 'crypto';\n", [(3, 1)]),
+    ("swift", "call:Insecure.MD5.hash", "let s = \"a \\(Insecure.MD5.hash(data: x)) Insecure.MD5.hash(1)\"\nlet d = \"\"\"\nInsecure.MD5.hash(2)\n\"\"\"\n", [(1, 14)]),
+    ("scala", "call:KeyGen", "val a = KeyGen[List[Map[Int, String]]](1)\nval s = s\"KeyGen(2) ${KeyGen(3)}\"\nval t = \"\"\"KeyGen(4)\"\"\"\n", [(1, 9), (2, 23)]),
+    ("go", "call:gen.Key", "k := gen.Key[map[string]int](1)\nr := '\"'; gen.Key(2)\nt := `gen.Key(3)\n`\nother.gen.Key(4)\n", [(1, 6), (2, 11)]),
+    ("csharp", "new:MD5CryptoServiceProvider", "var s = $\"{new MD5CryptoServiceProvider()} {{new MD5CryptoServiceProvider()}}\";\nvar t = @\"new MD5CryptoServiceProvider(\"\"x\"\")\"; var u = new System.Security.MD5CryptoServiceProvider();\n", [(1, 12), (2, 57)]),
+    ("cpp", "call:RSA_new", "int n = 1'000'000; RSA_new(n);\nauto s = R\"x(RSA_new(2) \" )x\"; auto c = '\"'; RSA_new(3);\nauto f = RSA_new<std::vector<std::pair<int, int>>>(4); std::cout << RSA_new(5) << 1;\n", [(1, 20), (2, 46), (3, 10), (3, 69)]),
+    ("c", "call:MD5_Init", "char *s = \"a \\\\\"; MD5_Init(&c); /* MD5_Init(\n*/ char q = '\\''; MD5_Init(&d);\n", [(1, 19), (2, 19)]),
+    ("ruby", "call:Digest::MD5.hexdigest", "a = <<~TEXT + Digest::MD5.hexdigest(x)\n  Digest::MD5.hexdigest(1) #{Digest::MD5.hexdigest(y)}\nTEXT\nb = <<-'RAW'\n#{Digest::MD5.hexdigest(2)}\nRAW\nc = \"it's #{Digest::MD5.hexdigest(z)} x\" # Digest::MD5.hexdigest(3)\nd = %w[Digest::MD5.hexdigest(4)]\n=begin\nDigest::MD5.hexdigest(5)\n=end\n", [(1, 15), (2, 30), (7, 13)]),
+    ("ruby", "new:Cipher", "x = OpenSSL::Cipher.new(1)\ny = Cipher.new\n", [(1, 14), (2, 5)]),
+    ("php", "call:md5", "$a = <<<EOT\nmd5(1)\nEOT;\n$b = <<<'NOW'\nmd5(2)\n  NOW . md5($x);\n$c = \"md5(3) {$h->md5(4)} \" . \\md5($y); ?>\nmd5(5)\n<?php md5($z);\nfunction md5($q) {}\n", [(6, 9), (7, 32), (9, 7)]),
+    ("php", "new:RSA", "$r = new \\phpseclib\\Crypt\\RSA(1);\n$s = new RSA;\n", [(1, 6), (2, 6)]),
+    ("python", "call:hashlib.md5", "x = f\"{hashlib.md5(a)} hashlib.md5(b) {{hashlib.md5(c)}}\"\ny = \"\"\"hashlib.md5(d)\"\"\" + rb'hashlib.md5(e)'\nz = x.hashlib.md5(f)\n@hashlib.md5(g)\ndef md5(h): pass\n", [(1, 8), (4, 2)]),
+    ("python", "import:Crypto.Cipher", "import os, Crypto.Cipher.AES as a\n    from Crypto.Cipher import DES\nfrom x import Crypto\nimport Crypto\n", [(1, 1), (2, 5)]),
+]
+
+
+def structured_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as files (case, path, language, text), one of STRUCTURES each, in turn."""
+    k = F.col("p_partkey")
+    text = F.concat(pick([t for _, _, t, _ in STRUCTURES], k), k.cast("string"), F.lit("\n"))
+    return table(spark, sf_dir, "part").select((k % len(STRUCTURES)).cast("int").alias("case"), F.concat(F.lit("s"), k).alias("path"), pick([x for x, _, _, _ in STRUCTURES], k).alias("language"), text.alias("text"))
+
+
+def structure_rules(spark: SparkSession) -> DataFrame:
+    """A rule for the query of each of STRUCTURES."""
+    rows = [{"rule_ordinal": n, "rule_id": f"{lang}-{n}", "language": lang, "detector_type": "ast", "query": query} for n, (lang, query, _, _) in enumerate(STRUCTURES)]
+    return spark.createDataFrame([tuple(r.get(f.name) for f in RULE_SCHEMA) for r in rows], RULE_SCHEMA)
+
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as source files (path, size, content), one of SOURCES each, in turn."""

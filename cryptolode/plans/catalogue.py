@@ -95,6 +95,14 @@ def pack_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("file_path", "rule_id", "severity").agg(F.count("*").alias("n"), F.sum(place).alias("places"))
 
 
+@query
+def pack_of_many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against 700 rules at once."""
+    found = detect.detect_pack(b.documents(spark, sf_dir), b.many_rules(spark))
+    by_file = found.groupBy("rule_id", "path").agg(F.count("*").alias("n"))
+    return by_file.groupBy("rule_id").agg(F.count("*").alias("n_files"), F.sum("n").alias("n_matches"))
+
+
 IGNORED = "src1/\n# a comment\n!src1/3/\n/src2/4/\n**/doc_7*\n!**/doc_77.txt\nsrc5/*/doc_?[0].txt\n"
 
 
@@ -527,6 +535,14 @@ def structural_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("rule_id", "line_number", "match_ordinal", "column").agg(F.count("*").alias("n"))
 
 
+@query
+def structure_of_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lifetimes, transposes, nested type arguments, templates and here-documents: where each case's own query is met."""
+    files = b.structured_files(spark, sf_dir)
+    found = structure.detect_structure(files, b.structure_rules(spark)).join(files.select("path", "case"), "path").where("rule_ordinal = case")
+    return found.groupBy("rule_id", "line_number", "column").agg(F.count("*").alias("n_files"))
+
+
 @query
 def x509_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as files of keys whose kind of block says what they are."""

@@ -93,6 +93,16 @@ def excluded(target: str, parent: str) -> str:
     return out
 
 
+#: What a rule matches is a whole run of word characters, all of them letters, that begins or ends with its syllable.
+ORACLES["pack_of_many_rules"] = rf"""
+WITH {D},
+w AS (SELECT path, lower(w) AS w, count(*) AS n FROM (SELECT path, unnest(regexp_extract_all(text, '[0-9A-Za-z_]+')) AS w FROM d) WHERE regexp_full_match(w, '[A-Za-z]{{5,}}') GROUP BY ALL),
+s AS (SELECT unnest({b.SYLLABLES}) AS s),
+m AS (
+  SELECT s, path, n FROM w JOIN s ON s = substr(w, 1, 3)
+  UNION ALL SELECT s, path, n FROM w JOIN s ON s = right(w, 3) WHERE length(w) >= 6 AND s <> substr(w, 1, 3))
+SELECT 'DOC_' || upper(s) AS rule_id, count(DISTINCT path) AS n_files, CAST(sum(n) AS BIGINT) AS n_matches FROM m GROUP BY s"""
+
 ORACLES["path_exclusion"] = f"""
 WITH {D},
 x AS (SELECT path, regexp_extract(path, '^[^/]*') AS d1, regexp_extract(path, '^[^/]*/[^/]*') AS d2 FROM d)
@@ -487,3 +497,9 @@ e AS (
 SELECT concat(a, e.k, z) AS importer, concat(a, other, z) AS importee FROM e JOIN s ON s.k = other"""
 
 ORACLES["recent_scans"] = "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50"
+
+_PLACES = ", ".join(f"({n}, '{lang}-{n}', {line}, {column})" for n, (lang, _, _, places) in enumerate(b.STRUCTURES) for line, column in places)
+ORACLES["structure_of_languages"] = f"""
+WITH e(n, rule_id, line_number, col) AS (VALUES {_PLACES}),
+c AS (SELECT p_partkey % {len(b.STRUCTURES)} AS n, count(*) AS n_files FROM part GROUP BY ALL)
+SELECT rule_id, CAST(line_number AS INTEGER) AS line_number, CAST(col AS INTEGER) AS "column", n_files FROM e JOIN c USING (n)"""

@@ -6,13 +6,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from cryptolode.operators import detect, structure
+from cryptolode.plans import bindings
+from cryptolode.schema import RULE_SCHEMA
 from cryptolode.sources import rules, truth, x509
 
 CASES = [
     ("python", "call:hashlib.md5", "import hashlib\nx = hashlib.md5(a)\n# hashlib.md5(b)\ns = 'hashlib.md5(c)'\ny = hashlib . md5 (d)\n", [(2, 5), (5, 5)]),
     ("python", "import:cryptography", "from cryptography.x import y\nimport cryptographyx\nimport cryptography\n", [(1, 1), (3, 1)]),
     ("python", "attr:ssl.PROTOCOL_TLSv1", "a = ssl.PROTOCOL_TLSv1\nssl.PROTOCOL_TLSv1()\n", [(1, 5)]),
-    ("python", "call:f", "f((\n", []),
+    ("python", "call:f", "f((\nprint 'python 2'\n", [(1, 1)]),
     ("go", "call:md5.New", 'é := md5.New() // md5.New()\n/* md5.New()\n*/ x.md5.New()\ns := `md5.New()`\n', [(1, 7)]),
     ("go", "import:crypto/des", 'import (\n\t"crypto/des"\n\t// "crypto/des"\n\t"crypto/desx"\n)\n', [(2, 2)]),
     ("javascript", "new:RSA", "const a = new RSA(1); // new RSA(2)\nnew lib.RSA();\nnewRSA(3)\n", [(1, 11), (2, 1)]),
@@ -25,13 +27,22 @@ CASES = [
     ("java", "import:java.util.Random", "import java.util.Random;\nimport java.util.Randomx;\n", [(1, 1)]),
     ("rust", "call:md5::compute", "let d = md5::compute(x);\n", [(1, 9)]),
     ("scala", "import:tsec.cipher.*", "import tsec.cipher.aes.AES\nimport tsec.other\n", [(1, 1)]),
+    *bindings.STRUCTURES,
 ]
 
 
-@pytest.mark.parametrize("language, query, text, places", CASES)
-def test_structural_queries(language, query, text, places):
-    found = [(line, column) for _, line, column in structure.find(text, language, [tuple(query.split(":", 1))])]
-    assert found == places
+def test_structural_queries(spark):
+    """Each text is a file, looked at with its own rule of a language that no other file has rules of."""
+    found = {}
+    for lang in {c[0] for c in CASES}:
+        own = [(n, *c) for n, c in enumerate(CASES) if c[0] == lang]
+        names = ("rule_ordinal", "rule_id", "language", "detector_type", "query")
+        pack = [tuple(dict(zip(names, (n, str(n), lang, "ast", query), strict=True)).get(f.name) for f in RULE_SCHEMA) for n, _, query, _, _ in own]
+        files = spark.createDataFrame([(str(n), lang, text) for n, _, _, text, _ in own], "path string, language string, text string")
+        for r in structure.detect_structure(files, spark.createDataFrame(pack, RULE_SCHEMA)).where("path = rule_id").collect():
+            found.setdefault(int(r.path), []).append((r.line_number, r.column))
+            assert r.snippet == CASES[int(r.path)][2].split("\n")[r.line_number - 1]
+    assert [(c[:2], c[3], sorted(found.get(n, []))) for n, c in enumerate(CASES) if sorted(found.get(n, [])) != c[3]] == []
 
 
 def test_structural_findings_supersede(spark):
