@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -110,6 +110,10 @@ def direct_importers(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("importee").alias("node")).agg(F.count("*").alias("direct"))
 
 
+#: Folders that this program has written beside its results.
+_stored: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the folder that the cluster shares (spark.checkpoint.dir, of the session or its context), and read
     back. On one machine a temporary folder will do; on a cluster without a shared folder this is an error."""
@@ -120,44 +124,82 @@ def stored(df: DataFrame, name: str) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
         folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _stored.append(f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    df.write.parquet(_stored[-1])
+    return spark.read.schema(df.schema).parquet(_stored[-1])
 
 
-def transitive_importers(edges: DataFrame, seeds: DataFrame | None = None, hops: int | None = None) -> DataFrame:
-    """(node, importer, hop): all that depend on a node, through at least one import, and by how many at least.
+def drop_stored(spark: SparkSession) -> int:
+    """Delete what operators have stored on the way; the number of folders. Call it when no result is needed any more that
+    hasn't been stored elsewhere: results are lazy and read those folders."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in map(spark.sparkContext._jvm.org.apache.hadoop.fs.Path, _stored):
+        path.getFileSystem(conf).delete(path, True)
+    n = len(_stored)
+    _stored.clear()
+    return n
 
-    Only nodes of seeds (node) are followed, if given: the result is what grows, and a graph's full closure is quadratic.
-    Each round extends the last round's pairs by one import and keeps the new ones; rounds are stored, so lineage stays
-    short and lost executors cost one round.
+
+def transitive_importers(edges: DataFrame, seeds: DataFrame | None = None, hops: int | None = None) -> DataFrame:
+    """(node, importer, hop): all that depend on a node, through at least one import, and by how many at least; up to `hops`
+    imports, if given.
+
+    Of all nodes: by doubling. Once all pairs up to n imports apart are known, a pair up to 2n apart has a node on its way
+    that is exactly n from its end, so pairs of exactly n are extended by all pairs; a path of 60 files takes 6 rounds. Of the
+    nodes of seeds (node): by following their own importers one import a round, since doubling would make the pairs of all
+    nodes that are passed, which may be far more than the result. Rounds are stored, so lineage stays short and lost
+    executors cost one round.
     """
     edges = stored(clean(edges), "edges")
-    start = edges.select(F.col("importee").alias("node"), "importer")
-    if seeds is not None:
-        start = start.join(seeds.select("node").distinct(), "node", "left_semi")
-    seen = stored(start.withColumn("hop", F.lit(1)), "reached")
-    frontier, hop = seen, 1
-    while (hops is None or hop < hops) and not frontier.isEmpty():
+    pairs = edges.select(F.col("importee").alias("node"), "importer")
+    return _doubled(pairs, hops) if seeds is None else _followed(pairs, seeds.select("node").distinct(), hops)
+
+
+def _grown(found: DataFrame, reached: DataFrame, hop: int) -> tuple[DataFrame, int, int]:
+    """The pairs of found (node, importer, hop) that reached doesn't have, each by its least hop, stored; how many there are,
+    and how many of them at exactly this hop."""
+    least = found.where("node <> importer").groupBy("node", "importer").agg(F.min("hop").alias("hop"))
+    seen = Observation()
+    fresh = least.join(reached, ["node", "importer"], "left_anti").observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.col("hop") == hop).alias("far"))
+    fresh = stored(fresh, "reached")
+    return fresh, seen.get["n"], seen.get["far"]
+
+
+def _doubled(pairs: DataFrame, hops: int | None) -> DataFrame:
+    reached = far = pairs.withColumn("hop", F.lit(1))
+    length = n_far = 1
+    while n_far and (hops is None or length < hops):
+        ways = far.select("node", F.col("importer").alias("through")).join(reached.select(F.col("node").alias("through"), "importer", "hop"), "through")
+        fresh, n, n_far = _grown(ways.select("node", "importer", (F.col("hop") + length).alias("hop")), reached, 2 * length)
+        length *= 2
+        reached, far = reached.unionByName(fresh) if n else reached, fresh.where(F.col("hop") == length)
+    return reached if hops is None else reached.where(F.col("hop") <= hops)
+
+
+def _followed(pairs: DataFrame, seeds: DataFrame, hops: int | None) -> DataFrame:
+    reached = frontier = stored(pairs.join(seeds, "node", "left_semi").withColumn("hop", F.lit(1)), "reached")
+    hop = n = 1
+    while n and (hops is None or hop < hops):
         hop += 1
-        step = edges.select(F.col("importee").alias("importer"), F.col("importer").alias("next"))
-        reached = frontier.select("node", "importer").join(step, "importer").select("node", F.col("next").alias("importer")).where("node <> importer").distinct()
-        frontier = stored(reached.join(seen, ["node", "importer"], "left_anti").withColumn("hop", F.lit(hop)), "reached")
-        seen = seen.unionByName(frontier)
-    return seen
+        step = pairs.select(F.col("node").alias("importer"), F.col("importer").alias("next"))
+        ways = frontier.select("node", "importer").join(step, "importer").select("node", F.col("next").alias("importer"), F.lit(hop).alias("hop"))
+        frontier, n, _ = _grown(ways, reached, hop)
+        reached = reached.unionByName(frontier) if n else reached
+    return reached
 
 
 def same_directory(nodes: DataFrame) -> DataFrame:
-    """node and siblings: the other files of its folder."""
-    folder = W.partitionBy(directory(F.col("node")))
-    return nodes.select("node").distinct().withColumn("siblings", F.count("*").over(folder) - 1)
+    """node and siblings: the other files of its folder, counted once a folder."""
+    own = nodes.select("node").distinct().withColumn("folder", directory(F.col("node")))
+    sizes = own.groupBy("folder").agg((F.count("*") - 1).alias("siblings"))
+    return own.join(sizes, "folder").select("node", "siblings")
 
 
 def impact(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """node, direct, transitive (all that are reached, the direct ones too), siblings, blast_radius, band and the first
     affected files, of the seeds or all nodes."""
     wanted = (seeds if seeds is not None else nodes).select("node").distinct()
-    reached = transitive_importers(edges, wanted)
+    reached = transitive_importers(edges, None if seeds is None else wanted)
     counts = reached.groupBy("node").agg(F.count_if(F.col("hop") == 1).alias("direct"), F.count("*").alias("transitive"))
     # a node's importers are distinct; all but the first are cut before they meet, by a window that keeps a few of each task
     nth = F.row_number().over(W.partitionBy("node").orderBy("importer"))
