@@ -114,10 +114,9 @@ def direct_importers(edges: DataFrame) -> DataFrame:
 _stored: list[str] = []
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder that the cluster shares (spark.checkpoint.dir, of the session or its context), and read
-    back. On one machine a temporary folder will do; on a cluster without a shared folder this is an error."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that the cluster shares (spark.checkpoint.dir, of the session or its context). On one
+    machine a temporary folder will do; on a cluster without a shared folder this is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
@@ -125,8 +124,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
     _stored.append(f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    df.write.parquet(_stored[-1])
-    return spark.read.schema(df.schema).parquet(_stored[-1])
+    return _stored[-1]
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to a scratch folder and read back."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_stored(spark: SparkSession) -> int:

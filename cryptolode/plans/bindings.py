@@ -126,6 +126,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.concat(F.lit(""), "source", F.lit("/"), F.col("doc_id") % 10, F.lit("/doc_"), "doc_id", F.lit(".txt")).alias("path"), F.col("lang").alias("language"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def changing_documents(spark: SparkSession, sf_dir: str, step: int) -> DataFrame:
+    """Documents as files (path, language, text, content, version): before (1) and after (2) some have changed."""
+    own, k = documents(spark, sf_dir), F.regexp_extract("path", r"doc_(\d+)", 1).cast("long") % 100
+    text = F.when(k == 7, F.concat("text", F.lit("\nlicensed under A"))).otherwise(F.col("text")) if step == 2 else F.col("text")
+    version = F.when(k.isin(7, 9), step).otherwise(1)
+    return own.where(k != (8 if step == 2 else 11)).select("path", "language", text.alias("text"), text.cast("binary").alias("content"), version.alias("version"))
+
+
 DOCUMENTS_SQL = """
 d AS (
   SELECT concat(source, '/', doc_id % 10, '/doc_', doc_id, '.txt') AS path, lang AS language, coalesce(text, '') AS text FROM documents),

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import risk, scalars
-from ..operators import agility, detect, fuse, gate, graph, lifecycle, plan, sbom, scan, structure, suppress
+from ..operators import agility, detect, fuse, gate, graph, incremental, lifecycle, plan, sbom, scan, structure, suppress
 from ..schema import RULE_SCHEMA, threshold_rank
-from ..sinks import reports
+from ..sinks import reports, store
 from ..sources import files, manifests, notebook, rules, tls, x509
 from . import bindings as b
 from .oracles import ORACLES
@@ -103,6 +103,40 @@ def pack_of_many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_file.groupBy("rule_id").agg(F.count("*").alias("n_files"), F.sum("n").alias("n_matches"))
 
 
+def document_findings(files: DataFrame) -> DataFrame:
+    """The documents' rules on files (path, language, text), as findings."""
+    pack = files.sparkSession.createDataFrame([tuple({"rule_ordinal": n, "rule_id": r, "language": "any", "severity": s, "detector_type": "regex", "pattern": p, "flags": "", "file_globs": []}.get(f.name) for f in RULE_SCHEMA.fields) for n, (r, p, s) in enumerate(b.DOCUMENT_RULES)], RULE_SCHEMA)
+    return detect.to_findings(detect.detect_pack(files, pack), pack).select("file_path", "rule_id", "line_number", "column", "severity")
+
+
+@query
+def incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a tree that changes: one of a hundred each is changed, taken away, and touched. What the table of findings
+    holds after the second refresh, and what was read for it."""
+    table = incremental.ScanTable(spark, graph.scratch(spark, "scan-table"), "file_path string, rule_id string, line_number int, column int, severity string", 16)
+    for step in (1, 2):
+        files = b.changing_documents(spark, sf_dir, step)
+        counts = table.refresh(files.select("path", "version"), lambda paths, files=files: files.join(paths, "path", "left_semi"), document_findings)
+    done = spark.createDataFrame([(k, v) for k, v in vars(counts).items()], "what string, n long")
+    found = table.findings().groupBy(F.col("rule_id").alias("what")).agg(F.count("*").alias("n"))
+    return found.unionByName(done)
+
+
+@query
+def scans_are_kept_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of four scans, the write of one of which fails half way and is done again, and one of which is deleted."""
+    kept = store.ScanStore(spark, graph.scratch(spark, "scan-store"))
+    own = b.findings(spark, sf_dir).withColumn("scan_run_id", F.concat(F.lit("s"), F.col("position") % 4))
+    scans = own.groupBy("scan_run_id").agg(F.count("*").alias("n_findings"))
+    kept.save(scans.where("scan_run_id <> 's3'"), own.where("scan_run_id <> 's3'"))
+    kept.write_findings(own.where("scan_run_id = 's3' and line_number < 30"))  # its scan's row is never written
+    unseen = kept.findings().where("scan_run_id = 's3'").count()
+    for _ in range(2):
+        kept.save(scans.where("scan_run_id in ('s1', 's3')"), own.where("scan_run_id in ('s1', 's3')"))
+    kept.delete("s2")
+    return kept.findings().groupBy("scan_run_id").agg(F.count("*").alias("n"), F.countDistinct("finding_id").alias("n_ids")).withColumn("n_unseen", F.lit(unseen).cast("long"))
+
+
 IGNORED = "src1/\n# a comment\n!src1/3/\n/src2/4/\n**/doc_7*\n!**/doc_77.txt\nsrc5/*/doc_?[0].txt\n"
 
 

@@ -503,3 +503,19 @@ ORACLES["structure_of_languages"] = f"""
 WITH e(n, rule_id, line_number, col) AS (VALUES {_PLACES}),
 c AS (SELECT p_partkey % {len(b.STRUCTURES)} AS n, count(*) AS n_files FROM part GROUP BY ALL)
 SELECT rule_id, CAST(line_number AS INTEGER) AS line_number, CAST(col AS INTEGER) AS "column", n_files FROM e JOIN c USING (n)"""
+
+ORACLES["incremental_scan"] = f"""
+WITH {D}, {rules(ALL_RULES)},
+k AS (SELECT path, CAST(regexp_extract(path, 'doc_(\\d+)', 1) AS BIGINT) % 100 AS k FROM d),
+f AS (
+  SELECT rule_id, path, len(regexp_extract_all(line, pattern)) AS n FROM l JOIN rules ON regexp_matches(line, pattern)
+  UNION ALL SELECT 'DOC_LICENSE', path, 1 FROM k WHERE k = 7)
+SELECT rule_id AS what, CAST(sum(n) AS BIGINT) AS n FROM f JOIN k USING (path) WHERE k <> 8 GROUP BY rule_id
+UNION ALL SELECT 'listed', count(*) FROM k WHERE k <> 8
+UNION ALL SELECT 'read', count(*) FROM k WHERE k IN (7, 9, 11)
+UNION ALL SELECT 'scanned', count(*) FROM k WHERE k IN (7, 11)
+UNION ALL SELECT 'gone', count(*) FROM k WHERE k = 8"""
+
+ORACLES["scans_are_kept_once"] = f"""
+WITH {F}
+SELECT concat('s', position % 4) AS scan_run_id, count(*) AS n, count(DISTINCT finding_id) AS n_ids, CAST(0 AS BIGINT) AS n_unseen FROM f WHERE position % 4 <> 2 GROUP BY ALL"""

@@ -31,8 +31,8 @@ def read_jsonl(spark: SparkSession, path: str, strict: bool = False) -> DataFram
 
 
 def write_scored(findings: DataFrame, path: str) -> None:
-    """Append a scan's scored findings, by scan."""
-    findings.write.mode("append").partitionBy("scan_run_id").parquet(path)
+    """Write scans' scored findings, by scan; a scan that is written again takes the place of what it was."""
+    findings.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_run_id").parquet(path)
 
 
 def tags(findings: DataFrame) -> Column:
