@@ -38,12 +38,11 @@ def has_letter(text: str) -> bool:
 @dataclasses.dataclass(frozen=True)
 class Settings:
     """hidden: units of each direction. length: bytes of a segment. per_lang: rows of a language in the sample, at most;
-    per_doc: segments of each that are learnt from, at most. together: segments that are run at once."""
+    their texts are learnt from whole. together: segments that are run at once."""
 
     hidden: int = 8
     length: int = 64
     per_lang: int = 250
-    per_doc: int = 24
     steps: int = 400
     batch: int = 256
     rate: float = 0.02
@@ -164,21 +163,19 @@ class Network:
 
 
 def train(texts: list[bytes], labels: list[int], langs: int, s: Settings) -> Network:
-    """Adam on batches that have all languages in equal parts, with a rate that falls to nothing."""
+    """Adam on batches that have all languages in equal parts, with a rate that falls to nothing. A batch's segments are any
+    of documents that are drawn with equal chances, so that long ones don't outweigh the rest."""
     rng = np.random.default_rng(s.seed)
     net = Network.new(langs, s)
     x, used, owner = segments(texts, s.length)
     y = np.array(labels)[owner]
-    nth = np.zeros(len(owner), int)
-    order = rng.permutation(len(owner))  # of each text's segments, per_doc at random
-    seen: dict[int, int] = {}
-    for i in order:
-        nth[i] = seen.get(owner[i], 0)
-        seen[owner[i]] = nth[i] + 1
-    pools = [np.flatnonzero((y == k) & (nth < s.per_doc)) for k in range(langs)]
+    parts = np.bincount(owner, minlength=len(texts))
+    begin = np.cumsum(parts) - parts
+    pools = [np.flatnonzero((np.array(labels) == k) & (parts > 0)) for k in range(langs)]
     first, second = ({k: np.zeros_like(v) for k, v in net.w.items()} for _ in range(2))
     for step in range(1, s.steps + 1):
-        pick = np.concatenate([rng.choice(p, max(1, s.batch // langs)) for p in pools if len(p)])
+        drawn = np.concatenate([rng.choice(p, max(1, s.batch // langs)) for p in pools if len(p)])
+        pick = begin[drawn] + (rng.random(len(drawn)) * parts[drawn]).astype(int)
         grads = net.gradients(x[:, pick], used[pick], y[pick])
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
         rate = s.rate * (1 - (step - 1) / s.steps)
