@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last return the
 columns of documents; the last returns the packed pieces.
+
+Defined results: null texts count as empty in every stage (they are scored, are copies of one another, near copies of nothing, have no
+words, and pack as one end mark); null ids, sources and languages are values like others; a text of any length is taken whole; of equal
+texts the largest id stays, of near copies the smallest, and rows that repeat one another are one; ties are broken by id, then text;
+an empty table passes through all stages; further columns are carried along to the last stage, whatever they are called.
 """
 
 from __future__ import annotations
