@@ -21,14 +21,20 @@ def _named(findings: DataFrame) -> DataFrame:
 
 def _candidates(instances: DataFrame, findings: DataFrame, tolerance: int | None = LINE_TOLERANCE) -> DataFrame:
     """Pairs of an instance and a finding at its place: same file, algorithm and rule prefix; near its line if it has one
-    (with no tolerance, anywhere in the file). An equi-join on file and algorithm; lines and prefix are filters."""
+    (with no tolerance, anywhere in the file, and then instances that ask for the same stand for one another).
+
+    Equi-joins: an instance with a line is spelled out over the lines around it, so a file with any number of findings costs
+    a row for each that is near; only the rule's prefix is left to a filter."""
     wanted = instances.select("id", F.lower("file").alias("file"), "line", "severity", "quantum_safety", F.coalesce("rule_id_prefix", F.lit("")).alias("prefix"), F.explode("algorithm").alias("label"))
     wanted = wanted.withColumn("alg", normal_algorithm(F.col("label"))).drop("label").withColumnsRenamed({"line": "want_line", "severity": "want_severity", "quantum_safety": "want_safety"})
     found = _named(findings).withColumn("alg", normal_algorithm(F.col("algorithm")))
     near = F.startswith(F.col("rule_id"), F.col("prefix"))
-    if tolerance is not None:
-        near &= F.col("want_line").isNull() | F.col("line_number").between(F.col("want_line") - tolerance, F.col("want_line") + tolerance)
-    return wanted.join(found, ["file", "alg"]).where(near)
+    if tolerance is None:
+        return found.join(wanted.select("file", "alg", "prefix").distinct(), ["file", "alg"]).where(near)
+    around = F.explode(F.sequence(F.col("want_line") - tolerance, F.col("want_line") + tolerance)).alias("line_number")
+    placed = wanted.where(F.col("want_line").isNotNull()).select("*", around).join(found, ["file", "alg", "line_number"])
+    anywhere = wanted.where(F.col("want_line").isNull()).join(found, ["file", "alg"])
+    return placed.unionByName(anywhere).where(near)
 
 
 def recall(instances: DataFrame, findings: DataFrame, ast_languages: list[str] | None = None) -> DataFrame:
@@ -50,10 +56,32 @@ def recall_counts(outcomes: DataFrame) -> DataFrame:
     return outcomes.agg(*[F.count_if(F.col("outcome") == x).alias(x) for x in ("matched", "missed", "mismatched", "skipped")])
 
 
+#: Lines of the finest bin.
+BIN = 16
+
+
+def within(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, by: str) -> DataFrame:
+    """Pairs of a row of points and one of ranges with low <= point <= high (none of them null) that agree in column `by`.
+
+    A range is put into the bins of a level whose bins are at least as wide as itself, so into two at most; a point is put
+    into its bin of each level that some range has. Levels grow by powers of two, so there are few, and a bin holds only
+    points and ranges that are near each other.
+    """
+    width = F.greatest(F.col(high) - F.col(low) + 1, F.lit(1))
+    level = F.greatest(F.ceil(F.log2(width / BIN)), F.lit(0)).cast("int")
+    bin_of = lambda c: F.floor(F.col(c) / (BIN * F.pow(F.lit(2), F.col("_level")))).cast("long")
+    own = ranges.where(F.col(low) <= F.col(high)).withColumn("_level", level)
+    own = own.withColumn("_bin", F.explode(F.sequence(bin_of(low), bin_of(high))))
+    used = sorted(r._level for r in own.select("_level").distinct().collect())  # a few dozen numbers at most
+    each = points.withColumn("_level", F.explode(F.array(*map(F.lit, used)).cast("array<int>"))).withColumn("_bin", bin_of(point))
+    return each.join(own, [by, "_level", "_bin"]).where(F.col(point).between(F.col(low), F.col(high))).drop("_level", "_bin")
+
+
 def _inside(findings: DataFrame, forbidden: DataFrame) -> DataFrame:
     """Findings in a forbidden range (a place without lines is the whole file), with whether the range tolerates them."""
     ranges = forbidden.select(F.lower("file").alias("file"), F.col("line").alias("from_line"), F.coalesce("line_end", "line").alias("to_line"), "reason", "allow_safety", "allow_severity")
-    joined = _named(findings).join(ranges, "file").where(F.col("from_line").isNull() | F.col("line_number").between(F.col("from_line"), F.col("to_line")))
+    found, placed = _named(findings), F.col("from_line").isNotNull()
+    joined = within(found.where("line_number IS NOT NULL"), ranges.where(placed), "line_number", "from_line", "to_line", "file").unionByName(found.join(ranges.where(~placed), "file"))
     safe = (F.size("allow_safety") > 0) & F.array_contains(_folded(F.col("allow_safety")), F.lower(F.trim("quantum_safety")))
     mild = F.col("allow_severity").isNull() | (gate_rank(F.col("severity")) <= gate_rank(F.col("allow_severity")))
     return joined.withColumn("tolerated", F.coalesce(safe & mild, F.lit(False)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -61,6 +63,26 @@ def facet(findings: DataFrame, column: str) -> DataFrame:
     return findings.groupBy(column).agg(F.count("*").alias("n"))
 
 
+def all_facets(findings: DataFrame, filters: dict[str, Column]) -> DataFrame:
+    """facet, value and n: for each column of filters (column: what is chosen there; F.lit(True) for everything) its values,
+    each counted under the filters of all other columns, as explorers show what else could be chosen.
+
+    One pass with grouping sets, a set a column. A value that nothing has under the others' filters isn't listed.
+    """
+    columns, chosen = list(filters), [F.coalesce(c, F.lit(False)) for c in filters.values()]
+    passes = [functools.reduce(Column.__and__, [c for j, c in enumerate(chosen) if j != i], F.lit(True)) for i in range(len(columns))]
+    # names of their own, so that a filter may look at a column that is grouped by
+    flagged = findings.select(*[F.col(c).cast("string").alias(f"value_{i}") for i, c in enumerate(columns)], *[p.alias(f"passes_{i}") for i, p in enumerate(passes)])
+    values = [F.col(f"value_{i}") for i in range(len(columns))]
+    counted = flagged.groupingSets([[v] for v in values], *values).agg(
+        F.grouping_id().alias("left_out"), *[F.count_if(F.col(f"passes_{i}")).alias(f"n_{i}") for i in range(len(columns))]
+    )
+    everything = (1 << len(columns)) - 1
+    kept = [F.struct(F.lit(everything - (1 << len(columns) - 1 - i)).alias("left_out"), F.lit(c).alias("facet"), v.alias("value"), F.col(f"n_{i}").alias("n")) for i, (c, v) in enumerate(zip(columns, values, strict=True))]
+    own = F.filter(F.array(*kept), lambda k: k["left_out"] == F.col("left_out"))[0]
+    return counted.select(own.alias("k")).select("k.facet", "k.value", "k.n").where("n > 0")
+
+
 def top_and_other(findings: DataFrame, column: str, most: int = 8) -> DataFrame:
     """The most frequent values (ties by value) and all others as `other`."""
     counts = facet(findings, column)

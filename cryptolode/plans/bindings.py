@@ -134,6 +134,27 @@ def changing_documents(spark: SparkSession, sf_dir: str, step: int) -> DataFrame
     return own.where(k != (8 if step == 2 else 11)).select("path", "language", text.alias("text"), text.cast("binary").alias("content"), version.alias("version"))
 
 
+def ordered_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as lines of files, of which there is a version a year: a line comes with its order's year, and some are away
+    from three to four years after and come back."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 60).alias("f"), F.year("o_orderdate").alias("y"))
+    each = orders.withColumn("version", F.explode(F.sequence(F.lit(1995), F.lit(2001))))
+    age = F.col("version") - F.col("y")
+    there = each.where((age >= 0) & ((F.col("k") % 3 != 0) | ~age.between(3, 4)))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("k")), lambda k: F.concat(F.lit("order "), k.cast("string"))), "\n")
+    files = there.groupBy("f", "version").agg(text.alias("text"))
+    return files.select(F.concat(F.lit("f"), "f").alias("path"), "version", F.concat(F.lit("a"), F.col("version") % 3).alias("author"), F.concat(F.lit("c"), "version").alias("commit"), "text")
+
+
+def moved_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as files of a word a line, before and after some have moved, with a line more or fewer."""
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 5).alias("k"), F.col("doc_id").cast("string").alias("id"), F.replace(F.coalesce("text", F.lit("")), F.lit(" "), F.lit("\n")).alias("text"))
+    before = docs.where("k <> 4").select(F.concat(F.lit("a/"), "id").alias("path"), "text")
+    name = F.when(F.col("k") == 0, F.concat(F.lit("b/"), "id")).when(F.col("k") == 4, F.concat(F.lit("c/"), "id")).otherwise(F.concat(F.lit("a/"), "id"))
+    text = F.when(F.col("k") == 0, F.concat(F.lit("moved\n"), "text")).when(F.col("k") == 1, F.concat("text", F.lit("\nmore"))).otherwise(F.col("text"))
+    return before, docs.where("k <> 3").select(name.alias("path"), text.alias("text"))
+
+
 DOCUMENTS_SQL = """
 d AS (
   SELECT concat(source, '/', doc_id % 10, '/doc_', doc_id, '.txt') AS path, lang AS language, coalesce(text, '') AS text FROM documents),

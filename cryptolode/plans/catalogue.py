@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import risk, scalars
-from ..operators import agility, detect, fuse, gate, graph, incremental, lifecycle, plan, sbom, scan, structure, suppress
+from ..operators import agility, detect, fuse, gate, graph, incremental, lifecycle, plan, sbom, scan, structure, suppress, versions
 from ..schema import RULE_SCHEMA, threshold_rank
 from ..sinks import reports, store
 from ..sources import files, manifests, notebook, rules, tls, x509
@@ -122,6 +122,19 @@ def incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.unionByName(done)
 
 
+@query
+def blame_of_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who last brought each line of files of seven versions."""
+    return versions.blame(b.ordered_versions(spark, sf_dir))
+
+
+@query
+def renamed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of documents between two snapshots, some of them moved."""
+    found = versions.snapshot_changes(*b.moved_documents(spark, sf_dir))
+    return found.withColumn("similarity", six(F.col("similarity")))
+
+
 @query
 def scans_are_kept_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of four scans, the write of one of which fails half way and is done again, and one of which is deleted."""
@@ -213,6 +226,13 @@ def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+@query
+def facets_in_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All facets of the explorer at once, each under the filters of the others."""
+    filters = {"severity": F.col("severity").isin("high", "critical"), "algorithm": F.col("algorithm") != "MD5", "channel": F.lit(True), "module": F.col("module").isin(*[f"m{i}" for i in range(0, 97, 4)])}
+    return lifecycle.all_facets(b.findings(spark, sf_dir), filters)
+
+
 @query
 def top_n_other(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.top_and_other(b.findings(spark, sf_dir), "algorithm", 8)
@@ -520,6 +540,70 @@ def gate_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
+@query
+def gate_hot_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forbidden ranges of all widths in a file that a third of all findings are in."""
+    at = F.col("position")
+    own = b.findings(spark, sf_dir).select("finding_id", F.when(at % 3 == 0, F.lit("HOT.py")).otherwise(F.col("file_path")).alias("file_path"), (at % 100_000).cast("int").alias("line_number"), "severity", F.lit("vulnerable").alias("quantum_safety"))
+    k, none = F.col("o_orderkey"), F.array().cast("array<string>")
+    low = (k * 7 % 100_000).cast("int")
+    # few of the ranges are wide
+    wide = F.when(k % 500 == 0, 20_000).when(k % 50 == 0, 300).otherwise(k % 7)
+    ranges = b.table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0").select(F.lit("hot.PY").alias("file"), low.alias("line"), (low + wide).cast("int").alias("line_end"), F.concat(F.lit("r"), k % 100).alias("reason"), none.alias("allow_safety"), F.lit(None).cast("string").alias("allow_severity"))
+    return gate.violations(own, ranges).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query
+def gate_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as dependencies with an algorithm, against what suppliers expect and forbid."""
+    k, s = F.col("p_partkey"), F.col("s_suppkey")
+    found = b.table(spark, sf_dir, "part").select(F.concat(F.lit("M"), k % 20).alias("file_path"), F.concat(F.lit("Pkg"), k % 30).alias("package"), b.pick(b.LABELS[:10], k).alias("algorithm"))
+    own = b.table(spark, sf_dir, "supplier").select(F.concat(F.lit("m"), s % 20).alias("manifest"), F.concat(F.lit("pkG"), s % 30).alias("package"), F.array(b.pick(b.LABELS[:10], s), F.lit("quux")).alias("algorithms_include"), s.alias("s"))
+    return gate.dependencies(own.where("s % 3 <> 0"), own.where("s % 3 = 0").distinct(), found).groupBy("problem").agg(F.count("*").alias("n"), F.countDistinct("manifest", "package").alias("n_packages"))
+
+
+@query
+def rule_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as rules: their quantum-safety class and their confidence, where named and where not."""
+    k = F.col("p_partkey")
+    named = F.when(k % 3 == 0, F.lit("hybrid")).when(k % 3 == 1, F.lit(""))
+    own = b.table(spark, sf_dir, "part").select(scalars.quantum_safety(named, F.when(k % 5 != 0, k % 2 == 0)).alias("safety"), scalars.rule_confidence(F.when(k % 4 != 0, k % 4 * 0.25 - 0.25), F.when(k % 7 == 0, F.lit("ast")).otherwise("regex")).alias("confidence"))
+    return own.groupBy("safety", "confidence").agg(F.count("*").alias("n"))
+
+
+@query
+def channels_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of three channels, whose columns differ, as one relation."""
+    own = b.findings(spark, sf_dir).drop("channel")
+    three = fuse.channels_of(ast=own.where("position % 3 = 0"), sbom=own.where("position % 3 = 1").drop("key_size"), tls=own.where("position % 3 = 2").drop("line_number", "column"))
+    return three.groupBy("channel", "severity").agg(F.count("*").alias("n"), F.count("key_size").alias("n_sized"), F.count("line_number").alias("n_placed"))
+
+
+@query
+def rules_tested_by_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as examples of the documents' rules, some of which are wrong; rules without any, against accepted ones."""
+    k, n = F.col("p_partkey"), len(b.DOCUMENT_RULES)
+    text = F.when(k % 3 == 0, F.lit("key = \"x\" for the a.b@c.de at 10.0.0.1 of 123456789012 ### licensed under")).otherwise(F.concat(F.lit("plain "), k))
+    each = b.table(spark, sf_dir, "part").select((k % n).cast("int").alias("n"), F.when(k % 2 == 0, text).alias("yes"), F.when(k % 2 == 1, text).alias("no"))
+    lists = each.where("n < 5").groupBy("n").agg(F.collect_set("yes").alias("examples_match"), F.collect_set("no").alias("examples_no_match"))
+    known = spark.createDataFrame([(i, r, p) for i, (r, p, _) in enumerate(b.DOCUMENT_RULES)], "n int, rule_id string, pattern string")
+    none = F.array().cast("array<string>")
+    pack = known.join(lists, "n", "left").select("rule_id", "pattern", F.lit("").alias("flags"), F.lit("regex").alias("detector_type"), *[F.coalesce(c, none).alias(c) for c in ("examples_match", "examples_no_match")])
+    wrong = rules.self_test(pack).groupBy("rule_id", F.when(F.col("expected"), F.lit("should match")).otherwise("should not match").alias("what")).agg(F.count("*").alias("n"))
+    bare, settled = rules.coverage_ratchet(pack, spark.createDataFrame([("DOC_LICENSE",), ("DOC_TOKEN",)], "rule_id string"))
+    one = F.lit(1).cast("long").alias("n")
+    return wrong.unionByName(bare.select("rule_id", F.lit("without examples").alias("what"), one)).unionByName(settled.select("rule_id", F.lit("has examples now").alias("what"), one))
+
+
+@query
+def tls_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as addresses, with and without scheme, port and path."""
+    k = F.col("c_custkey")
+    text = F.concat(b.pick(["https://", "", " tls://", ""], k), b.pick(["h", "[2001:db8::", "a.example-"], k), k % 50, F.when(k % 3 == 1, F.lit("]")).otherwise(""), b.pick([":8443", "", ":443/x:1", "/y", ""], k))
+    host, port = tls.target(text)
+    return b.table(spark, sf_dir, "customer").select(host.alias("host"), port.alias("port")).groupBy("host", "port").agg(F.count("*").alias("n"))
+
+
 @query
 def sbom_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sbom.fan_out(b.dependencies(spark, sf_dir), sbom.knowledge(spark))

@@ -519,3 +519,72 @@ UNION ALL SELECT 'gone', count(*) FROM k WHERE k = 8"""
 ORACLES["scans_are_kept_once"] = f"""
 WITH {F}
 SELECT concat('s', position % 4) AS scan_run_id, count(*) AS n, count(DISTINCT finding_id) AS n_ids, CAST(0 AS BIGINT) AS n_unseen FROM f WHERE position % 4 <> 2 GROUP BY ALL"""
+
+ORACLES["blame_of_versions"] = """
+WITH o AS (SELECT o_orderkey AS k, o_custkey % 60 AS f, year(o_orderdate) AS y FROM orders),
+t AS (SELECT f, max(v) AS last FROM o, range(1995, 2002) r(v) WHERE v >= y AND (k % 3 <> 0 OR v - y NOT BETWEEN 3 AND 4) GROUP BY f),
+n AS (SELECT o.*, CASE WHEN k % 3 = 0 AND last - y > 4 THEN y + 5 ELSE y END AS since FROM o JOIN t USING (f) WHERE last >= y AND (k % 3 <> 0 OR last - y NOT BETWEEN 3 AND 4))
+SELECT 'f' || f AS path, CAST(row_number() OVER (PARTITION BY f ORDER BY k) AS INTEGER) AS line, 'a' || (since % 3) AS author, 'c' || since AS commit FROM n"""
+
+ORACLES["renamed_files"] = """
+WITH d AS (SELECT doc_id % 5 AS k, CAST(doc_id AS VARCHAR) AS id, replace(coalesce(text, ''), ' ', chr(10)) AS text FROM documents),
+b AS (SELECT 'a/' || id AS path, text FROM d WHERE k <> 4),
+a AS (
+  SELECT CASE k WHEN 0 THEN 'b/' WHEN 4 THEN 'c/' ELSE 'a/' END || id AS path,
+         CASE k WHEN 0 THEN 'moved' || chr(10) || text WHEN 1 THEN text || chr(10) || 'more' ELSE text END AS text
+  FROM d WHERE k <> 3),
+s AS (SELECT path, list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: rtrim(rtrim(x, chr(13)))), lambda x: x <> '')) AS lines, side
+      FROM (SELECT *, 'b' AS side FROM b WHERE path NOT IN (SELECT path FROM a) UNION ALL SELECT *, 'a' FROM a WHERE path NOT IN (SELECT path FROM b))),
+l AS (SELECT side, path, len(lines) AS n, unnest(lines) AS line FROM s),
+p AS (SELECT x.path AS source, y.path, any_value(x.n) AS nx, any_value(y.n) AS ny, count(*) AS c FROM l x JOIN l y ON x.side = 'b' AND y.side = 'a' AND x.line = y.line GROUP BY ALL),
+r AS (SELECT path, source, c / (nx + ny - c) AS similarity FROM p WHERE c / (nx + ny - c) >= 0.5 QUALIFY row_number() OVER (PARTITION BY path ORDER BY similarity DESC, source) = 1)
+SELECT path, 'renamed' AS state, source, round(similarity * 1e6) / 1e6 AS similarity FROM r
+UNION ALL SELECT path, CASE side WHEN 'a' THEN 'new' ELSE 'removed' END, NULL, NULL FROM s WHERE path NOT IN (SELECT path FROM r) AND path NOT IN (SELECT source FROM r)
+UNION ALL SELECT a.path, 'modified', NULL, NULL FROM a JOIN b USING (path) WHERE a.text <> b.text"""
+
+_FACETS = {"severity": "severity IN ('high', 'critical')", "algorithm": "algorithm <> 'MD5'", "channel": "true", "module": "module IN (" + ", ".join(f"'m{i}'" for i in range(0, 97, 4)) + ")"}
+ORACLES["facets_in_one_pass"] = f"WITH {F} " + " UNION ALL ".join(
+    f"SELECT '{c}' AS facet, {c} AS value, count(*) AS n FROM f WHERE {' AND '.join(w for o, w in _FACETS.items() if o != c)} GROUP BY ALL" for c in _FACETS
+)
+
+ORACLES["gate_hot_file"] = f"""
+WITH {F},
+h AS (SELECT position % 100000 AS line FROM f WHERE position % 3 = 0),
+r AS (SELECT o_orderkey * 7 % 100000 AS low, CASE WHEN o_orderkey % 500 = 0 THEN 20000 WHEN o_orderkey % 50 = 0 THEN 300 ELSE o_orderkey % 7 END AS wide, concat('r', o_orderkey % 100) AS reason
+      FROM orders WHERE o_orderkey % 4 = 0)
+SELECT reason, count(*) AS n FROM h JOIN r ON line BETWEEN low AND low + wide GROUP BY reason"""
+
+_TEN = "[" + ", ".join(f"'{x}'" for x in b.LABELS[:10]) + "]"
+ORACLES["gate_dependencies"] = f"""
+WITH found AS (SELECT DISTINCT p_partkey % 20 AS m, p_partkey % 30 AS p, {_TEN}[p_partkey % 10 + 1] AS label FROM part),
+s AS (SELECT s_suppkey AS s, s_suppkey % 20 AS m, s_suppkey % 30 AS p FROM supplier),
+w AS (SELECT *, unnest([{_TEN}[s % 10 + 1], 'quux']) AS label FROM s WHERE s % 3 <> 0),
+x AS (SELECT m, p, 'missing ' || label AS problem FROM w WHERE NOT EXISTS (SELECT 1 FROM found WHERE found.m = w.m AND found.p = w.p AND found.label = w.label)
+      UNION ALL SELECT m, p, 'must not be flagged' FROM s WHERE s % 3 = 0 AND EXISTS (SELECT 1 FROM found WHERE found.m = s.m AND found.p = s.p))
+SELECT problem, count(*) AS n, count(DISTINCT (m, p)) AS n_packages FROM x GROUP BY problem"""
+
+ORACLES["rule_defaults"] = """
+SELECT CASE WHEN p_partkey % 3 = 0 THEN 'hybrid' WHEN p_partkey % 5 <> 0 AND p_partkey % 2 = 0 THEN 'quantum_safe' ELSE 'vulnerable' END AS safety,
+       CAST(CASE WHEN p_partkey % 4 IN (0, 1) THEN CASE WHEN p_partkey % 7 = 0 THEN 0.95 ELSE 0.7 END ELSE p_partkey % 4 * 0.25 - 0.25 END AS DOUBLE) AS confidence, count(*) AS n
+FROM part GROUP BY ALL"""
+
+ORACLES["channels_together"] = f"""
+WITH {F.replace("END AS channel", "END AS flag")}
+SELECT ['ast', 'sbom', 'tls'][position % 3 + 1] AS channel, severity, count(*) AS n, count(key_size) FILTER (position % 3 <> 1) AS n_sized, count(line_number) FILTER (position % 3 <> 2) AS n_placed
+FROM f GROUP BY ALL"""
+
+ORACLES["rules_tested_by_examples"] = f"""
+WITH {rules(ALL_RULES)},
+o AS (SELECT rule_id, pattern, row_number() OVER () - 1 AS n FROM rules),
+e AS (SELECT DISTINCT p_partkey % {len(ALL_RULES)} AS n, p_partkey % 2 = 0 AS expected,
+        CASE WHEN p_partkey % 3 = 0 THEN 'key = "x" for the a.b@c.de at 10.0.0.1 of 123456789012 ### licensed under' ELSE concat('plain ', p_partkey) END AS text FROM part)
+SELECT rule_id, CASE WHEN expected THEN 'should match' ELSE 'should not match' END AS what, count(*) AS n
+FROM e JOIN o USING (n) WHERE n < 5 AND regexp_matches(text, pattern) <> expected GROUP BY ALL
+UNION ALL SELECT 'DOC_EN', 'without examples', 1 UNION ALL SELECT 'DOC_TOKEN', 'has examples now', 1"""
+
+ORACLES["tls_targets"] = r"""
+WITH t AS (
+  SELECT c_custkey AS k, c_custkey % 50 AS d, c_custkey % 3 AS h, c_custkey % 5 AS p FROM customer)
+SELECT CASE h WHEN 0 THEN 'h' || d WHEN 1 THEN '2001:db8::' || d ELSE 'a.example-' || d END AS host,
+       CAST(CASE p WHEN 0 THEN 8443 ELSE 443 END AS INTEGER) AS port, count(*) AS n
+FROM t GROUP BY ALL"""
