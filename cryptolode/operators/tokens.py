@@ -14,7 +14,6 @@ Not told apart: block comments within block comments, `<` as an operator and as
 from __future__ import annotations
 
 import dataclasses
-import functools
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -111,34 +110,51 @@ def token(text: Column, quoted: bool) -> Column:
     return F.struct(text.alias("token"), F.lit(quoted).alias("quoted"))
 
 
-def lex(text: Column, language: str, depth: int = 2) -> Column:
-    """array<struct<token, quoted>>: quoted are the pieces of strings around code, and the marks between."""
-    own = LEXERS[language]
-    found = F.regexp_extract_all(text, F.lit(own.pattern()), F.lit(0))
-    if not own.code or not depth:
+def lexer(language: Column, languages: list[str]) -> Column:
+    """A language's patterns as a struct: pattern (its tokens), code, whole and cut (code in strings, as all of a text, and as
+    one piece of it), held (which tokens hold code), open (characters that open code), here (whether it has here-documents)."""
+    out = F.when(F.lit(False), F.lit(None))
+    for name in languages:
+        own = LEXERS[name]
+        code = own.code or None
+        fields = {"pattern": own.pattern(), "code": code, "whole": code and f"^(?:{code})$", "cut": code and f"{code}|[\\s\\S]+?(?={code}|\\z)", "held": own.held, "open": own.open, "here": name in ("ruby", "php")}
+        out = out.when(language == name, F.struct(*[F.lit(v).cast({"open": "int", "here": "boolean"}.get(k, "string")).alias(k) for k, v in fields.items()]))
+    return out
+
+
+def lex(text: Column, own: Column, depth: int = 2) -> Column:
+    """array<struct<token, quoted>> by a language's lexer: quoted are the pieces of strings around code, and the marks between."""
+    found = F.regexp_extract_all(text, own["pattern"], F.lit(0))
+    if not depth:
         return F.transform(found, lambda t: token(t, False))
-    cut = F.lit(f"{own.code}|[\\s\\S]+?(?={own.code}|\\z)")
 
-    def code(piece: Column) -> Column:
-        inside = F.substring(piece, F.lit(own.open + 1), F.length(piece) - own.open - 1)
-        ends = [F.array(token(x, True)) for x in (F.substring(piece, 1, own.open), F.substring(piece, -1, 1))]
-        return F.concat(ends[0], lex(inside, language, depth - 1), ends[1])
+    def part(text: Column, kind: str) -> Column:
+        return F.struct(text.alias("text"), F.lit(kind).alias("kind"))
 
     def pieces(t: Column) -> Column:
-        parts = F.regexp_extract_all(t, cut, F.lit(0))
-        return F.flatten(F.transform(parts, lambda p: F.when(p.rlike(f"^(?:{own.code})$"), code(p)).otherwise(F.array(token(p, True)))))
+        """A string as what stands around its code, and its code."""
+
+        def cut(p: Column) -> Column:
+            inside = F.substring(p, own["open"] + 1, F.length(p) - own["open"] - 1)
+            ends = [part(x, "string") for x in (F.substring(p, F.lit(1), own["open"]), F.substring(p, -1, 1))]
+            return F.when(F.rlike(p, own["whole"]), F.array(ends[0], part(inside, "code"), ends[1])).otherwise(F.array(part(p, "string")))
+
+        return F.flatten(F.transform(F.regexp_extract_all(t, own["cut"], F.lit(0)), cut))
 
-    def here(t: Column) -> Column:
-        head = F.regexp_extract(t, _HERE, 0)
-        rest = F.regexp_extract(t, _HERE + r"([^\n]*)", 1)
+    def parts(t: Column) -> Column:
+        """A token in parts; of a here-document its mark, the rest of that line, which is code, and its lines."""
+        begun = own["here"] & t.rlike(_HERE + r"[^\n]*\n")
+        head = F.when(begun, F.regexp_extract(t, _HERE, 0)).otherwise("")
+        rest = F.when(begun, F.regexp_extract(t, _HERE + r"([^\n]*)", 1)).otherwise("")
         body = F.substring(t, F.length(head) + F.length(rest) + 1, F.length(t))
-        return F.concat(F.array(token(head, True)), lex(rest, language, depth - 1), F.when(F.contains(head, F.lit("'")), F.array(token(body, True))).otherwise(pieces(body)))
+        holds = (begun & ~F.contains(head, F.lit("'"))) | (~begun & F.rlike(t, own["held"]) & F.rlike(t, own["code"]))
+        lines = F.when(holds, pieces(body)).when(begun, F.array(part(body, "string"))).otherwise(F.array(part(t, "token")))
+        return F.when(begun, F.concat(F.array(part(head, "string"), part(rest, "code")), lines)).otherwise(lines)
 
-    def opened(t: Column) -> Column:
-        inner = F.when(t.rlike(own.held) & t.rlike(own.code), pieces(t)).otherwise(F.array(token(t, False)))
-        return F.when(t.rlike(_HERE + r"[^\n]*\n"), here(t)).otherwise(inner) if language in ("ruby", "php") else inner
+    def lexed(p: Column) -> Column:
+        return F.when(p["kind"] == "code", lex(p["text"], own, depth - 1)).otherwise(F.array(token(p["text"], False).withField("quoted", p["kind"] == "string")))
 
-    return F.flatten(F.transform(found, opened))
+    return F.flatten(F.transform(F.flatten(F.transform(found, parts)), lexed))
 
 
 #: Tokens that nothing is made of: white space and comments.
@@ -158,8 +174,8 @@ def tokens(files: DataFrame, languages: Iterable[str] = tuple(LEXERS)) -> DataFr
     """
     languages = [x for x in LEXERS if x in set(languages)]
     own = files.where(F.col("language").isin(*languages)).select("path", "language", "text").repartition("path")
-    lexed = functools.reduce(lambda c, name: c.when(F.col("language") == name, lex(F.col("text"), name)), languages, F.when(F.lit(False), F.array().cast("array<struct<token:string,quoted:boolean>>")))
-    each = own.select("path", "language", F.posexplode(lexed).alias("nth", "t")).select("path", "language", "nth", "t.token", "t.quoted")
+    lexed = own.withColumn("lexer", lexer(F.col("language"), languages))
+    each = lexed.select("path", "language", F.posexplode(lex(F.col("text"), F.col("lexer"))).alias("nth", "t")).select("path", "language", "nth", "t.token", "t.quoted")
     before = W.partitionBy("path").orderBy("nth").rowsBetween(W.unboundedPreceding, -1)
     size = F.octet_length("token")
     placed = each.withColumns({
