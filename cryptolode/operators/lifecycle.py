@@ -176,6 +176,29 @@ def score_events(before: DataFrame, after: DataFrame) -> DataFrame:
     return joined.select("fingerprint", event.alias("event"), F.col("old").alias("old_score"), F.col("new").alias("new_score")).where("event is not null")
 
 
+def score_history(sightings: DataFrame, patience_ms: int, until: Column, at: str = "scanned_at") -> DataFrame:
+    """Events (fingerprint, at, event, old_score, new_score) of sightings (fingerprint, score, and the scan's time) before `until`:
+    created, updated (another score), and resolved where a fingerprint isn't seen for longer than the patience.
+
+    The rows of `streaming.score_stream`, with the same defined results, from a table. A fingerprint's scans are sorted in one
+    task, a row for each scan, however often it was seen there.
+    """
+    own = sightings.where(F.col("fingerprint").isNotNull()).select("fingerprint", F.nanvl(F.col("score").cast("double"), F.lit(None)).alias("score"), F.unix_millis(at).alias("at"))
+    scans = own.where(F.col("at") < F.unix_millis(until)).groupBy("fingerprint", "at").agg(F.max("score").alias("score"))
+    order = W.partitionBy("fingerprint").orderBy("at")
+    gone = F.col("at") + patience_ms
+    around = scans.withColumns({"before": F.lag("at").over(order), "old": F.lag("score").over(order), "after": F.lead("at").over(order)})
+    fresh = F.col("before").isNull() | (F.col("at") > F.col("before") + patience_ms)
+    seen = F.when(fresh, F.lit("created")).when(~F.col("score").eqNullSafe(F.col("old")), F.lit("updated"))
+    given_up = (F.col("after").isNull() | (F.col("after") > gone)) & (gone < F.unix_millis(until))
+    rows = F.array(
+        F.when(seen.isNotNull(), F.struct(F.col("at").alias("at"), seen.alias("event"), F.when(~fresh, F.col("old")).alias("old_score"), F.col("score").alias("new_score"))),
+        F.when(given_up, F.struct(gone.alias("at"), F.lit("resolved").alias("event"), F.col("score").alias("old_score"), F.lit(None).cast("double").alias("new_score"))),
+    )
+    each = around.select("fingerprint", F.explode(F.array_compact(rows)).alias("e"))
+    return each.select("fingerprint", F.timestamp_millis("e.at").alias("at"), "e.event", "e.old_score", "e.new_score")
+
+
 def readiness(findings: DataFrame, by: list[str]) -> DataFrame:
     """Share of findings that aren't at risk, by group (an extension)."""
     return findings.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(~is_risk(F.col("quantum_safety"))).alias("ready")).withColumn("readiness", F.col("ready") / F.col("n"))

@@ -366,3 +366,15 @@ def importing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = [("lib/s", ".py", python), ("web/j", ".ts", script), ("pkg/g", "/m.go", module), ("node_modules/n", ".py", F.concat(F.lit("import lib.s"), near(0)))]
     each = F.explode(F.array(*[F.struct(F.concat(F.lit(a), k, F.lit(z)).alias("path"), t.alias("text")) for a, z, t in kinds]))
     return s.select(each.alias("f")).select("f.path", "f.text")
+
+
+#: A fingerprint that no scan has seen for longer is gone.
+PATIENCE_MS = 12 * 3_600_000
+
+
+def score_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as findings that hourly scans see: a user is a fingerprint, and has the largest tenth of its values as score.
+    Hours count from the epoch, whatever the session's time zone."""
+    hour = F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
+    rows = table(spark, sf_dir, "events").where("ts IS NOT NULL")
+    return rows.select(F.timestamp_millis(hour * 3_600_000).alias("scanned_at"), F.concat(F.lit("u"), "user_id").alias("fingerprint"), F.floor(F.col("value") / 10).cast("double").alias("score"))

@@ -13,6 +13,7 @@ from ..operators import agility, detect, fuse, gate, graph, incremental, lifecyc
 from ..schema import RULE_SCHEMA, threshold_rank
 from ..sinks import reports, store
 from ..sources import files, manifests, notebook, rules, tls, x509
+from ..streaming import score_stream
 from . import bindings as b
 from .oracles import ORACLES
 
@@ -504,6 +505,30 @@ def score_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.score_events(old, new)
 
 
+@query
+def score_events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a stream that is stopped halfway and goes on from its checkpoint."""
+    arrivals, out, checkpoint = (graph.scratch(spark, name) for name in ("arrivals", "score-events", "score-state"))
+    rows = b.score_sightings(spark, sf_dir)
+    first, last = rows.agg(F.unix_millis(F.min("scanned_at")), F.unix_millis(F.max("scanned_at"))).first()
+    later = F.unix_millis("scanned_at") * 2 > F.lit((first or 0) + (last or 0))
+    for part in (~later, later):
+        rows.where(part).write.mode("append").parquet(arrivals)
+        stream = spark.readStream.schema(rows.schema).parquet(arrivals)
+        score_stream.write_available(score_stream.score_events(stream, b.PATIENCE_MS, "90 minutes"), out, checkpoint).awaitTermination()
+    found = spark.read.schema("fingerprint string, at timestamp, event string, old_score double, new_score double").parquet(out)
+    return found.select("fingerprint", F.unix_millis("at").alias("at_ms"), "event", "old_score", "new_score")
+
+
+@query
+def score_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events out of the table."""
+    rows = b.score_sightings(spark, sf_dir)
+    until = rows.agg(F.max("scanned_at") - F.expr("INTERVAL 90 MINUTES")).first()[0]
+    found = lifecycle.score_history(rows, b.PATIENCE_MS, F.lit(until).cast("timestamp"))
+    return found.select("fingerprint", F.unix_millis("at").alias("at_ms"), "event", "old_score", "new_score")
+
+
 def _truth(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Orders as instances, forbidden ranges and excluded files."""
     o, c = F.col("o_orderkey"), F.col("o_custkey")

@@ -355,6 +355,18 @@ z AS (SELECT concat('f', o_orderkey % 1000) AS fingerprint, max(o_custkey % 45)
 SELECT fingerprint, CASE WHEN old_score IS NULL THEN 'created' WHEN new_score IS NULL THEN 'resolved' ELSE 'updated' END AS event, old_score, new_score
 FROM a FULL JOIN z USING (fingerprint) WHERE old_score IS DISTINCT FROM new_score"""
 
+for name in ("score_events_stream", "score_history"):
+    ORACLES[name] = f"""
+WITH e AS (SELECT concat('u', user_id) AS fingerprint, epoch_ms(date_trunc('hour', ts)) AS at_ms, max(floor(value / 10)) AS score FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY ALL),
+u AS (SELECT epoch_ms(date_trunc('hour', max(ts))) - 5400000 AS until FROM events),
+n AS (
+  SELECT *, lag(at_ms) OVER w AS before, lag(score) OVER w AS old, lead(at_ms) OVER w AS after, at_ms + {b.PATIENCE_MS} AS gone
+  FROM e, u WHERE at_ms < until WINDOW w AS (PARTITION BY fingerprint ORDER BY at_ms)),
+k AS (SELECT *, before IS NULL OR at_ms > before + {b.PATIENCE_MS} AS fresh FROM n)
+SELECT fingerprint, at_ms, CASE WHEN fresh THEN 'created' ELSE 'updated' END AS event, CASE WHEN NOT fresh THEN old END AS old_score, score AS new_score FROM k WHERE fresh OR score IS DISTINCT FROM old
+UNION ALL
+SELECT fingerprint, gone, 'resolved', score, NULL FROM k WHERE (after IS NULL OR after > gone) AND gone < until"""
+
 TRUTH = f"""
 i AS (
   SELECT concat('i', o_orderkey) AS id, lower(concat('SRC/m', o_custkey % 97, '/f', o_orderkey % 53, '.py')) AS file, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderkey % 7 * 10 + 2 END AS line,
