@@ -15,6 +15,7 @@ than fingerprint, score and the time are never looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isnan
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,62 +27,63 @@ STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 class ScoreEvents(StatefulProcessor):
-    """One fingerprint: `open` is its last score and sighting, `waiting` the scores at times yet to be passed."""
+    """One fingerprint: its last sighting and score if it is open, the sightings yet to be passed, and its timer, all in one
+    value, so that a batch reads and writes the state of a fingerprint once."""
 
     def __init__(self, patience_ms: int) -> None:
         self.patience_ms = patience_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "score double, seen long")
-        self.waiting = handle.getMapState("waiting", "at long", "score double")
+        self.state = handle.getValueState("sightings", "seen long, score double, timer long, waiting array<long>, scores array<double>")
+
+    def _load(self) -> tuple[tuple | None, dict, int | None]:
+        seen, score, timer, waiting, scores = self.state.get() or (None, None, None, [], [])
+        return None if seen is None else (seen, score), dict(zip(waiting, scores, strict=True)), timer
+
+    def _store(self, current: tuple | None, waiting: dict, timer: int | None) -> None:
+        due = min([*waiting, *([current[0] + self.patience_ms] if current else [])], default=None)
+        if due is None:
+            self.state.clear()
+            return
+        if timer != due + 1:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due + 1)
+        self.state.update((*(current or (None, None)), due + 1, list(waiting), list(waiting.values())))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        current, waiting, timer = self._load()
         for part in rows:
-            for at, score in part.groupby("at_ms")["score"].max().items():
-                new = None if pd.isna(score) else float(score)
-                old = self.waiting.getValue((at,))
-                if old is None or old[0] is None or (new is not None and new > old[0]):
-                    self.waiting.updateValue((at,), (new,))
-        self._set_timer()
+            for at, score in zip(part["at_ms"].tolist(), part["score"].tolist(), strict=True):
+                new = None if score is None or isnan(score) else score
+                old = waiting.get(at)
+                waiting[at] = new if old is None or (new is not None and new > old) else old
+        self._store(current, waiting, timer)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        current = self.open.get() if self.open.exists() else None
+        current, waiting, _ = self._load()
         events = []
-        for at in sorted(at for (at,) in list(self.waiting.keys()) if at < now):
-            (score,) = self.waiting.getValue((at,))
-            self.waiting.removeKey((at,))
-            if current and at > current[1] + self.patience_ms:
-                events.append((key[0], current[1] + self.patience_ms, "resolved", current[0], None))
+        for at in sorted(at for at in waiting if at < now):
+            score = waiting.pop(at)
+            if current and at > current[0] + self.patience_ms:
+                events.append((key[0], current[0] + self.patience_ms, "resolved", current[1], None))
                 current = None
             if not current:
                 events.append((key[0], at, "created", None, score))
-            elif current[0] != score:
-                events.append((key[0], at, "updated", current[0], score))
-            current = (score, at)
-        if current and current[1] + self.patience_ms < now:
-            events.append((key[0], current[1] + self.patience_ms, "resolved", current[0], None))
+            elif current[1] != score:
+                events.append((key[0], at, "updated", current[1], score))
+            current = (at, score)
+        if current and current[0] + self.patience_ms < now:
+            events.append((key[0], current[0] + self.patience_ms, "resolved", current[1], None))
             current = None
-        if current:
-            self.open.update(current)
-        else:
-            self.open.clear()
-        self._set_timer()
+        self._store(current, waiting, None)  # Spark takes the timer away that has fired
         if events:
             found = pd.DataFrame(events, columns=["fingerprint", "at_ms", "event", "old_score", "new_score"])
             yield found.astype({"old_score": "float64", "new_score": "float64"})
 
-    def _set_timer(self) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        due = [at for (at,) in self.waiting.keys()]
-        if self.open.exists():
-            due.append(self.open.get()[1] + self.patience_ms)
-        if due:
-            self.handle.registerTimer(min(due) + 1)
-
     def close(self) -> None:
         pass
 
@@ -97,7 +99,7 @@ def score_events(sightings: DataFrame, patience_ms: int, delay: str, at: str = "
 def write_available(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Start to write the events of all that has arrived, as Parquet, exactly once; a later call goes on from the checkpoint.
 
-    Timers and maps as state need the RocksDB store, which is set for this query alone.
+    Timers need the RocksDB store, which is set for this query alone.
     """
     conf = events.sparkSession.conf
     before = conf.get(STORE, None)
