@@ -5,7 +5,9 @@ of arrival within the delay, nor on how the stream is cut into batches. Each fin
 that waits, or the time by which it is given up. A fingerprint that isn't seen for longer than the patience is resolved,
 and created again when it comes back. `lifecycle.score_history` gives the same rows from a table.
 
-State holds one row for each open fingerprint and one for each of its scans within the delay; resolved ones are forgotten.
+State holds one value for each fingerprint that is open or waits, with a time and a score for each of its scans that the
+watermark hasn't passed; resolved ones are forgotten. However often a scan repeats a fingerprint, that is one entry: rows
+stream through the task of their fingerprint and aren't held.
 
 Defined results: of several scores of a fingerprint at one time the largest counts, nulls and NaN only where there is no
 other; rows without fingerprint or time take no part; times count in milliseconds; no sightings, no events; columns other

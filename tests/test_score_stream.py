@@ -93,3 +93,13 @@ def test_watermark_at_a_sightings_own_time_loses_nothing(spark, tmp_path):
         stream = spark.readStream.schema(SCHEMA).parquet(arrivals)
         score_stream.write_available(score_stream.score_events(stream, 2 * HOUR, "1 hour"), out, checkpoint).awaitTermination()
     assert events(spark.read.parquet(out)) == by_hand(rows, 2, 19)
+
+
+def test_stream_of_nothing(spark, tmp_path):
+    """Rows that take no part, or no rows at all, give no events."""
+    for name, rows in (("none", []), ("undated", [(None, "f", 1.0), (3, None, 1.0)])):
+        arrivals, out, checkpoint = (str(tmp_path / name / n) for n in ("arrivals", "out", "checkpoint"))
+        sightings(spark, rows).write.parquet(arrivals)
+        stream = spark.readStream.schema(SCHEMA).parquet(arrivals)
+        score_stream.write_available(score_stream.score_events(stream, HOUR, "1 hour"), out, checkpoint).awaitTermination()
+        assert spark.read.schema(score_stream.EVENTS).parquet(out).count() == 0
