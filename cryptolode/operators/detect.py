@@ -6,7 +6,7 @@ import functools
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +15,9 @@ from ..functions.regex_dialect import glob_to_regex, required_literal, to_java,
 from ..sources.files import context, lines
 
 MATCH_SCHEMA = "path string, language string, rule_ordinal int, rule_id string, line_number int, column int, match_ordinal int, snippet string, snippet_context array<string>"
+PLACE_SCHEMA = MATCH_SCHEMA[: MATCH_SCHEMA.index(", snippet ")]
+#: Matches leave `detect_pack` in portions of so many characters or rows.
+PORTION_CHARACTERS, PORTION_ROWS = 4_000_000, 20_000
 
 
 def only_where(line: Column, pattern: str, value: Column, otherwise: Column) -> Column:
@@ -85,36 +88,63 @@ def count_literal(files: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     return each.withColumn("rule_id", F.element_at(F.array(*[F.lit(name) for name, _ in rules]), F.col("rule_ordinal") + 1))
 
 
-def detect_pack(files: DataFrame, rules: DataFrame) -> DataFrame:
+def portions(rows: Iterator[tuple], schema: str) -> Iterator[pa.RecordBatch]:
+    """Rows of MATCH_SCHEMA or PLACE_SCHEMA as batches of some PORTION_CHARACTERS or PORTION_ROWS at most."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+    names, types = zip(*[(x.split()[0], kinds[x.split()[1]]) for x in schema.split(", ")], strict=True)
+
+    def batch(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
+
+    held, characters = [], 0
+    for row in rows:
+        held.append(row)
+        characters += len(row[7]) + sum(map(len, row[8])) if len(row) > 7 else 0
+        if characters >= PORTION_CHARACTERS or len(held) >= PORTION_ROWS:
+            yield batch(held)
+            held, characters = [], 0
+    if held:
+        yield batch(held)
+
+
+def detect_pack(files: DataFrame, rules: DataFrame, snippets: bool = True) -> DataFrame:
     """files (path, language, text) against a rule pack: each file once, against the regex rules of its language and of
     `any` whose globs accept it. The pack, a program's configuration, travels with the function; its patterns are compiled
-    and its automaton is built once a worker and language. One pass of a file finds the rules worth trying and their lines."""
-    pack = [(r.rule_ordinal, r.rule_id, r.language, r.pattern, r.flags, list(r.file_globs or [])) for r in rules.where("detector_type = 'regex'").orderBy("rule_ordinal").collect()]
+    and its automaton is built once a worker and language. One pass of a file finds the rules worth trying and their lines.
 
-    def matches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ready: dict[str, tuple[list, Pack]] = {}
-        for batch in batches:
-            out = []
-            for path, language, text in zip(batch["path"], batch["language"], batch["text"], strict=True):
-                if language not in ready:
-                    own = [r for r in pack if r[2] in (language, "any")]
-                    ready[language] = own, Pack([(p, f) for _, _, _, p, f, _ in own])
-                text_lines = [x.removesuffix("\r") for x in (text or "").split("\n")]
-                if text_lines[-1] == "":
-                    text_lines.pop()
-                own, packed = ready[language]
-                for which, numbers in sorted(packed.worth_trying(text or "", text_lines).items()):
-                    ordinal, rule, _, _, _, globs = own[which]
-                    if globs and not any(accepts(g, path) for g in globs):
-                        continue
-                    pattern = packed.compiled[which]
-                    for n in numbers:
-                        line = text_lines[n] if n < len(text_lines) else ""
-                        for k, m in enumerate(pattern.finditer(line)):
-                            out.append((path, language, ordinal, rule, n + 1, len(line[: m.start()].encode()) + 1, k, line, text_lines[max(0, n - 3) : n + 4]))
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in MATCH_SCHEMA.split(", ")])
-
-    return files.select("path", "language", "text").mapInPandas(matches, MATCH_SCHEMA)
+    Files are taken one by one and matches leave in portions, so no more than one of each is held at a time. Without snippets,
+    matches are places only (PLACE_SCHEMA): a long line isn't repeated for each of its matches."""
+    pack = [(r.rule_ordinal, r.rule_id, r.language, r.pattern, r.flags, list(r.file_globs or [])) for r in rules.where("detector_type = 'regex'").orderBy("rule_ordinal").collect()]
+    schema = MATCH_SCHEMA if snippets else PLACE_SCHEMA
+    ready: dict[str, tuple[list, Pack]] = {}
+
+    def found(path: str, language: str, text: str) -> Iterator[tuple]:
+        if language not in ready:
+            own = [r for r in pack if r[2] in (language, "any")]
+            ready[language] = own, Pack([(p, f) for _, _, _, p, f, _ in own])
+        text_lines = [x.removesuffix("\r") for x in text.split("\n")]
+        if text_lines[-1] == "":
+            text_lines.pop()
+        own, packed = ready[language]
+        for which, numbers in sorted(packed.worth_trying(text, text_lines).items()):
+            ordinal, rule, _, _, _, globs = own[which]
+            if globs and not any(accepts(g, path) for g in globs):
+                continue
+            pattern = packed.compiled[which]
+            for n in numbers:
+                line = text_lines[n] if n < len(text_lines) else ""
+                at, column = 0, 1  # bytes are counted on from the match before
+                for k, m in enumerate(pattern.finditer(line)):
+                    column += m.start() - at if line.isascii() else len(line[at : m.start()].encode())
+                    at = m.start()
+                    place = (path, language, ordinal, rule, n + 1, column, k)
+                    yield (*place, line, text_lines[max(0, n - 3) : n + 4]) if snippets else place
+
+    def matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = ([x.as_py() for x in file] for batch in batches for file in zip(*batch.columns, strict=True))
+        yield from portions((row for path, language, text in files for row in found(path, language, text or "")), schema)
+
+    return files.select("path", "language", "text").mapInArrow(matches, schema)
 
 
 def accepts(glob: str, path: str) -> bool:

@@ -80,6 +80,26 @@ def test_packs_leave_no_match_out(spark):
     assert got == want
 
 
+def test_matches_leave_in_portions_and_without_lines_where_none_are_asked_for(spark):
+    taken = []
+
+    def rows():
+        for k in range(3000):
+            taken.append(k)
+            yield "f", "go", 0, "R", 1, k + 1, k, "x" * 10_000, ["x" * 10_000]
+
+    first = next(detect.portions(rows(), detect.MATCH_SCHEMA))
+    assert len(taken) == first.num_rows == detect.PORTION_CHARACTERS // 20_000
+    assert sum(x.num_rows for x in detect.portions(rows(), detect.MATCH_SCHEMA)) == 3000
+    pack = [tuple({"rule_ordinal": 0, "rule_id": "R", "language": "any", "detector_type": "regex", "pattern": "a|$", "flags": "", "file_globs": []}.get(x.name) for x in RULE_SCHEMA.fields)]
+    files = spark.createDataFrame([("f", "go", "éa\n" + "a é" * 3000), ("g", "go", None), ("h", "go", "")], "path string, language string, text string")
+    whole, places = (detect.detect_pack(files, spark.createDataFrame(pack, RULE_SCHEMA), snippets=s) for s in (True, False))
+    assert ", ".join(f"{n} {t}" for n, t in places.dtypes) == detect.PLACE_SCHEMA
+    got = sorted(tuple(r) for r in places.collect())
+    assert got == sorted(tuple(r) for r in whole.select(*places.columns).collect()) and len(got) == 3003
+    assert got[-1][5] == 12_001  # bytes, not characters
+
+
 def test_few_rules_of_a_large_pack_are_tried():
     rules = [(rf"\b{s}[a-z]{{2,}}\b|\b[a-z]{{3,}}{s}\b", "i") for s in bindings.SYLLABLES]
     assert len(rules) == 700
