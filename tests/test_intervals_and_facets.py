@@ -47,6 +47,37 @@ def test_violations_are_counted_without_pairs(spark):
     assert {r.n for r in gate.violation_counts(hot, wide).collect()} == {1000}
 
 
+def test_recall_without_pairs(spark):
+    rng = random.Random(9)
+    severities, safeties = ["info", "High", "medium", None, *(f"s{n}" for n in range(9))], ["vulnerable", "Hybrid", "quantum_safe", None, *(f"q{n}" for n in range(9))]
+    found = [(f"F{rng.randrange(3)}", rng.choice(["RSA", "md-5", "DES-EDE"]), rng.choice(["PY_A", "PY_B", "GO_A", ""]), rng.choice([None, *range(0, 120, 3)]), rng.choice(severities), rng.choice(safeties)) for _ in range(150)]
+    instances = []
+    for n in range(250):
+        labels = rng.choice([["rsa"], ["MD5", "m.d.5"], ["3DES", "RSA"], []])
+        instances.append((f"i{n}", f"f{rng.randrange(4)}", rng.choice([None, rng.randint(-2, 125)]), labels, rng.choice([[], ["HIGH ", "medium"], ["s1", "s2", "s3"]]), rng.choice([[], ["vulnerable", "hybrid"], ["q5"]]), rng.choice([None, "", "PY_", "PY_A", "P%"])))
+    findings = spark.createDataFrame(found, "file_path string, algorithm string, rule_id string, line_number int, severity string, quantum_safety string")
+    asked = spark.createDataFrame(instances, "id string, file string, line int, algorithm array<string>, severity array<string>, quantum_safety array<string>, rule_id_prefix string")
+    plain = lambda x: {"DESEDE": "3DES"}.get(x.upper().replace("-", "").replace(".", ""), x.upper().replace("-", "").replace(".", ""))
+
+    def among(value, wanted):
+        return True if not wanted else None if value is None else value.lower() in [w.strip().lower() for w in wanted]
+
+    want = {}
+    for name, file, line, labels, severity, safety, prefix in instances:
+        rights = []
+        for f, algorithm, rule, at, s, q in found:
+            if f.lower() == file and plain(algorithm) in map(plain, labels) and rule.startswith(prefix or "") and (line is None or at is not None and abs(at - line) <= 2):
+                a, b = among(s, severity), among(q, safety)
+                rights.append(False if a is False or b is False else None if a is None or b is None else True)
+        want[name] = "matched" if True in rights else "mismatched" if False in rights else "missed"
+    assert {r.id: r.outcome for r in gate.recall(asked, findings).collect()} == want
+    assert set(want.values()) == {"matched", "mismatched", "missed"}
+    # a thousand findings that one line has are one row to look at, in the plan's widest join too
+    crowd = findings.limit(1).crossJoin(spark.range(1000)).drop("id").withColumns({"file_path": F.lit("f"), "line_number": F.lit(5), "algorithm": F.lit("RSA")})
+    ask = spark.createDataFrame([("i", "f", 5, ["RSA"], [], [], None)], asked.schema)
+    assert gate._met(ask, crowd).count() == 1
+
+
 def test_facets_under_the_filters_of_the_others(spark):
     rng = random.Random(7)
     rows = [(rng.choice(["a", "b", "c", None]), rng.choice(["x", "y", None]), rng.randrange(4)) for _ in range(200)]
