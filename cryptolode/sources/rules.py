@@ -5,7 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.regex_dialect import to_java, to_python
@@ -76,12 +76,19 @@ def languages(rules: DataFrame) -> DataFrame:
 
 def self_test(rules: DataFrame) -> DataFrame:
     """Examples that a rule gets wrong: rule_id, example, expected."""
-    examples = F.array_union(F.transform("examples_match", lambda x: F.struct(x.alias("example"), F.lit(True).alias("expected"))), F.transform("examples_no_match", lambda x: F.struct(x.alias("example"), F.lit(False).alias("expected"))))
-    each = rules.where("detector_type = 'regex'").select("rule_id", "pattern", "flags", F.explode(examples).alias("e")).select("rule_id", "pattern", "flags", "e.*")
+
+    def examples(column: str, expected: bool) -> Column:
+        return F.transform(F.array_distinct(column), lambda x: F.struct(x.alias("example"), F.lit(expected).alias("expected")))
+
+    # each list by itself: a union of structs would compare all with all
+    both = F.concat(examples("examples_match", True), examples("examples_no_match", False))
+    each = rules.where("detector_type = 'regex'").select("rule_id", "pattern", "flags", F.explode(both).alias("e")).select("rule_id", "pattern", "flags", "e.*")
+    each = each.repartition("rule_id", "example")  # a rule may have any number
 
     @F.pandas_udf("boolean")
     def found(pattern: pd.Series, flags: pd.Series, example: pd.Series) -> pd.Series:
-        return pd.Series([bool(to_python(p, f).search(x)) for p, f, x in zip(pattern, flags, example, strict=True)])
+        compiled = {k: to_python(*k) for k in set(zip(pattern, flags, strict=True))}
+        return pd.Series([bool(compiled[p, f].search(x)) for p, f, x in zip(pattern, flags, example, strict=True)])
 
     return each.where(found("pattern", "flags", "example") != F.col("expected")).select("rule_id", "example", "expected")
 

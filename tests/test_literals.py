@@ -116,3 +116,17 @@ def test_positions_refuse_patterns_that_can_match_nothing(spark):
     for pattern in (r"\b(?:md)?", "x*", "a|b?"):
         with pytest.raises(ValueError):
             detect.match_columns(F.lit("ab md md5 x"), pattern)
+
+
+def test_a_rule_may_have_many_examples(spark):
+    import time
+
+    from cryptolode.sources import rules
+
+    n = 60_000
+    pack = spark.sql(f"SELECT 'R' AS rule_id, 'x[0-9]*7$' AS pattern, '' AS flags, 'regex' AS detector_type, transform(sequence(1, {n}), k -> concat('x', k)) AS examples_match, array('x7', 'x7', 'y', 'x1') AS examples_no_match")
+    began = time.time()
+    wrong = [(r.example, r.expected) for r in rules.self_test(pack).collect()]
+    assert time.time() - began < 60  # comparing all with all takes minutes
+    assert sorted(x for x, e in wrong if not e) == ["x7"]
+    assert {x for x, e in wrong if e} == {f"x{k}" for k in range(1, n + 1) if k % 10 != 7} and len(wrong) == n * 9 // 10 + 1
