@@ -106,10 +106,9 @@ def report_lines(findings: DataFrame) -> DataFrame:
 
 
 def _placed(rows: DataFrame, part: Column, line: Column) -> DataFrame:
-    """Findings as lines of a part. Rows that are alike are counted first, so that many of them don't stay together."""
+    """Findings as lines of a part, where they are. Any number tells apart rows that are alike, so that a sort can part them."""
     keys = [F.coalesce(F.col(c), F.lit(0) if c == "line_number" else F.lit("")).alias(c) for c in PLACE[1:-1]]
-    like = rows.select(part.alias("part"), *keys, line.alias("line")).groupBy(*PLACE[:-1], "line").agg(F.count("*").alias("n"))
-    return like.select(*PLACE[:-1], F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("nth"), "line")
+    return rows.select(part.alias("part"), *keys, F.monotonically_increasing_id().alias("nth"), line.alias("line"))
 
 
 def _between(rows: DataFrame, part: Column, line: Column) -> DataFrame:
@@ -122,11 +121,16 @@ def _fixed(spark: SparkSession, part: int, line: str) -> DataFrame:
 
 
 def _elements(rows: DataFrame, part: int, element: Column) -> DataFrame:
-    """Findings as the elements of a JSON array: all but the first have a comma before them."""
-    placed = _placed(rows, F.lit(part), element)
-    place = F.struct(*PLACE, "line")
+    """Findings as the elements of a JSON array: all but the first have a comma before them. Which is first, and how many are
+    like it, is known by its place and line; those stand before all others of its place."""
+    placed, place = _placed(rows, F.lit(part), element), F.struct(*PLACE[:-1])
     first = placed.agg(F.min(place)).scalar()
-    return placed.withColumn("line", F.concat(F.when(place == first, F.lit("")).otherwise(","), "line"))
+    like = placed.where(place == first).groupBy(*PLACE[:-1], "line").agg(F.count("*").alias("n"))
+    least = like.agg(F.min(F.struct("line", *PLACE[:-1], "n")).alias("least")).where("least IS NOT NULL")
+    begun = least.select("least.*", F.explode(F.sequence(F.lit(1).cast("long"), "least.n")).alias("k"))
+    begun = begun.select(*PLACE[:-1], (F.col("k") - F.col("n") - 1).alias("nth"), F.concat(F.when(F.col("k") == 1, F.lit("")).otherwise(","), "line").alias("line"))
+    rest = placed.where(~((place == first) & (F.col("line") == least.select("least.line").scalar())))
+    return begun.unionByName(rest.withColumn("line", F.concat(F.lit(","), "line")))
 
 
 def _sections(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
