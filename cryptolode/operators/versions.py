@@ -85,46 +85,52 @@ def snapshot_changes(before: DataFrame, after: DataFrame, threshold: float = THR
     return out
 
 
-def longest_run(values: list[int]) -> list[int]:
+def longest_run(values: np.ndarray | list[int]) -> np.ndarray:
     """Places of a longest ascending run of different numbers, by the piles of patience."""
-    tops, piles, before = [], [], []
-    for i, v in enumerate(values):
+    values = np.asarray(values, np.int64)
+    tops, piles, before = [], np.zeros(len(values), np.int64), np.full(len(values), -1, np.int64)
+    for i in range(len(values)):
+        v = values[i]
         pile = bisect.bisect_left(tops, v)
-        before.append(piles[pile - 1] if pile else -1)
+        if pile:
+            before[i] = piles[pile - 1]
         if pile == len(tops):
             tops.append(v)
-            piles.append(i)
         else:
-            tops[pile], piles[pile] = v, i
-    out, i = [], piles[-1] if piles else -1
-    while i >= 0:
-        out.append(i)
+            tops[pile] = v
+        piles[pile] = i
+    out, i = np.zeros(len(tops), np.int64), piles[len(tops) - 1] if tops else -1
+    for k in range(len(tops) - 1, -1, -1):
+        out[k] = i
         i = before[i]
-    return out[::-1]
+    return out
 
 
 def matched(old: np.ndarray, new: np.ndarray) -> np.ndarray:
-    """For each line of new the line of old (from 0) that it was, or -1."""
+    """For each line of new the line of old (from 0) that it was, or -1. Arrays only: a file may have millions of lines."""
     out = np.full(len(new), -1, np.int64)
-    sides = [np.unique(x, return_index=True, return_counts=True) for x in (old, new)]
-    once = [dict(zip(v[c == 1].tolist(), i[c == 1].tolist(), strict=True)) for v, i, c in sides]
-    anchors = sorted((place, once[0][line]) for line, place in once[1].items() if line in once[0])
-    kept = [anchors[i] for i in longest_run([a for _, a in anchors])]
-    for n, o in kept:
-        out[n] = o
+    (old_once, old_at), (new_once, new_at) = ((v[c == 1], i[c == 1]) for v, i, c in (np.unique(x, return_index=True, return_counts=True) for x in (old, new)))
+    _, o, n = np.intersect1d(old_once, new_once, assume_unique=True, return_indices=True)
+    order = np.argsort(new_at[n])
+    places, was = new_at[n][order], old_at[o][order]
+    run = longest_run(was)
+    kept_new, kept_old = places[run], was[run]
+    out[kept_new] = kept_old
     # from each anchor, and from either end, as far as lines agree and nothing else is matched
-    for i, (n, o) in enumerate([(-1, -1), *kept]):
-        stop = kept[i] if i < len(kept) else (len(new), len(old))
-        n, o = n + 1, o + 1
-        while n < stop[0] and o < stop[1] and new[n] == old[o]:
+    from_new, from_old = (np.concatenate([[-1], x]) for x in (kept_new, kept_old))
+    stop_new, stop_old = (np.concatenate([x, [len(y)]]) for x, y in ((kept_new, new), (kept_old, old)))
+    for i in np.flatnonzero((from_new + 1 < stop_new) & (from_old + 1 < stop_old)).tolist():
+        n, o = int(from_new[i]) + 1, int(from_old[i]) + 1
+        while n < stop_new[i] and o < stop_old[i] and new[n] == old[o]:
             out[n] = o
             n, o = n + 1, o + 1
     done = np.flatnonzero(out >= 0)
-    for n, o in [*kept, (len(new), len(old))]:
-        at = np.searchsorted(done, n) - 1
-        stop = (done[at], out[done[at]]) if at >= 0 else (-1, -1)
-        n, o = n - 1, o - 1
-        while n > stop[0] and o > stop[1] and new[n] == old[o]:
+    at = np.searchsorted(done, stop_new) - 1
+    last_new = np.where(at >= 0, done[at] if len(done) else -1, -1)
+    last_old = np.where(at >= 0, out[last_new] if len(out) else -1, -1)
+    for i in np.flatnonzero((stop_new - 1 > last_new) & (stop_old - 1 > last_old)).tolist():
+        n, o = int(stop_new[i]) - 1, int(stop_old[i]) - 1
+        while n > last_new[i] and o > last_old[i] and new[n] == old[o]:
             out[n] = o
             n, o = n - 1, o - 1
     return out
@@ -142,8 +148,9 @@ def pointers(versions: DataFrame) -> DataFrame:
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, version, lines, before, old_lines in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                new, old = (np.array(x or [], np.int64) for x in (lines, old_lines))
+            for path, version, lines, before, old_lines in zip(*batch.columns, strict=True):
+                path, version, before = path.as_py(), version.as_py(), before.as_py()
+                new, old = (x.values.to_numpy() if x.is_valid else np.zeros(0, np.int64) for x in (lines, old_lines))
                 was = matched(old, new)
                 none = was < 0
                 columns = [pa.array([path] * len(new), pa.string()), pa.array(np.full(len(new), version)), pa.array(np.arange(1, len(new) + 1, dtype=np.int32))]

@@ -107,3 +107,15 @@ def test_snapshots(spark):
     df = [spark.createDataFrame(x, "path string, text string") for x in (before, after)]
     got = {(r.path, r.state, r.source) for r in versions.snapshot_changes(*df).collect()}
     assert got == {("edit", "modified", None), ("new", "renamed", "old"), ("lost", "removed", None), ("fresh", "new", None)}
+
+
+def test_lines_are_matched_in_arrays():
+    import tracemalloc
+
+    old = np.arange(200_000) * 7
+    new = np.delete(old, np.arange(0, 200_000, 3))
+    tracemalloc.start()
+    was = versions.matched(old, new)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (old[was] == new).all() and peak < 200 * len(old)  # bytes a line
