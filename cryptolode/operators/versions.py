@@ -1,9 +1,11 @@
 """What became of files and lines between versions: renamed files by set similarity, and who last changed a line.
 
-Renames. A file is the set of its lines (white space at their ends and blank lines aside). New files are joined with removed
-ones whose sets are similar, exactly, at a threshold: two sets of which at least a share t is common also share a line among
-the n - ceil(t * n) + 1 rarest of each, so only those are joined, and what meets is verified. Equal sets are one before that,
-so a thousand copies meet as one.
+Renames. A file is the set of its lines (white space at their ends and blank lines aside). New files meet removed ones whose
+sets are similar, exactly, at a threshold. Equal sets are one before that, so a thousand copies meet as one. Sets are dealt
+into blocks of about BLOCK lines by size, and only blocks of sizes that can be similar are compared, two blocks in a task: what
+moves between tasks is sets, never pairs, and each task gives one row per new set, its best. Within a task, two sets of which
+at least a share t is common also share a line among the n - ceil(t * n) + 1 rarest of each; at the first such line, what is
+left of both must suffice; then the lines' bits, folded, must agree enough; what is left is verified line by line.
 
 Blame. Each version of a file is compared with the one before by patience: lines that both have once are anchors, the longest
 run of anchors that keeps their order stays, and equal lines next to matched ones are matched too. Matches are pointers from a
@@ -17,6 +19,8 @@ in the version before; a null text has no lines; a path's versions are told apar
 from __future__ import annotations
 
 import bisect
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +34,8 @@ from .graph import stored
 
 #: Two files whose sets of lines are less alike are not the same file.
 THRESHOLD = 0.5
+#: Lines, about, of a block of sets, two of which a task compares; pairs that it looks at at once.
+BLOCK, PAIRS = 6_000_000, 1_000_000
 
 
 def line_set(text: Column) -> Column:
@@ -38,30 +44,135 @@ def line_set(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(kept, lambda x: F.xxhash64(x))))
 
 
-def renamed(removed: DataFrame, added: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """path (of added), source (of removed: the most similar) and similarity (at least the threshold), from path and text."""
+def size_class(n: Column) -> Column:
+    """Two classes for each doubling of a set's size."""
+    return F.floor(2 * F.log2(n)).cast("int")
+
+
+def owned(rows: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The sets' lines in one array, and how many each set has."""
+    flat = rows.combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows
+    return flat.flatten().to_numpy(zero_copy_only=False), flat.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+class Sets:
+    """One side's sets in a task: their lines' numbers, the rarest first in each set, where each set starts and its size."""
+
+    def __init__(self, numbers: np.ndarray, sizes: np.ndarray) -> None:
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        self.lines = numbers[np.lexsort([numbers, owner])]
+        self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
+        self.owner = owner
+        self.place = np.arange(len(numbers)) - self.starts[owner]
+
+    def first(self, threshold: float) -> np.ndarray:
+        """Which lines (of all sets) are among those of which similar sets share one."""
+        n = self.sizes[self.owner]
+        return np.flatnonzero(self.place < n - np.ceil(n * threshold - 1e-9) + 1)
+
+    def folded(self, bits: int) -> np.ndarray:
+        """Each set's lines as a row of bits, several lines to a bit."""
+        out = np.zeros((len(self.sizes), bits // 8), np.uint8)
+        at = self.lines % bits
+        np.bitwise_or.at(out, (self.owner, at >> 3), np.uint8(1) << (at & 7).astype(np.uint8))
+        return out.view(np.uint64)
+
+
+def most_similar(old: tuple[np.ndarray, np.ndarray], new: tuple[np.ndarray, np.ndarray], rank: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each new set the old one most similar (of equal ones that of the lowest rank; -1 if none reaches the threshold), and
+    the similarity. Sets are given as by `owned`."""
+    best, similarity = np.full(len(new[1]), -1, np.int64), np.zeros(len(new[1]))
+    # lines are numbered by how many pairs meet in them
+    values, number = np.unique(np.concatenate([new[0], old[0]]), return_inverse=True)
+    counts = [np.bincount(x, minlength=len(values)) for x in (number[: len(new[0])], number[len(new[0]) :])]
+    order = np.empty(len(values), np.int64)
+    order[np.argsort(counts[0] * counts[1], kind="stable")] = np.arange(len(values))
+    number = order[number]
+    x, y = Sets(number[: len(new[0])], new[1]), Sets(number[len(new[0]) :], old[1])
+    bits = 1 << max(8, int(4 * max(x.sizes.max(), y.sizes.max()) - 1).bit_length())
+    bits_x, bits_y = x.folded(bits), y.folded(bits)
+    likely = lambda common, m, n: common / (m + n - common) >= threshold
+    at_y = y.first(threshold)
+    at_y = at_y[np.argsort(y.lines[at_y], kind="stable")]
+    begin = np.searchsorted(y.lines[at_y], np.arange(len(values) + 1))
+    at_x = x.first(threshold)
+    meets = begin[x.lines[at_x] + 1] - begin[x.lines[at_x]]
+    at_x, meets = at_x[meets > 0], meets[meets > 0]
+    marked = np.zeros(len(values), bool)
+    # portions of new sets, whole ones, so that a pair is met in one of them only
+    total = np.concatenate([[0], np.cumsum(meets)])
+    ends = np.searchsorted(x.owner[at_x], np.arange(len(x.sizes) + 1))
+    low = 0
+    while low < len(x.sizes):
+        high = max(low + 1, int(np.searchsorted(total[ends], total[ends[low]] + PAIRS, side="right")) - 1)
+        pairs = []
+        a, last = int(ends[low]), int(ends[high])
+        while a < last:
+            b = min(last, max(a + 1, int(np.searchsorted(total, total[a] + PAIRS, side="right")) - 1))
+            which = np.repeat(np.arange(a, b), meets[a:b])
+            left = at_x[which]
+            right = at_y[begin[x.lines[left]] + np.arange(len(which)) - (total[which] - total[a])]
+            i, j = x.owner[left], y.owner[right]
+            m, n = x.sizes[i], y.sizes[j]
+            fits = likely(1 + np.minimum(m - 1 - x.place[left], n - 1 - y.place[right]), m, n)
+            pairs.append(np.unique(i[fits] * len(y.sizes) + j[fits]))
+            a = b
+        low = high
+        i, j = np.divmod(np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64), len(y.sizes))
+        kept = []
+        step = max(1, 8 * PAIRS // (bits // 64))
+        for k in range(0, len(i), step):
+            p, q = bits_x[i[k : k + step]], bits_y[j[k : k + step]]
+            m, n = x.sizes[i[k : k + step]], y.sizes[j[k : k + step]]
+            apart = [np.bitwise_count(u & ~v).sum(axis=1, dtype=np.int64) for u, v in ((p, q), (q, p))]
+            kept.append(likely(np.minimum(m - apart[0], n - apart[1]), m, n))
+        kept = np.concatenate(kept) if kept else np.zeros(0, bool)
+        i, j = i[kept], j[kept]
+        bounds = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1], [True]])) if len(i) else np.zeros(1, np.int64)
+        for a, b in itertools.pairwise(bounds):
+            own, theirs = int(i[a]), j[a:b]
+            lines = x.lines[x.starts[own] : x.starts[own] + x.sizes[own]]
+            marked[lines] = True
+            common = np.array([np.count_nonzero(marked[y.lines[y.starts[o] : y.starts[o] + y.sizes[o]]]) for o in theirs])
+            marked[lines] = False
+            alike = common / (x.sizes[own] + y.sizes[theirs] - common)
+            k = np.lexsort([rank[theirs], -alike])[0]
+            if alike[k] >= threshold:
+                best[own], similarity[own] = theirs[k], alike[k]
+    return best, similarity
+
+
+def renamed(removed: DataFrame, added: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """path (of added), source (of removed: the most similar) and similarity (at least the threshold), from path and text.
+    block: lines, about, of a side of a task; it changes no result."""
     kinds = [df.select("path", line_set(F.col("text")).alias("set")).where(F.size("set") > 0) for df in (removed, added)]
     # a set's number is its hash, so equal sets are one, and their paths are joined again at the end
     old, new = (stored(k.withColumn("id", F.xxhash64("set")), "line-sets") for k in kinds)
-    sets = [k.groupBy("id").agg(F.first("set").alias("set"), F.min("path").alias("path")) for k in (old, new)]
-    both = sets[0].select("id", "set", F.lit("old").alias("side")).unionByName(sets[1].select("id", "set", F.lit("new").alias("side")))
-    both = stored(both, "line-sets")
-    each = both.select("id", "side", F.explode("set").alias("line"))
-    rarity = each.groupBy("line").agg(F.count("*").alias("n"))
-    ordered = each.join(rarity, "line").groupBy("id", "side").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("lines"))
-    n = F.size("lines")
-    first = ordered.select("id", "side", n.alias("n"), F.explode(F.slice("lines", F.lit(1), (n - F.ceil(n * threshold) + 1).cast("int"))).alias("l")).select("id", "side", "n", "l.line")
-    left, right = (first.where(F.col("side") == side).select("line", F.col("id").alias(side), F.col("n").alias(f"n_{side}")) for side in ("old", "new"))
-    fits = (F.col("n_old") >= threshold * F.col("n_new")) & (F.col("n_new") >= threshold * F.col("n_old"))
-    pairs = left.join(right, "line").where(fits).select("old", "new").distinct()
-    for side in ("old", "new"):
-        own = both.where(F.col("side") == side).select(F.col("id").alias(side), F.col("set").alias(f"set_{side}"))
-        pairs = pairs.join(own, side)
-    common = F.size(F.array_intersect("set_old", "set_new"))
-    similarity = common / (F.size("set_old") + F.size("set_new") - common)
-    close = pairs.select("old", "new", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
-    named = close.join(sets[0].select(F.col("id").alias("old"), F.col("path").alias("source")), "old")
-    best = named.groupBy("new").agg(F.min(F.struct((-F.col("similarity")).alias("distance"), "source")).alias("best"))
+    sets = [stored(k.groupBy("id").agg(F.first("set").alias("set"), F.min("path").alias("path")).withColumn("class", size_class(F.size("set"))), "line-sets") for k in (old, new)]
+    # a few dozen classes, whatever the input
+    blocks = [stored(k.groupBy("class").agg(F.ceil(F.sum(F.size("set")) / block).cast("int").alias("blocks")), "classes") for k in sets]
+    far = 2 * math.log2(1 / threshold) + 1
+    sides = []
+    for side, other, k, own, others in (("old", "new", sets[0], *blocks), ("new", "old", sets[1], *blocks[::-1])):
+        dealt = k.join(F.broadcast(own), "class").withColumn("block", F.pmod("id", "blocks").cast("int")).drop("blocks")
+        dealt = dealt.withColumnsRenamed({"class": f"{side}_class", "block": f"{side}_block"})
+        met = others.select(F.col("class").alias(f"{other}_class"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(f"{other}_block"))
+        near = F.abs(F.col("old_class") - F.col("new_class")) < far
+        sides.append(dealt.join(F.broadcast(met), near).select("old_class", "old_block", "new_class", "new_block", "id", "set", "path").groupBy("old_class", "old_block", "new_class", "new_block"))
+
+    def compared(before: pa.Table, after: pa.Table) -> pa.Table:
+        names = ["new", "distance", "source"]
+        if not before.num_rows or not after.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.string())], names=names)
+        paths = before.column("path").to_pylist()
+        rank = np.empty(len(paths), np.int64)
+        rank[sorted(range(len(paths)), key=lambda i: paths[i].encode())] = np.arange(len(paths))
+        best, similarity = most_similar(owned(before.column("set")), owned(after.column("set")), rank, threshold)
+        found = np.flatnonzero(best >= 0)
+        return pa.table([after.column("id").take(pa.array(found)), pa.array(-similarity[found]), pa.array([paths[i] for i in best[found]], pa.string())], names=names)
+
+    close = sides[0].cogroup(sides[1]).applyInArrow(compared, "new long, distance double, source string")
+    best = close.groupBy("new").agg(F.min(F.struct("distance", "source")).alias("best"))
     return new.select("path", F.col("id").alias("new")).join(best, "new").select("path", "best.source", (-F.col("best.distance")).alias("similarity"))
 
 

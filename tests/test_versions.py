@@ -100,6 +100,25 @@ def test_renames_against_all_pairs(spark, threshold):
     assert {r.path: (r.source, round(r.similarity, 9)) for r in versions.renamed(*df, threshold).collect()} == want and want
 
 
+def test_renames_move_no_pairs_of_sets(spark, monkeypatch):
+    """Many files that share some of their lines: in small blocks and portions as in one, and no plan joins sets to pairs."""
+    rng = random.Random(6)
+    removed = [(f"a/{i}", "\n".join(str(rng.randrange(40)) for _ in range(rng.randint(1, 40)))) for i in range(120)]
+    added = [(f"b/{i}", "\n".join(str(rng.randrange(40)) for _ in range(rng.randint(1, 40)))) for i in range(120)]
+    sets = lambda rows: {p: set(t.split("\n")) for p, t in rows}
+    want = {}
+    for p, own in sets(added).items():
+        alike, q = min((-len(own & s) / len(own | s), q) for q, s in sets(removed).items())
+        if alike <= -0.5:
+            want[p] = (q, round(-alike, 9))
+    df = [spark.createDataFrame(x, "path string, text string") for x in (removed, added)]
+    for block, pairs in ((6_000_000, 1_000_000), (150, 7)):
+        monkeypatch.setattr(versions, "PAIRS", pairs)
+        found = versions.renamed(*df, block=block)
+        assert {r.path: (r.source, round(r.similarity, 9)) for r in found.collect()} == want and len(want) > 20
+        assert "array_intersect" not in found._jdf.queryExecution().toString()
+
+
 def test_snapshots(spark):
     text = "\n".join(f"line {i}" for i in range(10))
     before = [("keep", text), ("edit", text + "!"), ("old", text + "\nmine"), ("lost", "nothing like it")]
