@@ -3,13 +3,13 @@
 1. Every text becomes the set of its 5-word shingles and a signature of TREES x DEPTH MinHash values; texts with the same
    set are one node from here on.
 2. A tree of the forest is the nodes sorted by its part of their signatures: a sorted prefix trie, whose subtrees are runs
-   of rows. The prefix that must match starts at full depth and is shortened, level by level, until the target recall is
-   reached on a sample: SAMPLE nodes, chosen by a hash, with partners found by prefixes so short that none is missed and
-   verified exactly. A pair of similarity s is found at a depth with the chance 1 - (1 - s**depth)**TREES. The recall must
-   reach the target in every band of similarity in which the sample has a pair, not on average, and each sampled node
-   has PARTNERS partners at most, so a large group of very similar texts doesn't stop the forest early for all others.
-   A corpus whose near copies are close stops at long prefixes and compares little; one with pairs near the threshold
-   goes down to the prefixes that find those. The runs of a prefix hold those of all longer ones.
+   of rows. A pair of similarity s is found by prefixes of a depth with the chance 1 - (1 - s**depth)**TREES. The prefix
+   that must match starts at full depth and is shortened, level by level, until that chance reaches the target recall for
+   pairs at the threshold itself, the least similar that count; it is higher for all others. No corpus, and no sample of
+   one, has a part in this. The runs of a prefix hold those of all longer ones.
+   A sample (SAMPLE nodes, chosen by a hash, with PARTNERS partners each at most, verified exactly) serves a report alone,
+   which is made where it is asked for: which bands of similarity a corpus has pairs in, and how long prefixes could be
+   for those.
 3. Within a run, signatures are compared; nodes that seem at least LIKELY similar are linked to the first of their kind
    (never pair by pair), and the links' connected components are the candidate groups. No pair of a run is left out: a
    long run is compared in blocks, without what is in one component already.
@@ -446,10 +446,7 @@ class JaccardJoin:
             F.count("*").alias("copies"), F.min(lead).alias("lead"), F.min("shingles").alias("shingles"), F.min("signature").alias("signature"), F.min("nibbles").alias("nibbles")
         )
         self.nodes = materialize(grouped.withColumn("nid", F.monotonically_increasing_id()), "nodes")
-        #: The least similarity of the sample's pairs in each band of similarity, and the depth at which the forest stops.
-        self.bands = self._bands()
-        self.depth = stop_depth(self.bands)
-        groups = connected(forest_links(self.nodes, self.depth))
+        groups = connected(forest_links(self.nodes))
         checked = materialize(self._verified(groups), "verified")
         linked = checked.groupBy("nid").agg(F.sum("links").alias("links"))
         # a group of one block is settled; the parts of the others are put together
@@ -470,7 +467,13 @@ class JaccardJoin:
     def _texts(self) -> DataFrame:
         return self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), digest("text").alias("digest"))
 
-    def _bands(self) -> list[float]:
+    @functools.cached_property
+    def depth(self) -> int:
+        """The longest prefix that finds pairs like the sample's; a report on the corpus, which decides nothing."""
+        return stop_depth(self.bands)
+
+    @functools.cached_property
+    def bands(self) -> list[float]:
         """Of each band of similarity in which the sample has pairs, the least similarity of one."""
         chosen = self.nodes.select("nid", "signature").orderBy(F.xxhash64("node")).limit(SAMPLE)
         sample = [(r.nid, bytes(r.signature)) for r in chosen.collect()]
@@ -490,8 +493,8 @@ class JaccardJoin:
         return sorted(r.least for r in bands.collect())
 
     def report_recall(self) -> dict[float, float]:
-        """The recall in each band of similarity at the depth at which the forest stopped."""
-        return {s: recall(self.depth, s) for s in self.bands}
+        """The recall in each band of similarity at the depth at which the forest stops."""
+        return {s: recall(stop_depth(), s) for s in self.bands}
 
     def _verified(self, groups: DataFrame) -> DataFrame:
         members = groups.withColumnRenamed("id", "nid").join(self.nodes.select("nid", "copies", "shingles", "lead"), "nid")

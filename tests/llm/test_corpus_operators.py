@@ -426,6 +426,27 @@ def test_the_forest_adapts_to_the_corpus(spark, changes, deepest):
     assert all(r >= minhash_join.RECALL for r in joined.report_recall().values()) and joined.bands
 
 
+def test_no_sample_decides_what_is_found(spark, monkeypatch):
+    """A pair at the threshold that no tree's full prefix brings together is found, though the sample doesn't show it."""
+    rng = np.random.default_rng(37)
+    trees, depth = minhash_join.TREES, minhash_join.DEPTH
+    for n in range(20):
+        left = [[f"w{n}_{k}_{x}" for x in rng.integers(0, 9999, 49)] for k in range(200)]
+        right = [[*x[:20], "other", *x[21:]] for x in left]
+        both = [minhash_join.signatures(minhash_join.shingles([" ".join(x) for x in side])).reshape(-1, trees, depth) for side in (left, right)]
+        meet = lambda d: (both[0][:, :, :d] == both[1][:, :, :d]).all(axis=2).any(axis=1)
+        far = np.flatnonzero(~meet(depth) & meet(minhash_join.stop_depth()))
+        if len(far):
+            break
+    base = [prose(rng, 400).split() for _ in range(20)]
+    rows = [(i, " ".join(w), "en", "a", 0) for i, w in enumerate(base)] + [(50 + i, " ".join([*w[:-1], "end"]), "en", "a", 0) for i, w in enumerate(base)]
+    rows += [(100, " ".join(left[far[0]]), "en", "a", 0), (101, " ".join(right[far[0]]), "en", "a", 0)]
+    wanted, _ = expected_classes(rows)
+    monkeypatch.setattr(minhash_join, "SAMPLE", 1)
+    got = list(map(tuple, minhash_join.join(spark.createDataFrame(rows, DOCS).repartition(3)).collect()))
+    assert (101, 100, 1) in got and sorted(got, key=str) == sorted(wanted, key=str)
+
+
 def test_contracted_links_keep_components():
     rng = np.random.default_rng(3)
     a, b = rng.integers(0, 400, 300), rng.integers(0, 400, 300)
