@@ -165,15 +165,22 @@ def blank(language: Column) -> Column:
     return ~F.col("quoted") & (text.rlike(r"^\s") | comment)
 
 
+#: Bytes of files, about, that a task cuts up; a longer file has a task of its own.
+PORTION = 250_000
+
+
 def tokens(files: DataFrame, languages: Iterable[str] = tuple(LEXERS)) -> DataFrame:
     """files (path, language, text; a path is one file) of these languages as path, language, nth, token, quoted, line (from 1) and column (in
     bytes, from 1).
 
     Files are dealt by path before they are cut up, so that no token is shuffled: the running sums take each file's tokens
-    where they are.
+    where they are. Tokens with what stands around them are a few hundred times as large as the text, so files are dealt by
+    their bytes: about PORTION to a task, whose sorts then stay in memory, however many files there are.
     """
     languages = [x for x in LEXERS if x in set(languages)]
-    own = files.where(F.col("language").isin(*languages)).select("path", "language", "text").repartition("path")
+    own = files.where(F.col("language").isin(*languages)).select("path", "language", "text")
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    own = own.repartition(size // PORTION + 1, "path")
     lexed = own.withColumn("lexer", lexer(F.col("language"), languages))
     each = lexed.select("path", "language", F.posexplode(lex(F.col("text"), F.col("lexer"))).alias("nth", "t")).select("path", "language", "nth", "t.token", "t.quoted")
     before = W.partitionBy("path").orderBy("nth").rowsBetween(W.unboundedPreceding, -1)

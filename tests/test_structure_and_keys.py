@@ -5,7 +5,7 @@ import base64
 import pytest
 from pyspark.sql import functions as F
 
-from cryptolode.operators import detect, structure
+from cryptolode.operators import detect, structure, tokens
 from cryptolode.plans import bindings
 from cryptolode.schema import RULE_SCHEMA
 from cryptolode.sources import rules, truth, x509
@@ -55,6 +55,19 @@ def test_structural_findings_supersede(spark):
     assert {(r.layer_ordinal, r.rule_id) for r in detect.supersede(flat, same).collect()} == {(0, "PY_MD5_CALL")}
 
 
+def test_files_are_dealt_by_their_bytes(spark, monkeypatch):
+    """More files go to more tasks, whole, and their tokens are the same."""
+    files = spark.createDataFrame([(f"p{i}", "python", f"x = lib.md5({i})\ny = 'z'\n") for i in range(60)], "path string, language string, text string")
+    found = []
+    for portion in (10**9, 100):
+        monkeypatch.setattr(tokens, "PORTION", portion)
+        cut = tokens.tokens(files).withColumn("part", F.spark_partition_id())
+        found.append(sorted(map(tuple, cut.drop("part").collect())))
+        assert cut.groupBy("path").agg(F.countDistinct("part").alias("n")).where("n > 1").isEmpty()
+        assert (cut.select("part").distinct().count() > 5) == (portion == 100)
+    assert found[0] == found[1] and found[0]
+
+
 def der(tag, *parts):
     body = b"".join(parts)
     size = bytes([len(body)]) if len(body) < 128 else bytes([0x80 + (len(body).bit_length() + 7) // 8]) + len(body).to_bytes((len(body).bit_length() + 7) // 8, "big")
