@@ -6,14 +6,17 @@ prefixes, so one table of windows gives the frequencies of all phrases of 1 to L
 no n-grams are made for each n.
 
 Most windows are unlike any other, and none of these matters: a phrase of LEAST occurrences has only pairs and triples of
-words of as many. A first pass counts pairs and triples in a table of 2**BITS counters by hash, which stop at LEAST, and
+words of as many. A first pass counts pairs and triples in a table of counters by hash, which stop at LEAST, and
 leaves one bit a counter. A window is cut (padded earlier) before the first word with which it has a pair or triple whose
-bit is off. Counters are shared and so never too low: no phrase of LEAST occurrences loses one. Where a corpus fills all
-counters, less is cut, and more windows are counted; the result is the same.
+bit is off. Counters are shared and so never too low: no phrase of LEAST occurrences loses one. There are more of them the
+longer the texts are, from 2**BITS up to 2**MOST_BITS. Where a corpus fills all counters, less is cut, and more windows are
+counted; the result is the same.
 
-Windows are counted per batch before they leave a task. Parts of candidates find their frequencies by joins that broadcast
-hot parts; candidates inside others are found from the longer ones' subphrases; the first of each lang are chosen within
-parts of the lang first. No task holds a lang, a document or a phrase's occurrences.
+Windows are counted per task before they leave it (WAITING of them at a time, so that memory is bounded), and small
+partitions are read several to a task: a frequent window leaves each task once, so fewer tasks send fewer rows. Parts of
+candidates find their frequencies by joins that broadcast hot parts; candidates inside others are found from the longer
+ones' subphrases; the first of each lang are chosen within parts of the lang first. No task holds a lang, a document or a
+phrase's occurrences.
 
 Defined results: null texts are empty, null langs `und` (as is the lang `und` itself); texts of any length are taken whole
 (in portions of pieces, a piece as long as need be); repeated rows count again; ties are broken by frequency and phrase; an
@@ -39,10 +42,14 @@ from .hashing import chain, mix64, word_hashes
 LONGEST = 5
 #: Occurrences that a candidate needs, and rows of a lang in the result.
 LEAST, FIRST = 100, 2000
-#: Counters of the first pass, and those of a slice, which travels and is summed as one.
-BITS, SLICE = 24, 16
+#: Counters of the first pass, at least and at most, and those of a slice, which travels and is summed as one.
+BITS, MOST_BITS, SLICE = 24, 28, 16
+#: Bytes of text for each counter: some five words, so that about sixteen words, pairs and triples share one.
+BYTES = 32
+#: Partitions that are read by one task, at most, and different windows, about, that it holds (32 bytes each, and their words).
+GATHERED, WAITING = 16, 500_000
 #: Characters of a batch, about, and pieces' ends.
-BATCH = 4_000_000
+BATCH = 2_000_000
 ENDS = ".,;:!?\n\x0b\x0c\r"
 WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
 _U = np.uint64
@@ -105,15 +112,32 @@ def portions(batch: pa.RecordBatch, most: int) -> Iterator[tuple[Pieces, np.ndar
     column = batch.column(1).cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     whole = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    data, texts = _TABLE[whole], offsets[:-1] - offsets[0]
-    cuts = np.unique(np.concatenate([texts, np.flatnonzero(data == 10) + 1, [len(data)]]))
+    texts = offsets[:-1] - offsets[0]
     low = 0
-    while low < len(data):
-        high = int(cuts[max(np.searchsorted(cuts, low + most, side="right") - 1, np.searchsorted(cuts, low, side="right"))])
-        yield Pieces(data[low:high], np.maximum(texts - low, 0) if low else texts), keys, langs
+    while low < len(whole):
+        high = portion_end(whole, texts, low, most)
+        yield Pieces(_TABLE[whole[low:high]], np.maximum(texts - low, 0) if low else texts), keys, langs
         low = high
 
 
+def portion_end(whole: np.ndarray, texts: np.ndarray, low: int, most: int) -> int:
+    """The last end of a piece within `most` bytes from low, or else the next one."""
+    high = low + most
+    if high >= len(whole):
+        return len(whole)
+    text = int(np.searchsorted(texts, high, side="right"))  # the first one that starts beyond
+    ends = np.flatnonzero(_TABLE[whole[low:high]] == 10)
+    last = max(int(texts[text - 1]), low + int(ends[-1]) + 1 if len(ends) else 0)
+    if last > low:
+        return last
+    limit = int(texts[text]) if text < len(texts) else len(whole)
+    for at in range(high, limit, most):
+        ends = np.flatnonzero(_TABLE[whole[at : min(at + most, limit)]] == 10)
+        if len(ends):
+            return at + int(ends[0]) + 1
+    return limit
+
+
 def count_runs(least: int, bits: int, most: int):
     """Each task's counters, by slices: at (which counters, where few are above zero) and n (how much, `least` at most)."""
 
@@ -144,8 +168,8 @@ def slices(table: np.ndarray, first: int = 0) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([first + i], pa.int32()), pa.array([where], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["slice", "at", "n"])
 
 
-def merged(least: int):
-    """Slices added up, one of each in a task."""
+def merged(least: int, last: bool = True):
+    """Slices added up, one of each in a task: their counters, or at last a bit for each of them (slice, bits)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -155,11 +179,26 @@ def merged(least: int):
                 at = slice(None) if row["at"] is None else np.frombuffer(row["at"], np.uint16)
                 table[at] = np.minimum(table[at].astype(np.int64) + np.frombuffer(row["n"], kind(least)), least)
         for first, table in sums.items():
-            yield from slices(table, first)
+            if last:
+                bits = np.packbits(table >= least).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([bits], pa.binary())], ["slice", "bits"])
+            else:
+                yield from slices(table, first)
 
     return of
 
 
+def bits_for(octets: int) -> int:
+    """Bits of the counters' numbers for texts of so many bytes."""
+    return min(MOST_BITS, max(BITS, (octets // BYTES).bit_length()))
+
+
+def gathered(texts: DataFrame) -> DataFrame:
+    """texts in two partitions a core, or in more, so that none is made of more than GATHERED of those that there are."""
+    parts = texts.rdd.getNumPartitions()
+    return texts.coalesce(max(1, 2 * texts.sparkSession.sparkContext.defaultParallelism, -(-parts // GATHERED)))
+
+
 def frequent(docs: DataFrame, least: int, bits: int = BITS, most: int = BATCH) -> bytes:
     """A bit for each counter: whether it has reached `least`. 2**bits of them, however large the corpus."""
     parts = 1 << bits - SLICE
@@ -168,33 +207,24 @@ def frequent(docs: DataFrame, least: int, bits: int = BITS, most: int = BATCH) -
     counted = docs.mapInArrow(count_runs(least, bits, most), schema).withColumn("some", F.spark_partition_id() % some)
     # stored, so that counting isn't done again where a task is lost later on
     counted = materialize(counted, "phrase-counters")
-    counted = counted.repartition("slice", "some").drop("some").mapInArrow(merged(least), schema)
     if some > 1:
-        counted = counted.repartition("slice").mapInArrow(merged(least), schema)
-    on = np.zeros(1 << bits, bool)
-
-    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                table = np.zeros(1 << SLICE, bool)
-                at = slice(None) if row["at"] is None else np.frombuffer(row["at"], np.uint16)
-                table[at] = np.frombuffer(row["n"], kind(least)) >= least
-                yield pa.RecordBatch.from_arrays([pa.array([row["slice"]], pa.int32()), pa.array([np.packbits(table).tobytes()], pa.binary())], ["slice", "bits"])
-
-    for row in counted.mapInArrow(reached, "slice int, bits binary").toLocalIterator():
-        on[row["slice"] << SLICE : row["slice"] + 1 << SLICE] = np.unpackbits(np.frombuffer(row["bits"], np.uint8)).astype(bool)
-    return np.packbits(on).tobytes()
+        counted = counted.repartition("slice", "some").drop("some").mapInArrow(merged(least, last=False), schema)
+    on = np.zeros(1 << bits - 3, np.uint8)
+    for row in counted.drop("some").repartition("slice").mapInArrow(merged(least), "slice int, bits binary").toLocalIterator():
+        on[row["slice"] << SLICE - 3 : row["slice"] + 1 << SLICE - 3] = np.frombuffer(row["bits"], np.uint8)
+    return on.tobytes()
 
 
 WINDOWS = f"lang string, {', '.join(f'{w} string' for w in WORDS)}, n long"
 
 
-def lead_windows(reached, bits: int, most: int):
-    """Each portion's different windows, cut where the counters allow it, with their number."""
+def lead_windows(reached, bits: int, most: int, waiting: int = WAITING):
+    """Each task's different windows, cut where the counters allow it, with their number."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = np.frombuffer(reached.value, np.uint8)
         on = lambda which: (packed[which >> 3] >> (7 - (which & 7))) & 1
+        windows = Windows(waiting)
         for batch in batches:
             for pieces, keys, langs in portions(batch, most):
                 if not len(pieces.starts):
@@ -207,33 +237,70 @@ def lead_windows(reached, bits: int, most: int):
                 for k in range(LONGEST - 2):  # a window of k + 3 words has a triple at its word k + 1
                     going = going & np.append(three[k:], np.zeros(k, bool))
                     length += going
-                yield from distinct(pieces, length, langs)
+                windows.add(pieces, length, langs)
+                if windows.full():
+                    yield from windows.leave()
+        yield from windows.leave()
 
     return of
 
 
-def distinct(pieces: Pieces, length: np.ndarray, langs: list[str]) -> Iterator[pa.RecordBatch]:
-    """The windows of these lengths, each with its number."""
-    number, words = pieces.encoded()
-    names = {x: i for i, x in enumerate(dict.fromkeys(langs))}
-    lang = np.array([names[x] for x in langs])[pieces.row]
-    for size in range(LONGEST + 1):
-        at = np.flatnonzero(length == size)
-        if not len(at):
-            continue
-        code = lang[at]
-        for k in range(size):
-            code = np.unique(code, return_inverse=True)[1] * len(words) + number[at + k]
-        _, first, counts = np.unique(code, return_index=True, return_counts=True)
-        at = at[first]
-        columns = [words.take(pa.array(number[at + k])) if k < size else pa.nulls(len(at), pa.string()) for k in range(LONGEST)]
-        yield pa.RecordBatch.from_arrays([pa.array(list(names), pa.string()).take(pa.array(lang[at])), *columns, pa.array(counts, pa.int64())], ["lang", *WORDS, "n"])
-
-
-def frequencies(docs: DataFrame, least: int = LEAST, bits: int = BITS, most: int = BATCH) -> DataFrame:
+class Windows:
+    """Different windows with their number, from any number of portions. Langs and words are numbered from 1, as they come
+    up in windows; 0 is no word."""
+
+    #: Windows that leave at once.
+    LEAVING = 100_000
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.langs: dict[str, int] = {}
+        self.words: dict[str, int] = {}
+        self.tables: list[pa.Table] = []
+
+    def add(self, pieces: Pieces, length: np.ndarray, langs: list[str]) -> None:
+        """The windows of these lengths at the words of a portion."""
+        number, words = pieces.encoded()
+        n = len(number)
+        change = np.bincount(np.arange(n) + length, minlength=n + 1)
+        inside = np.arange(1, n + 1) > np.cumsum(change)[:n]  # more windows have begun than ended
+        used = np.zeros(len(words), bool)
+        used[number[inside]] = True
+        numbers = np.zeros(len(words), np.int32)
+        numbers[used] = [self.words.setdefault(w, len(self.words) + 1) for w in words.filter(pa.array(used)).to_pylist()]
+        number = np.append(numbers[number], np.zeros(LONGEST, np.int32))
+        lang = np.array([self.langs.setdefault(x, len(self.langs) + 1) for x in langs], np.int32)[pieces.row]
+        columns = [np.where(length > k, number[k : n + k], 0) for k in range(LONGEST)]
+        self.tables.append(self.counted(pa.table([pa.array(c) for c in (lang, *columns, np.ones(n, np.int64))], names=["lang", *WORDS, "n"])))
+
+    @staticmethod
+    def counted(table: pa.Table) -> pa.Table:
+        """Equal windows put together."""
+        return table.group_by(["lang", *WORDS], use_threads=False).aggregate([("n", "sum")]).rename_columns(["lang", *WORDS, "n"])
+
+    def full(self) -> bool:
+        """Whether there are too many to hold, once those of all portions are put together."""
+        if sum(t.num_rows for t in self.tables) > self.most:
+            self.tables = [self.counted(pa.concat_tables(self.tables))]
+            return self.tables[0].num_rows > self.most // 2
+        return False
+
+    def leave(self) -> Iterator[pa.RecordBatch]:
+        """All windows, which are forgotten."""
+        if self.tables:
+            langs, words = (pa.array([None, *x], pa.string()) for x in (self.langs, self.words))
+            for batch in self.counted(pa.concat_tables(self.tables)).combine_chunks().to_batches(self.LEAVING):
+                columns = [langs.take(batch.column("lang")), *(words.take(batch.column(w)) for w in WORDS), batch.column("n")]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", *WORDS, "n"])
+        self.langs, self.words, self.tables = {}, {}, []
+
+
+def frequencies(docs: DataFrame, least: int = LEAST, bits: int | None = None, most: int = BATCH) -> DataFrame:
     """lang, phrase, size (words; 0 with phrase '' for all words of the lang) and f, of all phrases of up to LONGEST words
     that occur `least` times."""
     texts = docs.select(F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    bits = bits or bits_for(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    texts = gathered(texts)
     reached = docs.sparkSession.sparkContext.broadcast(frequent(texts, least, bits, most))
     windows = texts.mapInArrow(lead_windows(reached, bits, most), WINDOWS).groupBy("lang", *WORDS).agg(F.sum("n").alias("n"))
     windows = materialize(windows, "phrase-windows")
@@ -257,13 +324,14 @@ def joined(words: Column, start: Column, length: Column) -> Column:
     return F.array_join(F.slice(words, start, length), " ")
 
 
-def mine(docs: DataFrame, least: int = LEAST, first: int = FIRST, bits: int = BITS, most: int = BATCH) -> DataFrame:
+def mine(docs: DataFrame, least: int = LEAST, first: int = FIRST, bits: int | None = None, most: int = BATCH) -> DataFrame:
     """Each lang's first phrases: lang, rank, phrase, a, l, r, n, score.
 
     docs: lang, text. A phrase of 2 to LONGEST words that occurs a >= least times is a candidate; its score is the lowest
     floor(1000 * a * n / (l * r)) of all its cuts in two parts that occur l and r times (the first of equal ones), where n
     are all words of the lang. Candidates inside a longer one that occurs as often are left out.
-    bits, most: of the counters, and bytes of a batch; they change no result.
+    bits, most: of the counters (by default, as many as the texts' length asks for), and bytes of a batch; they change no
+    result.
     """
     known = materialize(frequencies(docs, least, bits, most), "phrases")
     words, wide = F.split("phrase", " "), "decimal(19,0)"

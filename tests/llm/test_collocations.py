@@ -2,8 +2,10 @@
 
 import collections
 import re
+import types
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +85,50 @@ def test_large_products_stay_exact(spark, monkeypatch):
 def test_empty_tables_and_texts_without_words(spark):
     assert collocations.mine(spark.createDataFrame([], DOCS)).collect() == []
     assert collocations.mine(spark.createDataFrame([(1, None, None, None, None), (2, " ", "en", "a", 1)], DOCS)).collect() == []
+
+
+def windows_of(texts, most=300, waiting=1_000_000):
+    """What one task sends of these rows (lang, text), with counters that are all on."""
+    batches = [pa.RecordBatch.from_pylist([{"lang": r[0], "text": r[1]} for r in part]) for part in (texts[::2], texts[1::2])]
+    reached = types.SimpleNamespace(value=b"\xff" * (1 << 16 - 3))
+    return [tuple(r.values()) for b in collocations.lead_windows(reached, 16, most, waiting)(iter(batches)) for r in b.to_pylist()]
+
+
+def test_a_task_sends_a_window_once():
+    """However many portions and batches it occurs in; with little room, windows leave earlier, and their sums are the same."""
+    texts = [(r[2], r[1] or "") for r in rows()]
+    wanted = collections.Counter()
+    for lang, text in texts:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lowered(text)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            wanted.update(("und" if lang is None else lang, *words[i : i + 5], *[None] * (i + 5 - len(words))) for i in range(len(words)))
+    sent = windows_of(texts)
+    assert {r[:-1]: r[-1] for r in sent} == wanted and len(sent) == len(wanted)
+    early, sums = windows_of(texts, waiting=200), collections.Counter()
+    for r in early:
+        sums[r[:-1]] += r[-1]
+    assert sums == wanted and len(early) > len(wanted)
+
+
+def test_small_partitions_are_read_together(spark):
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    for parts, gathered in ((3, 3), (tasks + 5, tasks), (collocations.GATHERED * tasks + 1, tasks + 1)):
+        assert collocations.gathered(spark.range(0, 9, 1, parts)).rdd.getNumPartitions() == gathered
+
+
+def test_counters_grow_with_the_texts():
+    sizes = [collocations.bits_for(n) for n in (0, 168_000_000, 841_000_000, 10**10, 10**13)]
+    assert sizes == [24, 24, 25, collocations.MOST_BITS, collocations.MOST_BITS]
+
+
+def test_portions_end_with_pieces():
+    """The same words with as many left to the end of their piece, however small the portions; none is longer than it has to be."""
+    texts = ["a b. c d", "", None, "one longer piece than a portion, end", "x" * 40, "no end of a piece in here", ""]
+    batch = pa.RecordBatch.from_pylist([{"lang": None, "text": t or ""} for t in texts])
+    seen = {}
+    for most in (1, 4, 10, 1000):
+        parts = [p for p, _, _ in collocations.portions(batch, most)]
+        seen[most] = [(bytes(p.data[a:b]), int(n), int(r)) for p in parts for a, b, n, r in zip(p.starts, p.ends, p.left, p.row, strict=True)]
+        if most < 1000:
+            assert all(len(p.data) <= most or not (p.data[:-1] == 10).any() for p in parts)
+    assert len({tuple(x) for x in seen.values()}) == 1 and len(seen[1]) == 19
