@@ -55,6 +55,23 @@ def test_stages(spark):
     assert {r.doc_id for r in packed.collect()} == set(wanted)
 
 
+def test_near_copies_are_found_without_a_sample(spark, monkeypatch):
+    """How long prefixes are follows from the threshold; the stage draws no sample of its input and collects no bands."""
+
+    def drawn(*_):
+        raise AssertionError("a sample was drawn")
+
+    monkeypatch.setattr(minhash_join, "probe", drawn)
+    monkeypatch.setattr(minhash_join.JaccardJoin, "bands", property(drawn), raising=False)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(300)
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    rows += [(10**6 + i, f"{r[1]} end", *r[2:]) for i, r in enumerate(rows[:40])]
+    wanted, _ = expected_classes(rows)
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, docs.select("doc_id", "text", "lang", "source", "n_chars").schema), SF)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(i for i, first, _ in wanted if i == first)
+    assert minhash_join.recall(minhash_join.stop_depth()) >= minhash_join.RECALL
+
+
 def test_run_against_brute_force(spark):
     """The whole pipeline on tables with toxic documents, and again in plain Python from the same model."""
     docs = spark.read.parquet(f"{LARGER}/documents.parquet")
