@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -134,12 +137,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def stored_for_now(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """df written to a scratch folder and read back; the folder, and shuffles that nothing needs any more, go at the end. What
+    comes of it must have been stored by then."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    drop_shuffles(spark)
+    yield spark.read.schema(df.schema).parquet(path)
+    delete(spark, path)
+    _stored.remove(path)
+    drop_shuffles(spark)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: files of a shuffle go with the last object that knows it, and else stay until then."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_stored(spark: SparkSession) -> int:
     """Delete what operators have stored on the way; the number of folders. Call it when no result is needed any more that
     hasn't been stored elsewhere: results are lazy and read those folders."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in map(spark.sparkContext._jvm.org.apache.hadoop.fs.Path, _stored):
-        path.getFileSystem(conf).delete(path, True)
+    for folder in _stored:
+        delete(spark, folder)
     n = len(_stored)
     _stored.clear()
     return n

@@ -2,10 +2,11 @@
 
 Renames. A file is the set of its lines (white space at their ends and blank lines aside). New files meet removed ones whose
 sets are similar, exactly, at a threshold. Equal sets are one before that, so a thousand copies meet as one. Sets are dealt
-into blocks of about BLOCK lines by size, and only blocks of sizes that can be similar are compared, two blocks in a task: what
-moves between tasks is sets, never pairs, and each task gives one row per new set, its best. Within a task, two sets of which
-at least a share t is common also share a line among the n - ceil(t * n) + 1 rarest of each; at the first such line, what is
-left of both must suffice; then the lines' bits, folded, must agree enough; what is left is verified line by line.
+into blocks by size and packed (different lines once, numbers of a byte or two for each set's lines), and only blocks of sizes
+that can be similar are compared, two blocks in a task: what moves between tasks is packed sets, never pairs, and each task
+gives one row per new set, its best. Pairs of blocks are taken in rounds, so that shuffles grow with the input and not with the
+number of pairs. Within a task, two sets of m and n lines that are similar have at least c = t / (1 + t) * (m + n) in common, and
+so share k lines, at least, among the m - c + k and n - c + k rarest of each; pairs that do are verified line by line.
 
 Blame. Each version of a file is compared with the one before by patience: lines that both have once are anchors, the longest
 run of anchors that keeps their order stays, and equal lines next to matched ones are matched too. Matches are pointers from a
@@ -30,158 +31,285 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..sources.files import line_array
-from .graph import stored
+from .graph import drop_shuffles, stored, stored_for_now
 
 #: Two files whose sets of lines are less alike are not the same file.
 THRESHOLD = 0.5
-#: Lines, about, of a block of sets, two of which a task compares; pairs that it looks at at once.
-BLOCK, PAIRS = 6_000_000, 1_000_000
+#: Lines, about, of a block of old sets, which a task compares with twice as many of new ones; of a block that isn't made
+#: smaller for the sake of more tasks; of a part of a block that is packed as one row; pairs that a task looks at at once.
+BLOCK, LEAST, CHUNK, PAIRS = 8_000_000, 100_000, 2_000_000, 500_000
+#: How often, about, each line is sent to tasks before what was sent is deleted.
+ROUND = 2
+#: Bits of the bitmap of paths' hashes.
+PATH_BITS = 1 << 24
 
 
 def line_set(text: Column) -> Column:
     """Different lines by a hash of 64 bits, in ascending order."""
-    kept = F.filter(F.transform(line_array(text), lambda x: F.rtrim(x)), lambda x: x != "")
-    return F.array_sort(F.array_distinct(F.transform(kept, lambda x: F.xxhash64(x))))
+    lines = F.when(F.instr(text, "\r") > 0, line_array(text)).otherwise(F.split(F.coalesce(text, F.lit("")), "\n"))
+    hashes = F.transform(lines, lambda x: F.xxhash64(F.rtrim(x)))
+    return F.sort_array(F.array_distinct(F.array_remove(hashes, F.xxhash64(F.lit("")))))
 
 
 def size_class(n: Column) -> Column:
-    """Two classes for each doubling of a set's size."""
-    return F.floor(2 * F.log2(n)).cast("int")
-
-
-def owned(rows: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The sets' lines in one array, and how many each set has."""
-    flat = rows.combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows
-    return flat.flatten().to_numpy(zero_copy_only=False), flat.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-
-
-class Sets:
-    """One side's sets in a task: their lines' numbers, the rarest first in each set, where each set starts and its size."""
-
-    def __init__(self, numbers: np.ndarray, sizes: np.ndarray) -> None:
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        self.lines = numbers[np.lexsort([numbers, owner])]
-        self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
-        self.owner = owner
-        self.place = np.arange(len(numbers)) - self.starts[owner]
-
-    def first(self, threshold: float) -> np.ndarray:
-        """Which lines (of all sets) are among those of which similar sets share one."""
-        n = self.sizes[self.owner]
-        return np.flatnonzero(self.place < n - np.ceil(n * threshold - 1e-9) + 1)
-
-    def folded(self, bits: int) -> np.ndarray:
-        """Each set's lines as a row of bits, several lines to a bit."""
-        out = np.zeros((len(self.sizes), bits // 8), np.uint8)
-        at = self.lines % bits
-        np.bitwise_or.at(out, (self.owner, at >> 3), np.uint8(1) << (at & 7).astype(np.uint8))
-        return out.view(np.uint64)
-
-
-def most_similar(old: tuple[np.ndarray, np.ndarray], new: tuple[np.ndarray, np.ndarray], rank: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each new set the old one most similar (of equal ones that of the lowest rank; -1 if none reaches the threshold), and
-    the similarity. Sets are given as by `owned`."""
-    best, similarity = np.full(len(new[1]), -1, np.int64), np.zeros(len(new[1]))
-    # lines are numbered by how many pairs meet in them
-    values, number = np.unique(np.concatenate([new[0], old[0]]), return_inverse=True)
-    counts = [np.bincount(x, minlength=len(values)) for x in (number[: len(new[0])], number[len(new[0]) :])]
-    order = np.empty(len(values), np.int64)
-    order[np.argsort(counts[0] * counts[1], kind="stable")] = np.arange(len(values))
-    number = order[number]
-    x, y = Sets(number[: len(new[0])], new[1]), Sets(number[len(new[0]) :], old[1])
-    bits = 1 << max(8, int(4 * max(x.sizes.max(), y.sizes.max()) - 1).bit_length())
-    bits_x, bits_y = x.folded(bits), y.folded(bits)
-    likely = lambda common, m, n: common / (m + n - common) >= threshold
-    at_y = y.first(threshold)
-    at_y = at_y[np.argsort(y.lines[at_y], kind="stable")]
-    begin = np.searchsorted(y.lines[at_y], np.arange(len(values) + 1))
-    at_x = x.first(threshold)
-    meets = begin[x.lines[at_x] + 1] - begin[x.lines[at_x]]
-    at_x, meets = at_x[meets > 0], meets[meets > 0]
-    marked = np.zeros(len(values), bool)
-    # portions of new sets, whole ones, so that a pair is met in one of them only
-    total = np.concatenate([[0], np.cumsum(meets)])
-    ends = np.searchsorted(x.owner[at_x], np.arange(len(x.sizes) + 1))
-    low = 0
-    while low < len(x.sizes):
-        high = max(low + 1, int(np.searchsorted(total[ends], total[ends[low]] + PAIRS, side="right")) - 1)
-        pairs = []
-        a, last = int(ends[low]), int(ends[high])
-        while a < last:
-            b = min(last, max(a + 1, int(np.searchsorted(total, total[a] + PAIRS, side="right")) - 1))
-            which = np.repeat(np.arange(a, b), meets[a:b])
-            left = at_x[which]
-            right = at_y[begin[x.lines[left]] + np.arange(len(which)) - (total[which] - total[a])]
-            i, j = x.owner[left], y.owner[right]
-            m, n = x.sizes[i], y.sizes[j]
-            fits = likely(1 + np.minimum(m - 1 - x.place[left], n - 1 - y.place[right]), m, n)
-            pairs.append(np.unique(i[fits] * len(y.sizes) + j[fits]))
-            a = b
-        low = high
-        i, j = np.divmod(np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64), len(y.sizes))
-        kept = []
-        step = max(1, 8 * PAIRS // (bits // 64))
-        for k in range(0, len(i), step):
-            p, q = bits_x[i[k : k + step]], bits_y[j[k : k + step]]
-            m, n = x.sizes[i[k : k + step]], y.sizes[j[k : k + step]]
-            apart = [np.bitwise_count(u & ~v).sum(axis=1, dtype=np.int64) for u, v in ((p, q), (q, p))]
-            kept.append(likely(np.minimum(m - apart[0], n - apart[1]), m, n))
-        kept = np.concatenate(kept) if kept else np.zeros(0, bool)
-        i, j = i[kept], j[kept]
-        bounds = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1], [True]])) if len(i) else np.zeros(1, np.int64)
-        for a, b in itertools.pairwise(bounds):
-            own, theirs = int(i[a]), j[a:b]
-            lines = x.lines[x.starts[own] : x.starts[own] + x.sizes[own]]
-            marked[lines] = True
-            common = np.array([np.count_nonzero(marked[y.lines[y.starts[o] : y.starts[o] + y.sizes[o]]]) for o in theirs])
-            marked[lines] = False
-            alike = common / (x.sizes[own] + y.sizes[theirs] - common)
-            k = np.lexsort([rank[theirs], -alike])[0]
-            if alike[k] >= threshold:
-                best[own], similarity[own] = theirs[k], alike[k]
-    return best, similarity
+    """Eight classes for each doubling of a set's size."""
+    return F.floor(8 * F.log2(n)).cast("int")
+
+
+def squeezed(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 in as many bytes as they need: seven bits in each, the eighth says that more follow."""
+    length = np.ones(len(x), np.int64)
+    for k in range(1, 9):
+        length += x >> 7 * k > 0
+    ends = np.cumsum(length)
+    out = np.empty(int(ends[-1]) if len(x) else 0, np.uint8)
+    for k in range(int(length.max(initial=0))):
+        own = length > k
+        out[ends[own] - length[own] + k] = x[own] >> 7 * k & 127 | (length[own] > k + 1).astype(np.int64) << 7
+    return out.tobytes()
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    ends = np.flatnonzero(raw < 128)
+    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+    out = (raw[starts] & 127).astype(np.int64)
+    for k in range(1, int((ends - starts).max(initial=0)) + 1):
+        own = ends - starts >= k
+        out[own] |= (raw[starts[own] + k] & 127).astype(np.int64) << 7 * k
+    return out
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places from each start on, as many as its size."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+
+
+def in_order(numbers: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of each set, which follow one another, in ascending order."""
+    owner = np.repeat(np.arange(len(sizes)), sizes) * (int(numbers.max(initial=0)) + 1)
+    return np.sort(owner + numbers) - owner
+
+
+CHUNK_SCHEMA = "block int, ids binary, sizes binary, lines binary, codes binary, paths array<string>"
+
+
+def chunk_of_sets(table: pa.Table) -> pa.Table:
+    """block, id, set and path: different sets (of equal ones the first path) as one row. Lines are numbered by how often they
+    occur, and a set is the steps between its numbers."""
+    block, ids = table.column("block")[0].as_py(), table.column("id").to_numpy()
+    paths = table.column("path").to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], paths[i].encode()))
+    order = [i for n, i in enumerate(order) if not n or ids[i] != ids[order[n - 1]]]
+    sets = table.column("set").combine_chunks().take(pa.array(order))
+    sizes = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    values, number, counts = np.unique(sets.flatten().to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
+    often = np.argsort(-counts, kind="stable")
+    rank = np.empty(len(values), np.int64)
+    rank[often] = np.arange(len(values))
+    codes = in_order(rank[number], sizes)
+    steps, starts = np.diff(codes, prepend=0), np.cumsum(sizes) - sizes
+    steps[starts] = codes[starts]
+    columns = [[block], [ids[order].tobytes()], [squeezed(sizes)], [values[often].tobytes()], [squeezed(steps)], [[paths[i] for i in order]]]
+    types = [pa.int32(), *[pa.binary()] * 4, pa.list_(pa.string())]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in CHUNK_SCHEMA.split(", ")])
+
+
+class Chunk:
+    """Sets as chunk_of_sets gives them: ids, sizes, paths, the different lines, and of all sets' lines which of those they are."""
+
+    def __init__(self, table: pa.Table, row: int) -> None:
+        ids, sizes, lines, self.codes = (table.column(c)[row].as_py() for c in ("ids", "sizes", "lines", "codes"))
+        self.ids, self.sizes, self.lines = np.frombuffer(ids, np.int64), unsqueezed(sizes), np.frombuffer(lines, np.int64)
+        self.paths = table.column("paths")[row].as_py() if "paths" in table.column_names else []
+
+    def numbers(self) -> np.ndarray:
+        total = np.cumsum(unsqueezed(self.codes))
+        ends = np.cumsum(self.sizes)
+        return total - np.repeat(np.concatenate([[0], total[ends[:-1] - 1]]), self.sizes)
+
+
+def at_least(threshold: float, own: np.ndarray, other: float) -> np.ndarray:
+    """Lines that a set of this size has in common, at least, with a similar one of a size of at least `other`."""
+    return np.ceil(threshold / (1 + threshold) * (own + np.maximum(other, np.ceil(threshold * own - 1e-9))) - 1e-9)
+
+
+class OldSets:
+    """A block of old sets: all lines by number, the rarest first, each set's numbers ascending, and where each of the first
+    lines of sets is. shared: how many of their first lines similar sets share."""
+
+    def __init__(self, chunks: list[Chunk], threshold: float, least_new: int, shared: int) -> None:
+        self.threshold, self.shared = threshold, shared
+        self.values = np.unique(np.concatenate([c.lines for c in chunks]))
+        numbers = [np.searchsorted(self.values, c.lines)[c.numbers()].astype(np.int32) for c in chunks]
+        counts = sum(np.bincount(x, minlength=len(self.values)) for x in numbers)
+        self.rank = np.empty(len(self.values), np.int32)
+        self.rank[np.argsort(counts, kind="stable")] = np.arange(len(self.values), dtype=np.int32)
+        for k, c in enumerate(chunks):
+            numbers[k] = in_order(self.rank[numbers[k]].astype(np.int64), c.sizes).astype(np.int32)
+        self.lines = np.concatenate(numbers)
+        self.sizes = np.concatenate([c.sizes for c in chunks])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.paths = [p for c in chunks for p in c.paths]
+        self.place = np.empty(len(self.paths), np.int64)
+        self.place[sorted(range(len(self.paths)), key=lambda i: self.paths[i].encode())] = np.arange(len(self.paths))
+        first = np.clip(self.sizes - at_least(threshold, self.sizes, least_new) + shared, 0, self.sizes).astype(np.int64)
+        at = ragged(self.starts, first)
+        tokens = self.lines[at]
+        self.owner = np.repeat(np.arange(len(first), dtype=np.int32), first)[np.argsort(tokens, kind="stable")]
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(tokens, minlength=len(self.values)))])
+        self.least, self.marked = int(self.sizes.min()), np.zeros(len(self.values) + 1, bool)
+
+    def most_similar(self, new: Chunk) -> tuple[np.ndarray, np.ndarray]:
+        """For each new set the old one most similar (of equal ones that of the first path; -1 if none reaches the threshold), and
+        the similarity."""
+        best, similarity, n_old = np.full(len(new.sizes), -1, np.int64), np.zeros(len(new.sizes)), len(self.sizes)
+        # lines that no old set has come first, as 0
+        at = np.searchsorted(self.values, new.lines)
+        known = self.values[np.minimum(at, len(self.values) - 1)] == new.lines
+        number = np.where(known, self.rank[np.minimum(at, len(self.values) - 1)].astype(np.int64) + 1, 0)
+        lines = in_order(number[new.numbers()], new.sizes)
+        starts = np.cumsum(new.sizes) - new.sizes
+        strange = np.add.reduceat(lines == 0, starts)
+        first = np.clip(new.sizes - at_least(self.threshold, new.sizes, self.least) + self.shared, 0, new.sizes).astype(np.int64)
+        first = np.maximum(first - strange, 0)
+        owner, tokens = np.repeat(np.arange(len(first)), first), lines[ragged(starts + strange, first)] - 1
+        meets = self.begin[tokens + 1] - self.begin[tokens]
+        owner, tokens, meets = owner[meets > 0], tokens[meets > 0], meets[meets > 0]
+        total, ends = np.concatenate([[0], np.cumsum(meets)]), np.searchsorted(owner, np.arange(len(first) + 1))
+        low = 0
+        while low < len(first):  # portions of new sets, whole ones
+            high = int(np.searchsorted(total[ends], total[ends[low]] + PAIRS, side="right")) - 1
+            high = max(low + 1, min(high, low + PAIRS // n_old))
+            common, a, last = np.zeros((high - low) * n_old, np.int64), int(ends[low]), int(ends[high])
+            while a < last:
+                b = min(last, max(a + 1, int(np.searchsorted(total, total[a] + PAIRS, side="right")) - 1))
+                met = self.owner[ragged(self.begin[tokens[a:b]], meets[a:b])] + np.repeat((owner[a:b] - low) * n_old, meets[a:b])
+                common += np.bincount(met, minlength=len(common))
+                a = b
+            i, j = np.divmod(np.flatnonzero(common >= self.shared), n_old)
+            i += low
+            alike = np.minimum(new.sizes[i], self.sizes[j]) / np.maximum(new.sizes[i], self.sizes[j]) >= self.threshold
+            i, j = i[alike], j[alike]
+            bounds = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1], [True]])) if len(i) else np.zeros(1, np.int64)
+            for a, b in itertools.pairwise(bounds):
+                own = int(i[a])
+                self.verify(lines[starts[own] + strange[own] : starts[own] + new.sizes[own]] - 1, int(new.sizes[own]), own, j[a:b], best, similarity)
+            low = high
+        return best, similarity
+
+    def verify(self, lines: np.ndarray, size: int, own: int, theirs: np.ndarray, best: np.ndarray, similarity: np.ndarray) -> None:
+        """Compare a new set line by line with old ones."""
+        self.marked[lines] = True
+        after = np.cumsum(self.sizes[theirs])
+        for part in np.split(theirs, np.flatnonzero(np.diff(after // PAIRS)) + 1):
+            sizes = self.sizes[part]
+            common = np.add.reduceat(self.marked[self.lines[ragged(self.starts[part], sizes)]], np.cumsum(sizes) - sizes, dtype=np.int64)
+            alike = common / (size + sizes - common)
+            k = np.lexsort([self.place[part], -alike])[0]
+            if alike[k] >= self.threshold and (best[own] < 0 or (-alike[k], self.place[part[k]]) < (-similarity[own], self.place[best[own]])):
+                best[own], similarity[own] = part[k], alike[k]
+        self.marked[lines] = False
+
+
+def cut(classes: list[tuple[int, int, int, int]], size: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]], list[float]]:
+    """classes (class, lines, least and greatest size) by class: of each its first block, over how many blocks it is dealt and how
+    many chunks a block has; and of each block the least and greatest size, and the lines. A block has about `size` lines at
+    most, of sets of sizes in one doubling."""
+    dealt, blocks, inside = [], [], []
+    room = 0
+    for name, lines, least, most in classes:
+        parts = math.ceil(lines / size)
+        if parts > 1 or lines > room or name // 8 != dealt[-1][0] // 8:
+            dealt.append((name, len(blocks), parts))
+            blocks += [(least, most)] * parts
+            inside += [lines / parts] * parts
+            room = size - lines if parts == 1 else 0
+        else:
+            dealt.append((name, len(blocks) - 1, 1))
+            blocks[-1] = (blocks[-1][0], most)
+            inside[-1] += lines
+            room -= lines
+    return [(name, first, parts, math.ceil(inside[first] / CHUNK)) for name, first, parts in dealt], blocks, inside
 
 
 def renamed(removed: DataFrame, added: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """path (of added), source (of removed: the most similar) and similarity (at least the threshold), from path and text.
-    block: lines, about, of a side of a task; it changes no result."""
-    kinds = [df.select("path", line_set(F.col("text")).alias("set")).where(F.size("set") > 0) for df in (removed, added)]
-    # a set's number is its hash, so equal sets are one, and their paths are joined again at the end
-    old, new = (stored(k.withColumn("id", F.xxhash64("set")), "line-sets") for k in kinds)
-    sets = [stored(k.groupBy("id").agg(F.first("set").alias("set"), F.min("path").alias("path")).withColumn("class", size_class(F.size("set"))), "line-sets") for k in (old, new)]
-    # a few dozen classes, whatever the input
-    blocks = [stored(k.groupBy("class").agg(F.ceil(F.sum(F.size("set")) / block).cast("int").alias("blocks")), "classes") for k in sets]
-    far = 2 * math.log2(1 / threshold) + 1
-    sides = []
-    for side, other, k, own, others in (("old", "new", sets[0], *blocks), ("new", "old", sets[1], *blocks[::-1])):
-        dealt = k.join(F.broadcast(own), "class").withColumn("block", F.pmod("id", "blocks").cast("int")).drop("blocks")
-        dealt = dealt.withColumnsRenamed({"class": f"{side}_class", "block": f"{side}_block"})
-        met = others.select(F.col("class").alias(f"{other}_class"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(f"{other}_block"))
-        near = F.abs(F.col("old_class") - F.col("new_class")) < far
-        sides.append(dealt.join(F.broadcast(met), near).select("old_class", "old_block", "new_class", "new_block", "id", "set", "path").groupBy("old_class", "old_block", "new_class", "new_block"))
-
-    def compared(before: pa.Table, after: pa.Table) -> pa.Table:
-        names = ["new", "distance", "source"]
-        if not before.num_rows or not after.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.string())], names=names)
-        paths = before.column("path").to_pylist()
-        rank = np.empty(len(paths), np.int64)
-        rank[sorted(range(len(paths)), key=lambda i: paths[i].encode())] = np.arange(len(paths))
-        best, similarity = most_similar(owned(before.column("set")), owned(after.column("set")), rank, threshold)
-        found = np.flatnonzero(best >= 0)
-        return pa.table([after.column("id").take(pa.array(found)), pa.array(-similarity[found]), pa.array([paths[i] for i in best[found]], pa.string())], names=names)
-
-    close = sides[0].cogroup(sides[1]).applyInArrow(compared, "new long, distance double, source string")
+    block: lines, about, of the removed files' side of a task; it changes no result."""
+    spark = removed.sparkSession
+    sides, found, lines, named = [], [], [], None
+    for name, df, most in (("old", removed, block), ("new", added, 2 * block)):
+        # a set's number is its hash, so equal sets are one, and their paths are joined again at the end
+        n = F.size("set")
+        sets = df.select("path", line_set(F.col("text")).alias("set")).where(n > 0).withColumns({"id": F.xxhash64("set"), "class": size_class(n)})
+        with stored_for_now(sets, "line-sets") as k:
+            # a few hundred classes, whatever the input
+            classes = sorted(map(tuple, k.groupBy("class").agg(F.sum(n), F.min(n), F.max(n)).collect()))
+            each = math.ceil(sum(x[1] for x in classes) / math.ceil(math.sqrt(6 * spark.sparkContext.defaultParallelism)))
+            dealt, blocks, inside = cut(classes, min(most, max(LEAST, each)))
+            place = spark.createDataFrame(dealt, "class int, first int, parts int, chunks int")
+            rows = k.join(F.broadcast(place), "class").withColumn("block", F.col("first") + F.pmod("id", "parts").cast("int"))
+            rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int")).select("block", "chunk", "id", "set", "path")
+            side = stored(rows.groupBy("block", "chunk").applyInArrow(chunk_of_sets, CHUNK_SCHEMA), "chunks")
+            named = stored(k.select("path", F.col("id").alias("new")), "names") if name == "new" else None
+        sides.append((side if name == "old" else side.drop("paths")).withColumnRenamed("block", f"{name}_block"))
+        found.append(blocks)
+        lines.append(inside)
+
+    def compared(key: tuple, before: pa.Table, after: pa.Table) -> pa.Table:
+        out: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0), [])]
+        if before.num_rows and after.num_rows:
+            (low, _), (least, _) = (blocks[k.as_py()] for blocks, k in zip(found, key, strict=True))
+            shared = 1 + int(np.ceil(threshold / (1 + threshold) * (low + least) - 1e-9)) // 16
+            sets = OldSets([Chunk(before, i) for i in range(before.num_rows)], threshold, least, shared)
+            for i in range(after.num_rows):
+                chunk = Chunk(after, i)
+                best, similarity = sets.most_similar(chunk)
+                got = np.flatnonzero(best >= 0)
+                out.append((chunk.ids[got], -similarity[got], [sets.paths[i] for i in best[got]]))
+        ids, distance, paths = zip(*out, strict=True)
+        return pa.table([pa.array(np.concatenate(ids)), pa.array(np.concatenate(distance)), pa.array(list(itertools.chain(*paths)), pa.string())], names=["new", "distance", "source"])
+
+    close = spark.createDataFrame([], "new long, distance double, source string")
+    for near in rounds(found, lines, threshold):
+        met = F.broadcast(spark.createDataFrame(near, "old_block int, new_block int"))
+        left, right = (side.join(met, own).groupBy("old_block", "new_block") for side, own in zip(sides, ("old_block", "new_block"), strict=True))
+        close = close.unionByName(stored(left.cogroup(right).applyInArrow(compared, close.schema), "similar"))
+        drop_shuffles(spark)
     best = close.groupBy("new").agg(F.min(F.struct("distance", "source")).alias("best"))
-    return new.select("path", F.col("id").alias("new")).join(best, "new").select("path", "best.source", (-F.col("best.distance")).alias("similarity"))
+    return named.join(best, "new").select("path", "best.source", (-F.col("best.distance")).alias("similarity"))
+
+
+def rounds(blocks: list[list[tuple[int, int]]], lines: list[list[float]], threshold: float) -> list[list[tuple[int, int]]]:
+    """The pairs of an old and a new block that may hold similar sets, by their least and greatest sizes, in rounds: what a
+    round sends is ROUND times the lines of all blocks, about, so its shuffle grows with the input, however many pairs there are."""
+    out, room = [], 0.0
+    for (i, (low, high)), (j, (least, most)) in itertools.product(enumerate(blocks[0]), enumerate(blocks[1])):
+        if high >= threshold * least - 1e-9 and most >= threshold * low - 1e-9:
+            if room <= 0:
+                out.append([])
+                room = ROUND * float(sum(map(sum, lines)))
+            out[-1].append((i, j))
+            room -= lines[0][i] + lines[1][j]
+    return out
+
+
+def only(files: DataFrame, paths: DataFrame) -> DataFrame:
+    """The files whose paths are among paths. A bitmap of the paths' hashes keeps most others from being shuffled."""
+    bit = F.pmod(F.xxhash64("path"), F.lit(PATH_BITS))
+    bits = stored(paths.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")), "path-bits")
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    likely = files.withColumn("bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(bits), "bucket").where(F.getbit(byte, (at % 8).cast("int")) == 1)
+    return likely.select(files.columns).join(paths.distinct(), "path")  # a semi join would be pushed below the other one
 
 
 def snapshot_changes(before: DataFrame, after: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """path, state (new, modified, removed, renamed), source and similarity, between two snapshots (path, text). A removed
     file that is some new one's source isn't listed on its own."""
-    old, new = (df.select("path", "text", F.sha2("text", 256).alias("digest")) for df in (before, after))
-    gone, come = old.join(new, "path", "left_anti"), new.join(old, "path", "left_anti")
-    moved = stored(renamed(gone, come, threshold), "renamed")
+    old, new = (df.select("path", F.sha2("text", 256).alias("digest")) for df in (before, after))
+    gone, come = (stored(x.join(y, "path", "left_anti").select("path"), "paths") for x, y in ((old, new), (new, old)))
+    moved = stored(renamed(*(only(df.select("path", "text"), paths) for df, paths in ((before, gone), (after, come))), threshold), "renamed")
     none = (F.lit(None).cast("string").alias("source"), F.lit(None).cast("double").alias("similarity"))
     changed = old.join(new.select("path", F.col("digest").alias("now")), "path").where(~F.col("digest").eqNullSafe(F.col("now")))
     parts = [
