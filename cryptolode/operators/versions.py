@@ -37,7 +37,7 @@ from .graph import drop_shuffles, stored, stored_for_now
 THRESHOLD = 0.5
 #: Lines, about, of a block of old sets, which a task compares with twice as many of new ones; of a block that isn't made
 #: smaller for the sake of more tasks; of a part of a block that is packed as one row; pairs that a task looks at at once.
-BLOCK, LEAST, CHUNK, PAIRS = 8_000_000, 100_000, 2_000_000, 500_000
+BLOCK, LEAST, CHUNK, PAIRS = 6_000_000, 100_000, 2_000_000, 500_000
 #: How often, about, each line is sent to tasks before what was sent is deleted.
 ROUND = 2
 #: Bits of the bitmap of paths' hashes.
@@ -141,13 +141,16 @@ class OldSets:
     def __init__(self, chunks: list[Chunk], threshold: float, least_new: int, shared: int) -> None:
         self.threshold, self.shared = threshold, shared
         self.values = np.unique(np.concatenate([c.lines for c in chunks]))
-        numbers = [np.searchsorted(self.values, c.lines)[c.numbers()].astype(np.int32) for c in chunks]
-        counts = sum(np.bincount(x, minlength=len(self.values)) for x in numbers)
+        ends = np.cumsum([0, *(int(c.sizes.sum()) for c in chunks)])
+        self.lines, counts = np.empty(ends[-1], np.int32), np.zeros(len(self.values), np.int64)
+        parts = [self.lines[a:b] for a, b in itertools.pairwise(ends)]
+        for part, c in zip(parts, chunks, strict=True):
+            part[:] = np.searchsorted(self.values, c.lines)[c.numbers()]
+            counts += np.bincount(part, minlength=len(self.values))
         self.rank = np.empty(len(self.values), np.int32)
         self.rank[np.argsort(counts, kind="stable")] = np.arange(len(self.values), dtype=np.int32)
-        for k, c in enumerate(chunks):
-            numbers[k] = in_order(self.rank[numbers[k]].astype(np.int64), c.sizes).astype(np.int32)
-        self.lines = np.concatenate(numbers)
+        for part, c in zip(parts, chunks, strict=True):
+            part[:] = in_order(self.rank[part].astype(np.int64), c.sizes)
         self.sizes = np.concatenate([c.sizes for c in chunks])
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.paths = [p for c in chunks for p in c.paths]
@@ -181,12 +184,12 @@ class OldSets:
         while low < len(first):  # portions of new sets, whole ones
             high = int(np.searchsorted(total[ends], total[ends[low]] + PAIRS, side="right")) - 1
             high = max(low + 1, min(high, low + PAIRS // n_old))
-            common, a, last = np.zeros((high - low) * n_old, np.int64), int(ends[low]), int(ends[high])
+            common, a, last = np.zeros(0, np.int64), int(ends[low]), int(ends[high])
             while a < last:
                 b = min(last, max(a + 1, int(np.searchsorted(total, total[a] + PAIRS, side="right")) - 1))
                 met = self.owner[ragged(self.begin[tokens[a:b]], meets[a:b])] + np.repeat((owner[a:b] - low) * n_old, meets[a:b])
-                common += np.bincount(met, minlength=len(common))
-                a = b
+                counts = np.bincount(met, minlength=(high - low) * n_old)
+                common, a = common + counts if len(common) else counts, b
             i, j = np.divmod(np.flatnonzero(common >= self.shared), n_old)
             i += low
             alike = np.minimum(new.sizes[i], self.sizes[j]) / np.maximum(new.sizes[i], self.sizes[j]) >= self.threshold
